@@ -119,3 +119,21 @@ def asof_last(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     return (out.withColumn("__hit", hit)
             .select(*[F.col("__row")[c].alias(c) for c in lcols],
                     *[F.col("__hit")[v].alias(v) for v in values]))
+
+
+def last_points(df: DataFrame, keys: list[str], order: str, point: Column, n: int, name: str,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the array of the last ``n`` points of the key, oldest first, this row's included."""
+    base = with_block(df.withColumn("__p", point), order, block_rows)
+    groups = [*keys, _B]
+    inner = Window.partitionBy(*groups).orderBy(order)
+    recent = [F.lag("__p", i).over(inner) for i in range(n - 1, 0, -1)] + [F.col("__p")]
+    rows = base.withColumn("__in", F.array_compact(F.array(*recent)))
+    tails = rows.groupBy(*groups).agg(F.max_by("__in", order).alias("__tail"))
+    # every block of a key holds at least one of its points: n-1 earlier blocks suffice
+    back = Window.partitionBy(*keys).orderBy(_B).rowsBetween(-(n - 1), -1)
+    carry = tails.select(*groups, F.flatten(F.collect_list("__tail").over(back)).alias("__c"))
+    both = F.concat(F.col("__c"), F.col("__in"))
+    out = attach(rows, carry, groups).withColumn("__all", both)
+    return (out.withColumn(name, F.expr(f"slice(__all, greatest(1, size(__all) - {n - 1}), {n})"))
+            .drop("__p", "__in", "__c", "__all", _B))
