@@ -8,11 +8,14 @@ attached as an as-of lookup; the damped sum of the products is then a plain damp
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from floodlens.functions.blocks import BLOCK_ROWS, asof_last, last_points
-from floodlens.operators.damped import (RATES, damped_1d, damped_jitter, damped_sums, join_all,
-                                        with_peer, with_rates)
+from floodlens.operators.damped import (RATES, Extent, damped_1d, damped_jitter, damped_sums,
+                                        join_all, limits, with_peer)
+from floodlens.session import cut
 
 # Fixed values of the extrapolation rule.
 TINY = 1e-20
@@ -52,33 +55,37 @@ def pair_updates(rows: DataFrame, key: str, peer: str, value: str, double_update
             .drop("peer", "linked", "n", "u"))
 
 
-def _extrapolated(points: Column, t: Column) -> Column:
-    """Value expected at t from up to three (t, v) points, oldest first (Lagrange)."""
-    n = F.size(points)
+def _guess(n, t, t1, v1, t2, v2, t3, v3):
+    """Value expected at t from the last n <= 3 points, oldest first (Lagrange)."""
+    with np.errstate(all="ignore"):
+        def ratio(tj, ti):
+            return (t - tj) / (ti - tj + TINY)
+        two = v1 * ratio(t2, t1) + v2 * ratio(t1, t2)
+        three = (v1 * ratio(t2, t1) * ratio(t3, t1) + v2 * ratio(t1, t2) * ratio(t3, t2)
+                 + v3 * ratio(t1, t3) * ratio(t2, t3))
+        # the mean gap is taken backwards, so it is positive only if the two oldest coincide
+        too_far = (t - t3) / ((t1 - t2) / 2 + GUARD_GAP) > GUARD_FACTOR
+        return np.select([n == 0, n == 1, n == 2, too_far], [0.0, v1, two, v3], three)
 
-    def at(i):
-        return F.try_element_at(points, F.lit(i))
 
-    def weight(i, others):
-        out = at(i)["v"]
-        factor = F.lit(1.0)
-        for j in others:
-            factor = factor * ((t - at(j)["t"]) / (at(i)["t"] - at(j)["t"] + F.lit(TINY)))
-        return out * factor
+def extrapolate(points: str, time: str) -> Column:
+    """Arrow-batched, vectorised over rows: one numeric expression, no per-row Python."""
+    @F.pandas_udf("double")
+    def guess(n: pd.Series, t: pd.Series, t1: pd.Series, v1: pd.Series, t2: pd.Series,
+              v2: pd.Series, t3: pd.Series, v3: pd.Series) -> pd.Series:
+        return pd.Series(_guess(*[s.to_numpy() for s in (n, t, t1, v1, t2, v2, t3, v3)]))
 
-    two = weight(1, [2]) + weight(2, [1])
-    three = weight(1, [2, 3]) + weight(2, [1, 3]) + weight(3, [1, 2])
-    # the mean gap is taken backwards, so it is positive only if the two oldest points coincide
-    mean_gap = (at(1)["t"] - at(2)["t"]) / 2 + F.lit(GUARD_GAP)
-    too_far = (t - at(3)["t"]) / mean_gap > GUARD_FACTOR
-    return (F.when(points.isNull() | (n == 0), 0.0).when(n == 1, at(1)["v"]).when(n == 2, two)
-            .when(too_far, at(3)["v"]).otherwise(three))
+    def field(i, name):
+        return F.coalesce(F.get(F.col(points), F.lit(i))[name], F.lit(0.0))
+    n = F.coalesce(F.size(points), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    return guess(n, F.col(time), *[field(i, name) for i in range(3) for name in ("t", "v")])
 
 
 def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
                residual: str = "extrapolated", double_update: bool = True,
                own: DataFrame | None = None, order: str = "frame_no",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, extent: Extent | None = None) -> DataFrame:
     """Covariance and correlation after each frame between two streams, per rate.
 
     ``residual='last'`` uses the peer's last residual instead of an extrapolated one.
@@ -87,33 +94,51 @@ def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
     if residual not in ("extrapolated", "last"):
         raise ValueError("residual: extrapolated|last")
     if own is None:
-        own = damped_1d(rows, [key], value, rates, order, block_rows=block_rows)
-    state = own.select(F.col(key).alias("_s"), "rate", F.col(order).alias("f"), "mean", "var")
+        own = damped_1d(rows, [key], value, rates, order, block_rows=block_rows, extent=extent)
+    last, last_exponent = limits(extent, rates)
+    last_step = None if last is None else 2 * last + 1
+    # one row per frame with its state for all rates, so that lookups run once, not per rate
+    state = (own.select(F.col(key).alias("_s"), F.col(order).alias("f"), "rate", "mean", "var")
+             .groupBy("_s", "f").agg(F.sort_array(F.collect_list(
+                 F.struct("rate", "mean", "var"))).alias("st")))
     updates = pair_updates(rows, key, peer, value, double_update, order)
     if residual == "extrapolated":
         pts = last_points(updates, ["a", "b", "own"], "step", F.struct("t", "v"), 3, "points",
-                          block_rows)
+                          block_rows, last_step)
         theirs = pts.select("a", "b", F.col("own").alias("other"), "step", "points")
         updates = asof_last(updates, theirs, ["a", "b", "other"], "step", ["points"],
-                            strict=True, block_rows=block_rows)
-        updates = updates.withColumn("guess", _extrapolated(F.col("points"), F.col("t"))).drop("points")
-    mine = state.select(F.col("_s").alias("own"), "rate", "f", "mean", "var")
-    updates = with_rates(updates, rates).join(mine, ["own", "rate", "f"])
-    theirs = state.select(F.col("_s").alias("other"), "rate", "f", F.col("mean").alias("other_mean"),
-                          F.col("var").alias("other_var"))
-    updates = asof_last(updates, theirs, ["other", "rate"], "f", ["other_mean", "other_var"],
-                        block_rows=block_rows).fillna(0.0, ["other_mean", "other_var"])
-    updates = updates.withColumn("res", F.col("v") - F.col("mean"))
+                            strict=True, block_rows=block_rows, last=last_step)
+        updates = updates.withColumn("guess", extrapolate("points", "t")).drop("points")
+    mine = state.select(F.col("_s").alias("own"), "f", "st")
+    updates = updates.join(mine, ["own", "f"])
+    theirs = state.select(F.col("_s").alias("other"), "f", F.col("st").alias("st2"))
+    updates = asof_last(updates, theirs, ["other"], "f", ["st2"], block_rows=block_rows, last=last)
     if residual == "last":
-        marks = updates.select("a", "b", F.col("own").alias("other"), "rate", "step",
-                               F.col("res").alias("other_res"))
-        updates = asof_last(updates, marks, ["a", "b", "other", "rate"], "step", ["other_res"],
-                            strict=True, block_rows=block_rows).fillna(0.0, ["other_res"])
-        product = F.col("res") * F.col("other_res")
+        res = F.transform("st", lambda s: F.col("v") - s["mean"])
+        updates = updates.withColumn("res", res)
+        marks = updates.select("a", "b", F.col("own").alias("other"), "step",
+                               F.col("res").alias("res2"))
+        updates = asof_last(updates, marks, ["a", "b", "other"], "step", ["res2"],
+                            strict=True, block_rows=block_rows, last=last_step)
+    # written once: the damped sums below read these rows twice
+    each = cut(updates.select(
+        "a", "b", "own", "other", "f", "step", "t", "direct", "final", "v",
+        F.posexplode("st").alias("i", "s"), "st2",
+        *(["guess"] if residual == "extrapolated" else ["res2"])))
+    zero = F.lit(0.0)
+    peer_now = F.col("st2")[F.col("i")]
+    res = F.col("v") - F.col("s")["mean"]
+    if residual == "last":
+        theirs = F.coalesce(F.col("res2")[F.col("i")], zero)
     else:
-        product = F.col("res") * (F.col("guess") - F.col("other_mean"))
-    sums = damped_sums(updates, ["a", "b", "rate"], "step", F.col("rate") * F.col("t"),
-                       {"_cf": product, "_cw": F.lit(1.0)}, block_rows)
+        theirs = F.col("guess") - F.coalesce(peer_now["mean"], zero)
+    each = each.select("a", "b", "own", "other", "f", "step", "t", "direct", "final",
+                       F.col("s")["rate"].alias("rate"), F.col("s")["var"].alias("var"),
+                       F.coalesce(peer_now["var"], zero).alias("other_var"),
+                       (res * theirs).alias("product"))
+    sums = damped_sums(each, ["a", "b", "rate"], "step", F.col("rate") * F.col("t"),
+                       {"_cf": F.col("product"), "_cw": F.lit(1.0)}, block_rows, last_step,
+                       last_exponent)
     cov = F.col("_cf") / F.col("_cw")
     scale = F.sqrt("var") * F.sqrt("other_var")
     return (sums.filter(F.col("direct") & F.col("final"))
@@ -130,11 +155,12 @@ def pair_state(cov: DataFrame, key: str, peer: str, order: str = "frame_no") ->
 
 
 def damped_2d(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
-              order: str = "frame_no", **kw) -> DataFrame:
+              order: str = "frame_no", extent: Extent | None = None, **kw) -> DataFrame:
     """The seven statistics of a stream and its peer after each frame, per rate."""
-    own = damped_1d(rows, [key], value, rates, order)
-    peers = with_peer(own, key, peer, order)
-    cov = damped_cov(rows, key, peer, value, rates, own=own, order=order, **kw)
+    own = cut(damped_1d(rows, [key], value, rates, order, extent=extent)
+              .select(key, peer, order, "rate", "weight", "mean", "var"))
+    peers = with_peer(own, key, peer, order, extent=extent)
+    cov = damped_cov(rows, key, peer, value, rates, own=own, order=order, extent=extent, **kw)
     size = F.col("mean") * F.col("mean") + F.col("peer_mean") * F.col("peer_mean")
     return (peers.withColumn("radius", F.sqrt(F.col("var") + F.col("peer_var")))
             .withColumn("magnitude", F.sqrt(size))
@@ -147,16 +173,17 @@ def vector_columns(rates=RATES) -> list[str]:
             for rate in rates for name in names]
 
 
-def frame_vectors(streams: DataFrame, rates=RATES) -> DataFrame:
+def frame_vectors(streams: DataFrame, rates=RATES, extent: Extent | None = None) -> DataFrame:
     """One row per frame with all statistics of its streams (100 columns for five rates).
 
     ``streams`` comes from ``stream_keys``.
     """
     one = ("weight", "mean", "var")
-    mi = damped_1d(streams, ["mac_ip"], "frame_len", rates).select("frame_no", "rate", *one)
-    jit = damped_jitter(streams, ["channel"], rates).select("frame_no", "rate", *one)
-    hh = damped_2d(streams, "src", "dst", "frame_len", rates)
-    hphp = damped_2d(streams, "socket", "peer_socket", "frame_len", rates)
+    mi = damped_1d(streams, ["mac_ip"], "frame_len", rates, extent=extent).select(
+        "frame_no", "rate", *one)
+    jit = damped_jitter(streams, ["channel"], rates, extent).select("frame_no", "rate", *one)
+    hh = damped_2d(streams, "src", "dst", "frame_len", rates, extent=extent)
+    hphp = damped_2d(streams, "socket", "peer_socket", "frame_len", rates, extent=extent)
     parts = []
     for (prefix, names), df in zip(VECTOR_PARTS, (mi, hh, jit, hphp)):
         parts.append(df.select("frame_no", "rate", *[F.col(n).alias(f"{prefix}_{n}") for n in names]))

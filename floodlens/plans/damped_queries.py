@@ -56,15 +56,19 @@ def _streams(c):
     return keyed.withColumn("frame_kb", F.col("frame_len") / 1000)
 
 
+def _extent(c):
+    return damped.Extent(c.last_frame, (c.last_ts - c.calendar.origin) / float(DAY_NS))
+
+
 def _stream_query(name, key, value="frame_kb", source="streams"):
     @query(name, sql(f"SELECT frame_no, k AS {key}, rate, {THREE} "
                      f"FROM ({_state_sql(key, value, source)}) y"))
     def run(c):
         rows = _streams(c).select("frame_no", key, "t", "frame_kb")
         if value == "gap":
-            out = damped.damped_jitter(rows, [key], RATES)
+            out = damped.damped_jitter(rows, [key], RATES, _extent(c))
         else:
-            out = damped.damped_1d(rows, [key], value, RATES)
+            out = damped.damped_1d(rows, [key], value, RATES, extent=_extent(c))
         return out.select("frame_no", key, "rate", "weight", "mean", "var")
     return run
 
@@ -82,7 +86,7 @@ def damped_1d(c):
     rows = c.packets.select(
         "frame_no", "src_ip", (F.col("len_payload") / 1000).alias("payload_kb"),
         ((F.col("ts_ns") - c.calendar.origin) / float(DAY_NS)).alias("t"))
-    return damped.damped_1d(rows, ["src_ip"], "payload_kb", RATES).drop("t", "payload_kb")
+    return damped.damped_1d(rows, ["src_ip"], "payload_kb", RATES, extent=_extent(c)).drop("t", "payload_kb")
 
 
 _stream_query("damped_mac_ip", "mac_ip")
@@ -91,15 +95,15 @@ _stream_query("damped_host_port", "socket")
 _stream_query("damped_jitter", "channel", "gap", "gapped")
 
 
-# The peers of the views never send, so the turned-round streams of data_queries give them traffic.
+# The peers of the views never send, so every sixteenth frame is turned round to give them traffic.
 part("duplex", """SELECT frame_no, frame_kb, t,
-  CASE WHEN frame_no % 2 = 0 THEN src ELSE dst END AS src,
-  CASE WHEN frame_no % 2 = 0 THEN dst ELSE src END AS dst FROM streams""")
+  CASE WHEN frame_no % 16 <> 0 THEN src ELSE dst END AS src,
+  CASE WHEN frame_no % 16 <> 0 THEN dst ELSE src END AS dst FROM streams""")
 part("duplex_state", _state_sql("src", "frame_kb", "duplex"))
 
 
 def _duplex(c):
-    even = F.col("frame_no") % 2 == 0
+    even = F.col("frame_no") % 16 != 0
     return _streams(c).select(
         "frame_no", "frame_kb", "t", F.when(even, F.col("src")).otherwise(F.col("dst")).alias("src"),
         F.when(even, F.col("dst")).otherwise(F.col("src")).alias("dst"))
@@ -111,24 +115,25 @@ def _duplex(c):
   FROM duplex d JOIN duplex_state o ON d.frame_no = o.frame_no
   ASOF LEFT JOIN duplex_state p ON p.k = d.dst AND p.rate = o.rate AND p.frame_no <= d.frame_no"""))
 def damped_radius_magnitude(c):
-    own = damped.damped_1d(_duplex(c), ["src"], "frame_kb", RATES)
-    return damped.radius_magnitude(own, "src", "dst").select("frame_no", "rate", "radius", "magnitude")
+    own = damped.damped_1d(_duplex(c), ["src"], "frame_kb", RATES, extent=_extent(c))
+    return damped.radius_magnitude(own, "src", "dst", extent=_extent(c)).select("frame_no", "rate", "radius", "magnitude")
 
 
 @query("damped_cov")
 def damped_cov(c):
     """Order-dependent; compared with a sequential model in the tests."""
-    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES)
+    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES, extent=_extent(c))
 
 
 @query("damped_cov_last")
 def damped_cov_last(c):
-    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES, residual="last")
+    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES, residual="last",
+                                   extent=_extent(c))
 
 
 @query("frame_vectors")
 def frame_vectors(c):
-    return damped_pairs.frame_vectors(_streams(c))
+    return damped_pairs.frame_vectors(_streams(c), extent=_extent(c))
 
 
 _FINAL = """SELECT k AS src, rate, weight, mean, var, last_t FROM (

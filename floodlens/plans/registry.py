@@ -54,6 +54,18 @@ class Context:
     def calendar(self) -> windows.Calendar:
         return windows.build_calendar(self.packets, self.opts)
 
+    @cached_property
+    def _last(self):
+        return self.packets.agg(F.max("frame_no"), F.max("ts_ns")).first()
+
+    @property
+    def last_frame(self) -> int:
+        return self._last[0]
+
+    @property
+    def last_ts(self) -> int:
+        return self._last[1]
+
     @cached_property
     def windows(self) -> DataFrame:
         return cut(windows.window_stats(self.packets, self.opts, self.calendar))
