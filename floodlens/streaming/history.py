@@ -1,0 +1,158 @@
+"""Stateful streaming operators: chunks of windows, damped statistics, deny list."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from floodlens.operators.features import summarise
+from floodlens.operators.mitigation import decide
+from floodlens.options import WindowOptions
+from floodlens.schemas import WINDOW_STATS
+
+
+def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 seconds") -> DataFrame:
+    """Windows of a source gathered into runs of ``history_min``: adds ``chunk_id``.
+
+    The state holds at most ``history_min - 1`` windows of a source and expires by event time.
+    """
+    h, timeout = opts.history_min, opts.timeout_ns
+    names = ["src_ip", *WINDOW_STATS]
+    rows = windows.withColumn("_t", F.timestamp_micros(F.expr("tstamp_end div 1000")))
+    kinds = dict(windows.dtypes)
+    out = ", ".join(f"{n} {kinds[n]}" for n in names) + ", chunk_id long"
+    held = ", ".join(f"{n} array<{kinds[n]}>" for n in WINDOW_STATS)
+    keep_ms = None if timeout is None else max(1, timeout // 1_000_000)
+
+    def advance(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, emitted = 0, []
+        history = []
+        if state.exists:
+            done, *columns = state.get
+            history = [dict(zip(WINDOW_STATS, values)) for values in zip(*columns)]
+        arrived = pd.concat(list(batches)).sort_values("window_id")
+        for row in arrived[list(WINDOW_STATS)].to_dict("records"):
+            history.append(row)
+            if len(history) < h:
+                continue
+            fresh = timeout is None or row["tstamp_end"] - history[0]["tstamp_start"] < timeout
+            if fresh:
+                emitted += [{**w, "src_ip": key[0], "chunk_id": done} for w in history]
+                done, history = done + 1, []
+            else:
+                history.pop(0)
+        state.update((done, *[[_plain(w[n]) for w in history] for n in WINDOW_STATS]))
+        if keep_ms is not None:
+            newest = int(arrived["tstamp_end"].max()) // 1_000_000
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms + 1)
+        if emitted:
+            yield pd.DataFrame(emitted)[[*names, "chunk_id"]]
+
+    return (rows.withWatermark("_t", delay).groupBy("src_ip").applyInPandasWithState(
+        advance, out, f"done long, {held}", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def _plain(value):
+    return value.item() if hasattr(value, "item") else value
+
+
+def damped_stream(rows: DataFrame, key: str, value: str, rates, cutoff: float = 1e-9,
+                  delay: str = "0 seconds", unit_ns: int = 10 ** 9,
+                  origin_ns: int = 0) -> DataFrame:
+    """Damped weight, mean and variance after each row; time counts from ``origin_ns``.
+
+    A stream's state is dropped once its weight would have decayed below ``cutoff``.
+    """
+    timed = (rows.select(key, "frame_no", "ts_ns", F.col(value).cast("double").alias("v"),
+                         F.timestamp_micros(F.expr("ts_ns div 1000")).alias("_t"),
+                         F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate"))
+             .withWatermark("_t", delay))
+    out = f"{key} string, rate double, frame_no long, weight double, mean double, var double"
+
+    def advance(group, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rate = float(group[1])
+        w, s, q, last = state.get if state.exists else (0.0, 0.0, 0.0, None)
+        pdf = pd.concat(list(batches)).sort_values("frame_no")
+        results = np.empty((len(pdf), 3))
+        for i, (ns, v) in enumerate(zip(pdf["ts_ns"].to_numpy(), pdf["v"].to_numpy())):
+            t = int(ns) - origin_ns
+            if last is not None and t > last:
+                fade = 2.0 ** (-rate * (t - last) / unit_ns)
+                w, s, q = w * fade, s * fade, q * fade
+            last = t if last is None else max(last, t)
+            w, s, q = w + 1.0, s + v, q + v * v
+            results[i] = w, s / w, abs(q / w - (s / w) ** 2)
+        state.update((float(w), float(s), float(q), int(last)))
+        lifetime_ms = np.log2(max(w / cutoff, 2.0)) / rate * unit_ns / 1e6
+        stop = (last + origin_ns) // 1_000_000 + int(min(lifetime_ms, 2 ** 52)) + 1
+        state.setTimeoutTimestamp(max(stop, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: group[0], "rate": rate, "frame_no": pdf["frame_no"].to_numpy(),
+                            "weight": results[:, 0], "mean": results[:, 1], "var": results[:, 2]})
+
+    return timed.groupBy(key, "rate").applyInPandasWithState(
+        advance, out, "w double, s double, q double, last long", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available in micro-batches and stop."""
+    query = (stream.writeStream.format("parquet").outputMode("append")
+             .option("path", path).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def deny_stream(chunks: DataFrame, opts: WindowOptions, score, path: str, checkpoint: str,
+                threshold: float) -> None:
+    """Score chunks per micro-batch and append newly denied sources to the deny table.
+
+    A chunk is scored whole: its windows always arrive in one batch. ``score`` adds ``loss``
+    to feature rows. A packet is denied when it is later than ``denied_from_ns``.
+    """
+    w = opts.window_ns
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        loss = decide(score(summarise(batch, opts)), threshold)
+        hits = loss.filter("is_attack = 1").groupBy("src_ip").agg(
+            F.min("last_window_id").alias("last_window_id"))
+        # one folder per batch number: a repeated batch overwrites itself
+        (hits.withColumn("denied_window", F.col("last_window_id") + 1)
+         .withColumn("window_ns", F.lit(w)).drop("last_window_id")
+         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+
+    query = (chunks.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_deny_table(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.schema("src_ip string, denied_window long, window_ns long, batch int")
+            .parquet(path).groupBy("src_ip").agg(F.min("denied_window").alias("denied_window")))
+
+
+def filter_stream(packets: DataFrame, deny_path: str, opts: WindowOptions, origin_ns: int,
+                  path: str, checkpoint: str) -> None:
+    """Mark the packets of each micro-batch with the deny table as it is at that moment."""
+    spark = packets.sparkSession
+
+    def mark(batch: DataFrame, batch_id: int) -> None:
+        cell = F.expr(f"(ts_ns - {origin_ns}) div {opts.window_ns}")
+        deny = read_deny_table(spark, deny_path)
+        (batch.join(deny, "src_ip", "left")
+         .withColumn("denied", F.coalesce(cell >= F.col("denied_window"), F.lit(False)))
+         .select("frame_no", "src_ip", "denied")
+         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+
+    query = (packets.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
