@@ -72,8 +72,9 @@ def summarise(chunked: DataFrame, opts: WindowOptions, truncate_totals: bool = F
 def flow_features(packets: DataFrame, opts: WindowOptions, calendar: Calendar | None = None,
                   truncate_totals: bool = False, **window_args) -> DataFrame:
     """Packets to feature rows. The window table is written once: chunking reads it twice."""
+    calendar = calendar or build_calendar(packets, opts)
     windows = cut(window_stats(packets, opts, calendar, **window_args))
-    rows = summarise(history_chunks(windows, opts), opts, truncate_totals)
+    rows = summarise(history_chunks(windows, opts, calendar.last_cell), opts, truncate_totals)
     return rows.select("src_ip", "chunk_id", "last_window_id", *FEATURES[1:])
 
 

@@ -21,7 +21,12 @@ def history_rank(windows: DataFrame, opts: WindowOptions) -> DataFrame:
     return running_sums(windows, [_SRC], "window_id", {"rank": F.lit(1)}, opts.history_block)
 
 
-def _blocks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
+def _single(last_window: int | None, opts: WindowOptions) -> bool:
+    """Callers that know the greatest window id spare short inputs the block level."""
+    return last_window is not None and last_window < opts.history_block
+
+
+def _blocks(windows: DataFrame, opts: WindowOptions, last_window: int | None = None) -> DataFrame:
     """One row per (source, block): its windows in order, plus the h-1 windows before it.
 
     Every block holds at least one window, so the last h-1 blocks surely contain the
@@ -33,6 +38,10 @@ def _blocks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
     blocks = (windows.select(_SRC, "window_id", "tstamp_start", "tstamp_end")
               .withColumn(_BLK, F.expr(f"window_id div {opts.history_block}"))
               .groupBy(_SRC, _BLK).agg(F.sort_array(F.collect_list(item)).alias("ws")))
+    ready = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: _is_ready(i, opts))
+    if _single(last_window, opts):
+        none = F.array().cast(blocks.schema["ws"].dataType)
+        return blocks.withColumn("prev", none).withColumn("seq", F.col("ws")).withColumn("ok", ready)
     newest = f"slice({{0}}, greatest(1, size({{0}}) - {h - 2}), {h - 1})"
     tails = blocks.select(_SRC, _BLK, F.expr(newest.format("ws")).alias("tail"))
     back = Window.partitionBy(_SRC).orderBy(_BLK).rowsBetween(-(h - 1), -1)
@@ -40,8 +49,7 @@ def _blocks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
               .withColumn("prev", F.expr(newest.format("prev"))))
     return (blocks.join(before, [_SRC, _BLK])
             .withColumn("seq", F.concat("prev", "ws"))
-            .withColumn("ok", F.transform(
-                F.sequence(F.lit(1), F.size("ws")), lambda i: _is_ready(i, opts))))
+            .withColumn("ok", ready))
 
 
 def _is_ready(i: Column, opts: WindowOptions) -> Column:
@@ -54,15 +62,17 @@ def _is_ready(i: Column, opts: WindowOptions) -> Column:
     return full & (last["e"] - first["s"] < opts.timeout_ns)
 
 
-def history_ready(windows: DataFrame, opts: WindowOptions) -> DataFrame:
+def history_ready(windows: DataFrame, opts: WindowOptions,
+                  last_window: int | None = None) -> DataFrame:
     """Per window: do the last ``history_min`` windows of the source lie within the timeout?"""
     pairs = F.arrays_zip(F.col("ws.id").alias("id"), F.col("ok").alias("ok"))
-    return (_blocks(windows, opts).select(_SRC, F.explode(pairs).alias("p"))
+    return (_blocks(windows, opts, last_window).select(_SRC, F.explode(pairs).alias("p"))
             .select(_SRC, F.col("p")["id"].alias("window_id"), F.col("p")["ok"].alias("ready")))
 
 
-def ready_sources(windows: DataFrame, opts: WindowOptions) -> DataFrame:
-    return history_ready(windows, opts).filter("ready").select(_SRC).distinct()
+def ready_sources(windows: DataFrame, opts: WindowOptions,
+                  last_window: int | None = None) -> DataFrame:
+    return history_ready(windows, opts, last_window).filter("ready").select(_SRC).distinct()
 
 
 def _advance(h: int):
@@ -78,7 +88,8 @@ def _advance(h: int):
     return step
 
 
-def history_chunks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
+def history_chunks(windows: DataFrame, opts: WindowOptions,
+                   last_window: int | None = None) -> DataFrame:
     """Assign windows to non-overlapping runs of ``history_min``: adds ``chunk_id``.
 
     The rule is sequential, but its state is only the history length (0..h-1). Each block
@@ -88,7 +99,36 @@ def history_chunks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
     if opts.history_timeout is None:
         return _chunks_by_rank(windows, opts)
     h = opts.history_min
-    blocks = _blocks(windows, opts)
+    blocks = _blocks(windows, opts, last_window)
+    zero = F.lit(0)
+    if _single(last_window, opts):
+        started = blocks.withColumn("_s", zero).withColumn("_c", zero)
+    else:
+        started = blocks.join(_entry_states(blocks, h), [_SRC, _BLK])
+    ends = F.expr("cast(array() as array<struct<c:int,at:int>>)")
+    step = _advance(h)
+
+    def replay(acc, ok):
+        nxt = step(acc, ok)
+        done = nxt["c"] > acc["c"]
+        at = acc["at"] + 1
+        return F.struct(nxt["s"].alias("s"), nxt["c"].alias("c"), at.alias("at"),
+                        F.when(done, F.array_append(acc["out"], F.struct(
+                            acc["c"].alias("c"), at.alias("at"))))
+                        .otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.col("_s").alias("s"), F.col("_c").alias("c"),
+                     F.size("prev").alias("at"), ends.alias("out"))
+    runs = started.select(_SRC, "seq", F.explode(F.aggregate("ok", start, replay,
+                                                            lambda acc: acc["out"])).alias("r"))
+    members = runs.select(
+        _SRC, F.col("r")["c"].cast("long").alias("chunk_id"),
+        F.explode(F.slice(F.col("seq.id"), F.col("r")["at"] - h + 1, h)).alias("window_id"))
+    return windows.join(members, [_SRC, "window_id"])
+
+
+def _entry_states(blocks: DataFrame, h: int) -> DataFrame:
+    """History length and chunk count at the start of every block of a source."""
     zero = F.lit(0)
     exits = F.array(*[
         F.aggregate("ok", F.struct(F.lit(s).alias("s"), zero.alias("c")), _advance(h))
@@ -105,32 +145,11 @@ def history_chunks(windows: DataFrame, opts: WindowOptions) -> DataFrame:
                             block[_BLK].alias("b"), acc["s"].alias("s"),
                             acc["c"].alias("c"))).alias("out"))
 
-    entries = (chained.select(_SRC, F.explode(F.aggregate(
+    return (chained.select(_SRC, F.explode(F.aggregate(
         "m", F.struct(zero.alias("s"), zero.alias("c"), typed.alias("out")), chain,
         lambda acc: acc["out"])).alias("x"))
         .select(_SRC, F.col("x")["b"].alias(_BLK), F.col("x")["s"].alias("_s"),
                 F.col("x")["c"].alias("_c")))
-    ends = F.expr("cast(array() as array<struct<c:int,at:int>>)")
-    step = _advance(h)
-
-    def replay(acc, ok):
-        nxt = step(acc, ok)
-        done = nxt["c"] > acc["c"]
-        at = acc["at"] + 1
-        return F.struct(nxt["s"].alias("s"), nxt["c"].alias("c"), at.alias("at"),
-                        F.when(done, F.array_append(acc["out"], F.struct(
-                            acc["c"].alias("c"), at.alias("at"))))
-                        .otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.col("_s").alias("s"), F.col("_c").alias("c"),
-                     F.size("prev").alias("at"), ends.alias("out"))
-    runs = (blocks.join(entries, [_SRC, _BLK])
-            .select(_SRC, "seq", F.explode(F.aggregate("ok", start, replay,
-                                                       lambda acc: acc["out"])).alias("r")))
-    members = runs.select(
-        _SRC, F.col("r")["c"].cast("long").alias("chunk_id"),
-        F.explode(F.slice(F.col("seq.id"), F.col("r")["at"] - h + 1, h)).alias("window_id"))
-    return windows.join(members, [_SRC, "window_id"])
 
 
 def _chunks_by_rank(windows: DataFrame, opts: WindowOptions) -> DataFrame:

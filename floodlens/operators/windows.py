@@ -72,18 +72,30 @@ def _edge_owners(cells: DataFrame) -> DataFrame:
             .withColumn("own", F.when(has_edge, F.col("_anchor")["own"] != flips)))
 
 
-def _dense_ids(cells: DataFrame) -> DataFrame:
-    """Dense ids in two levels, so that the calendar is never ranked in one task."""
+def _dense_ids(cells: DataFrame, last: int | None) -> DataFrame:
+    """Dense ids and the next window's first packet.
+
+    A calendar of more than one bucket is ranked in two levels, never in one task.
+    """
+    first = [F.col("first")["frame_no"].alias("first_frame"), F.col("first")["ts_ns"].alias("first_ts")]
+    if last is None or last < _BUCKET:
+        order = Window.orderBy("cell")
+        after = F.lead("first").over(order)
+        return (cells.select("cell", (F.row_number().over(order) - 1).cast("long").alias("window_id"),
+                             "first", after.alias("_after"))
+                .select("window_id", "cell", *first, F.col("_after")["frame_no"].alias("next_frame"),
+                        F.col("_after")["ts_ns"].alias("next_ts")))
     cells = cells.withColumn("_bucket", F.expr(f"cell div {_BUCKET}"))
     sizes = cells.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offset = sizes.select("_bucket", F.coalesce(F.sum("_n").over(
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("cell"))
-    return (cells.join(offset, "_bucket")
-            .select("cell", (rank - 1 + F.col("_before")).alias("window_id"),
-                    F.col("first")["frame_no"].alias("first_frame"),
-                    F.col("first")["ts_ns"].alias("first_ts")))
+    ids = (cells.join(offset, "_bucket")
+           .select("cell", (rank - 1 + F.col("_before")).alias("window_id"), *first))
+    after = ids.select((F.col("window_id") - 1).alias("window_id"),
+                       F.col("first_frame").alias("next_frame"), F.col("first_ts").alias("next_ts"))
+    return cut(ids.join(after, "window_id", "left"))
 
 
 def build_calendar(packets: DataFrame, opts: WindowOptions) -> Calendar:
@@ -93,23 +105,22 @@ def build_calendar(packets: DataFrame, opts: WindowOptions) -> Calendar:
     cells = cut(_grid(packets, origin, opts).groupBy("cell")
                 .agg(F.min(F.when(~F.col("_edge"), stamp)).alias("inner_first"),
                      F.min(F.when(F.col("_edge"), stamp)).alias("edge_first")))
+    edges = F.count_if(F.col("edge_first").isNotNull() & (F.col("cell") > 0))
+    shared, last = cells.agg(edges, F.max("cell")).first()
     first = F.coalesce("edge_first", "inner_first")
     moved = None
     # only the very first packet lies on an edge in most captures
-    if cells.filter(F.col("edge_first").isNotNull() & (F.col("cell") > 0)).limit(1).count():
+    if shared:
         owners = cut(_edge_owners(cells).select("cell", "inner_first", "edge_first", "own"))
-        if owners.filter(~F.col("own")).limit(1).count():
-            moved = owners.filter(~F.col("own")).select("cell")
         own = F.coalesce(F.col("own"), F.lit(False))
+        kept = own | F.col("inner_first").isNotNull()
+        stay, last = owners.agg(F.count_if(~F.col("own")), F.max(F.when(kept, F.col("cell")))).first()
+        if stay:
+            moved = owners.filter(~F.col("own")).select("cell")
         first = F.when(own, F.col("edge_first")).otherwise(F.col("inner_first"))
-        cells = owners.filter(own | F.col("inner_first").isNotNull())
-    ids = _dense_ids(cells.select("cell", first.alias("first")))
-    after = ids.select((F.col("window_id") - 1).alias("window_id"),
-                       F.col("first_frame").alias("next_frame"),
-                       F.col("first_ts").alias("next_ts"))
-    windows = cut(ids.join(after, "window_id", "left"))
-    last = windows.agg(F.max("cell")).first()[0]
-    return Calendar(origin, last, windows, moved)
+        cells = owners.filter(kept)
+    ids = _dense_ids(cells.select("cell", first.alias("first")), last)
+    return Calendar(origin, last, ids, moved)
 
 
 def assign_windows(packets: DataFrame, opts: WindowOptions,

@@ -78,7 +78,7 @@ class Context:
     def chunked(self) -> DataFrame:
         from floodlens.operators.history import history_chunks
 
-        return cut(history_chunks(self.windows, self.opts))
+        return cut(history_chunks(self.windows, self.opts, self.calendar.last_cell))
 
     @cached_property
     def features(self) -> DataFrame:

@@ -26,9 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written once, read by every later use, survives lost executors."""
+    """Write once to the shared folder and read back.
+
+    Later uses start from the table, lost executors do not force a recomputation, and, unlike
+    an RDD checkpoint, the planner sees sizes and prunes columns.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
