@@ -15,7 +15,7 @@ def options(window=1000, **kw):
     return WindowOptions(window_length=window * NS, **{**base, **kw})
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_windows_agree_with_packet_loop(spark, seed):
     rows = seq.random_packets(seed, window=1000)
     df = spark.createDataFrame(rows, seq.SCHEMA).repartition(3)
@@ -34,7 +34,7 @@ def test_edge_ownership_is_exact_for_any_bucket(spark, monkeypatch, bucket):
     """Runs of packets on consecutive edges alternate between staying and opening."""
     monkeypatch.setattr(windows, "_BUCKET", bucket)
     rng = random.Random(7)
-    for _ in range(4):
+    for _ in range(2):
         ticks = sorted({0} | {rng.randrange(0, 60) * 5 for _ in range(40)})
         rows = [(i, 100 + t, "a", "b", 6, 1, 1, 40, 1, False) for i, t in enumerate(ticks)]
         df = spark.createDataFrame(rows, seq.SCHEMA)
@@ -80,7 +80,7 @@ def history_rows(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("block", [1, 5, 4096])
 def test_chunks_agree_with_history_loop(spark, seed, block):
     rows = history_rows(seed)
@@ -89,7 +89,8 @@ def test_chunks_agree_with_history_loop(spark, seed, block):
         opts = options(history_min=h, history_block=block,
                        history_timeout=None if timeout is None else timeout * NS)
         got = {}
-        for r in history.history_chunks(df, opts).collect():
+        known = 200 if block == 4096 else None  # the short-input path
+        for r in history.history_chunks(df, opts, known).collect():
             got.setdefault(r.chunk_id, []).append(r.window_id)
         want = seq.chunks([r[1:] for r in rows], h, timeout)
         assert [sorted(got[k]) for k in sorted(got)] == want
@@ -110,7 +111,7 @@ def spread(rows):
     return (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_predictions_and_replay_agree_with_packet_loop(spark, seed):
     rows = seq.random_packets(seed + 50, n=500, sources=3)
     df = spark.createDataFrame(rows, seq.SCHEMA)
