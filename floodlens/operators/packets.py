@@ -38,17 +38,20 @@ def _usable() -> Column:
 
 
 def _shape(headers: DataFrame, proto: Column, head: Column, payload: Column,
-           fragmented: Column) -> DataFrame:
+           fragmented: Column, keep=()) -> DataFrame:
     return headers.select(
         "frame_no", "ts_ns", "src_ip", "dst_ip", proto.cast("int").alias("proto_l4"),
         F.coalesce("src_port", F.lit(0)).alias("src_port"),
         F.coalesce("dst_port", F.lit(0)).alias("dst_port"),
         head.cast("long").alias("len_headers"), payload.cast("long").alias("len_payload"),
-        fragmented.alias("fragmented"))
+        fragmented.alias("fragmented"), *keep)
 
 
-def packet_features(headers: DataFrame) -> DataFrame:
-    """Packets of complete captures: lengths come from the captured bytes."""
+def packet_features(headers: DataFrame, keep=()) -> DataFrame:
+    """Packets of complete captures: lengths come from the captured bytes.
+
+    ``keep`` names further columns to carry along, such as ``raw``.
+    """
     l4 = _l4_header()
     body = F.when(_is_v4(), F.col("l3_len") - F.col("ihl") * 4).otherwise(F.col("v6_plen"))
     head = F.when(l4.isNull(), _ip_header()).otherwise(_ip_header() + body - F.col("l4_len") + l4)
@@ -56,10 +59,10 @@ def packet_features(headers: DataFrame) -> DataFrame:
                .otherwise(F.col("l4_len") - l4))
     split = F.when(_is_v4(), (F.col("frag_offset") > 0) | (F.col("ip_flags") == MORE_FRAGMENTS))
     split = F.coalesce(split.otherwise(F.col("v6_fragment")), F.lit(False))
-    return _shape(headers.filter(_usable()), _proto(), head, payload, split)
+    return _shape(headers.filter(_usable()), _proto(), head, payload, split, keep)
 
 
-def packet_features_truncated(headers: DataFrame) -> DataFrame:
+def packet_features_truncated(headers: DataFrame, keep=()) -> DataFrame:
     """Packets of captures cut after the headers: lengths come from the IP header.
 
     Packets declaring length 0 are dropped. SCTP keeps its ports but reports protocol 0, and
@@ -71,7 +74,7 @@ def packet_features_truncated(headers: DataFrame) -> DataFrame:
     payload = _ip_header() + declared - head
     proto = F.when(F.col("l4") == SCTP, 0).otherwise(_proto())
     kept = headers.filter(_usable() & ~F.coalesce(F.col("ip_len") == 0, F.lit(False)))
-    return _shape(kept, proto, head, payload, F.lit(False))
+    return _shape(kept, proto, head, payload, F.lit(False), keep)
 
 
 def flow_key(headers: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ HEADERS = (
     "ihl int, ip_len int, l3_len int, frag_offset int, ip_flags int, v6_plen int, "
     "v6_fragment boolean, l4 int, l4_len int, src_port int, dst_port int, data_offset int, "
     "udp_len int, icmp6_type int, corrupt boolean")
-FIELDS = [f.split()[0] for f in HEADERS.split(", ")]
+RAW = ", raw binary"
 
 
 class CaptureError(ValueError):
@@ -232,7 +232,7 @@ class _Reader(DataSourceReader):
         schema, rows = to_arrow_schema(self.schema), []
         for i, (ts, link, data) in enumerate(read_frames(partition.path)):
             rows.append({"file": partition.path, "frame_no": partition.number * FILE_FRAMES + i,
-                         "ts_ns": ts, **decode_headers(link, data)})
+                         "ts_ns": ts, "raw": data, **decode_headers(link, data)})
             if len(rows) == BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = []
@@ -241,21 +241,24 @@ class _Reader(DataSourceReader):
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format('captures').load(folder or file)``."""
+    """``spark.read.format('captures').load(folder or file)``; option ``raw`` keeps the bytes."""
 
     @classmethod
     def name(cls):
         return "captures"
 
     def schema(self):
-        return HEADERS
+        return HEADERS + (RAW if str(self.options.get("raw", "")).lower() == "true" else "")
 
     def reader(self, schema):
         return _Reader(schema, self.options["path"])
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Header table of all capture files of a folder; frame numbers follow the file names."""
+def read_captures(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """Header table of all capture files of a folder; frame numbers follow the file names.
+
+    With ``raw`` every row also carries its frame, e.g. for writing packet subsets.
+    """
     list_captures(path)  # fail early on a wrong extension
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("captures").load(path)
+    return spark.read.format("captures").option("raw", raw).load(path)

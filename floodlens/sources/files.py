@@ -17,14 +17,13 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated frame dump with a header, columns checked by name; empty means missing."""
     rows = (spark.read.schema(FRAME_TSV).option("sep", "\t").option("header", True)
             .option("enforceSchema", False).csv(path))
-    renamed = rows.select(*[F.col(f"`{c}`").alias(_plain(c)) for c in rows.columns])
+    numbered = number_rows(rows.withColumnsRenamed({c: _plain(c) for c in rows.columns}), "frame_no")
     ns = (F.col("frame_time_epoch") * 1_000_000_000).cast("long")
-    return number_rows(renamed.select(
-        ns.alias("ts_ns"), F.col("frame_len"), "eth_src", "eth_dst", "ip_src", "ip_dst",
+    return numbered.select(
+        "frame_no", ns.alias("ts_ns"), F.col("frame_len"), "eth_src", "eth_dst", "ip_src", "ip_dst",
         "tcp_srcport", "tcp_dstport", "udp_srcport", "udp_dstport", "icmp_type", "icmp_code",
         "arp_opcode", F.col("arp_src_proto_ipv4").alias("arp_src_ip"),
-        F.col("arp_dst_proto_ipv4").alias("arp_dst_ip"), "ipv6_src", "ipv6_dst")).withColumnRenamed(
-        "row_no", "frame_no")
+        F.col("arp_dst_proto_ipv4").alias("arp_dst_ip"), "ipv6_src", "ipv6_dst")
 
 
 def read_flows(spark: SparkSession, path: str, fmt: FlowFormat) -> DataFrame:
@@ -45,9 +44,9 @@ def read_ip_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_timestamps(spark: SparkSession, path: str) -> DataFrame:
     """Line i is the exact time of frame i in decimal seconds."""
-    rows = spark.read.schema("seconds decimal(20,9)").csv(path)
-    return number_rows(rows.select((F.col("seconds") * 1_000_000_000).cast("long").alias("ts_ns_ext"))
-                       ).withColumnRenamed("row_no", "frame_no")
+    rows = number_rows(spark.read.schema("seconds decimal(20,9)").csv(path), "frame_no")
+    return rows.select("frame_no",
+                       (F.col("seconds") * 1_000_000_000).cast("long").alias("ts_ns_ext"))
 
 
 def read_column(spark: SparkSession, path: str, name: str, kind: str = "double") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 
 class VectorError(ValueError):
@@ -16,30 +16,26 @@ def read_csv(spark: SparkSession, path: str, width: int | None = None) -> DataFr
     if width is None:
         width = len(spark.read.csv(path).columns)
     schema = T.StructType([T.StructField(f"_c{i}", T.DoubleType()) for i in range(width)])
-    rows = spark.read.schema(schema).csv(path).select(
-        F.array(*[f"_c{i}" for i in range(width)]).alias("vector"),
-        F.col("_metadata.file_path").alias("_file"))
-    return number_rows(rows)
+    rows = number_rows(spark.read.schema(schema).csv(path))
+    return rows.select("row_no", F.array(*[f"_c{i}" for i in range(width)]).alias("vector"))
 
 
-def number_rows(rows: DataFrame) -> DataFrame:
-    """Row numbers in reading order: position in the task plus the counts of tasks before.
+def number_rows(scan: DataFrame, name: str = "row_no") -> DataFrame:
+    """Add dense row numbers in file order (files by name, rows by position) to a file scan.
 
-    ``monotonically_increasing_id`` carries the task in its upper bits, so one small
-    count per task turns it into a dense number.
+    Rows of one split are consecutive in ``monotonically_increasing_id``. A table with one row
+    per split gives each split its offset, so no row is sorted or moved.
     """
-    tagged = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_task", F.shiftright("_id", 33))
-    counts = tagged.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).orderBy("_task").collect()
-    starts, total = [], 0
-    for row in counts:  # one entry per task
-        starts.append((row["_task"], total))
-        total += row["_n"]
-    table = rows.sparkSession.createDataFrame(starts, "_task long, _before long")
-    position = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (tagged.join(F.broadcast(table), "_task")
-            .select((F.col("_before") + position).alias("row_no"),
-                    *[c for c in rows.columns if c != "_file"]))
+    tagged = scan.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_start"),
+                         F.monotonically_increasing_id().alias("_id"))
+    splits = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"),
+                                                   F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (tagged.join(offsets, ["_file", "_start"])
+            .select((F.col("_offset") + F.col("_id") - F.col("_first")).alias(name), *scan.columns))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -71,6 +71,17 @@ def test_pair_statistics(spark, residual, double):
                 assert seq.close(r["pcc"], pcc, 1e-4, 1e-5)
 
 
+def test_pair_state_is_the_last_emission(spark):
+    rows = traffic(3, n=40, hosts=3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    cov = damped_pairs.damped_cov(df, "src", "dst", "v", (0.5,), residual="last")
+    want = {}
+    for f, a, b, *_ in rows:
+        want[tuple(sorted((a, b)))] = seq.pair_statistics(rows[:f + 1], 0.5, "last")[f][4]
+    got = {(r.a, r.b): r.cov for r in damped_pairs.pair_state(cov, "src", "dst").collect()}
+    assert set(got) == set(want) and all(seq.close(got[k], v, 1e-6, 1e-6) for k, v in want.items())
+
+
 def test_frame_vector_has_all_columns(spark):
     rows = [(f, int(t * 1e9), int(v), "m" + a, "m" + b, a, b, "80", "90")
             for f, a, b, t, v in traffic(4, n=30)]

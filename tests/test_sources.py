@@ -84,6 +84,8 @@ def test_captures(spark, tmp_path):
     assert 8 not in cut and (cut[2].proto_l4, cut[2].src_port, cut[2].fragmented) == (0, 1, False)
     assert (cut[0].len_headers, cut[0].len_payload) == (44, 5)
     assert {r.proto for r in packets.flow_key(headers).collect()} == {6, 17, 132, 1, 58}
+    kept = packets.packet_features(captures.read_captures(spark, str(tmp_path / "a.pcap"), raw=True), keep=["raw"])
+    assert bytes(kept.filter("frame_no = 0").first().raw) == FRAMES[0]
     (tmp_path / "notes.txt").write_text("x")
     with pytest.raises(captures.CaptureError):
         captures.read_captures(spark, str(tmp_path))
@@ -104,6 +106,15 @@ def test_text_sources(spark, tmp_path):
         vectors.read_many([a, a.withColumn("vector", F.array(F.lit(1.0)))])
 
 
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    sizes = [3, 40, 1, 9]  # Spark packs large files first; numbers must follow names
+    values = iter(range(sum(sizes)))
+    for i, n in enumerate(sizes):
+        (tmp_path / f"part-{i}.csv").write_text("".join(f"{next(values)}\n" for _ in range(n)))
+    rows = files.read_column(spark, str(tmp_path), "v", "long").collect()
+    assert len(rows) == sum(sizes) and all(r.row_no == r.v for r in rows)
+
+
 def test_model(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(260, 3))
