@@ -25,9 +25,13 @@ def _landed(c):
     return path, windows.read_packets(c.spark, path, c.packets.schema)
 
 
+def _cores(c):
+    return c.spark.sparkContext.defaultParallelism
+
+
 def _run(c, stream, name):
     path = scratch_path(c.spark, name)
-    history.run_to_table(stream, path, scratch_path(c.spark, name + "-log"))
+    history.run_to_table(stream, path, scratch_path(c.spark, name + "-log"), _cores(c))
     return path
 
 
@@ -85,10 +89,10 @@ def stream_denylist(c):
     deny, out = scratch_path(c.spark, "deny"), scratch_path(c.spark, "decided")
     score = lambda f: f.withColumn("loss", F.col("pkt_size_std_std"))
     history.deny_stream(_chunks(c), c.opts, score, deny, scratch_path(c.spark, "deny-log"),
-                        c.opts.threshold)
+                        c.opts.threshold, _cores(c))
     _, packets = _landed(c)
     history.filter_stream(packets, deny, c.opts, c.calendar.origin, out,
-                          scratch_path(c.spark, "decided-log"))
+                          scratch_path(c.spark, "decided-log"), _cores(c))
     return c.spark.read.schema("frame_no long, src_ip string, denied boolean, batch int").parquet(
         out).drop("batch")
 

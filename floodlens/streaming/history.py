@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -102,18 +104,38 @@ def damped_stream(rows: DataFrame, key: str, value: str, rates, cutoff: float =
         GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+@contextmanager
+def state_partitions(spark: SparkSession, number: int | None):
+    """Number of state partitions of the queries started inside.
+
+    It is fixed for the life of a checkpoint, so it is worth choosing by the cores at hand.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if number:
+        spark.conf.set(name, number)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _finish(writer, checkpoint: str, spark: SparkSession, partitions: int | None) -> None:
     """Process everything available in micro-batches and stop."""
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", path).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+    with state_partitions(spark, partitions):
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str,
+                 partitions: int | None = None) -> None:
+    """Append what is available to a table."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
+    _finish(writer, checkpoint, stream.sparkSession, partitions)
 
 
 def deny_stream(chunks: DataFrame, opts: WindowOptions, score, path: str, checkpoint: str,
-                threshold: float) -> None:
+                threshold: float, partitions: int | None = None) -> None:
     """Score chunks per micro-batch and append newly denied sources to the deny table.
 
     A chunk is scored whole: its windows always arrive in one batch. ``score`` adds ``loss``
@@ -130,9 +152,7 @@ def deny_stream(chunks: DataFrame, opts: WindowOptions, score, path: str, checkp
          .withColumn("window_ns", F.lit(w)).drop("last_window_id")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
 
-    query = (chunks.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    _finish(chunks.writeStream.foreachBatch(upsert), checkpoint, chunks.sparkSession, partitions)
 
 
 def read_deny_table(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +161,7 @@ def read_deny_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filter_stream(packets: DataFrame, deny_path: str, opts: WindowOptions, origin_ns: int,
-                  path: str, checkpoint: str) -> None:
+                  path: str, checkpoint: str, partitions: int | None = None) -> None:
     """Mark the packets of each micro-batch with the deny table as it is at that moment."""
     spark = packets.sparkSession
 
@@ -153,6 +173,4 @@ def filter_stream(packets: DataFrame, deny_path: str, opts: WindowOptions, origi
          .select("frame_no", "src_ip", "denied")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
 
-    query = (packets.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    _finish(packets.writeStream.foreachBatch(mark), checkpoint, spark, partitions)
