@@ -69,7 +69,7 @@ def _chunks(c):
     return history.chunk_stream(rows, c.opts)
 
 
-@query("stream_features", sql(f"""SELECT src_ip, chunk_id, last_window_id, {rounded('pkts_total')},
+@query("stream_features", sql(f"""SELECT src_ip, last_window_id, {rounded('pkts_total')},
   {rounded('pkt_rate')}, {rounded('pkt_size_std_std')}, {rounded('dominant_proto_ratio_std')}
   FROM feat"""))
 def stream_features(c):
@@ -78,8 +78,8 @@ def stream_features(c):
     stream = _chunks(c)
     path = _run(c, stream, "chunks")
     rows = summarise(c.spark.read.schema(stream.schema).parquet(path), c.opts)
-    return rows.select("src_ip", "chunk_id", "last_window_id", "pkts_total", "pkt_rate",
-                       "pkt_size_std_std", "dominant_proto_ratio_std")
+    return rows.select("src_ip", "last_window_id", "pkts_total", "pkt_rate", "pkt_size_std_std",
+                       "dominant_proto_ratio_std")
 
 
 @query("stream_denylist", sql("""SELECT p.frame_no, p.src_ip, coalesce(p.cell >= d.w, FALSE) AS denied

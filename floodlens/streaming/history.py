@@ -18,6 +18,7 @@ from floodlens.schemas import WINDOW_STATS
 def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 seconds") -> DataFrame:
     """Windows of a source gathered into runs of ``history_min``: adds ``chunk_id``.
 
+    The id is that of the run's last window: unique per source also after its state expired.
     The state holds at most ``history_min - 1`` windows of a source and expires by event time.
     """
     h, timeout = opts.history_min, opts.timeout_ns
@@ -32,11 +33,9 @@ def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 second
         if state.hasTimedOut:
             state.remove()
             return
-        done, emitted = 0, []
-        history = []
+        history, emitted = [], []
         if state.exists:
-            done, *columns = state.get
-            history = [dict(zip(WINDOW_STATS, values)) for values in zip(*columns)]
+            history = [dict(zip(WINDOW_STATS, values)) for values in zip(*state.get)]
         arrived = pd.concat(list(batches)).sort_values("window_id")
         for row in arrived[list(WINDOW_STATS)].to_dict("records"):
             history.append(row)
@@ -44,11 +43,11 @@ def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 second
                 continue
             fresh = timeout is None or row["tstamp_end"] - history[0]["tstamp_start"] < timeout
             if fresh:
-                emitted += [{**w, "src_ip": key[0], "chunk_id": done} for w in history]
-                done, history = done + 1, []
+                emitted += [{**w, "src_ip": key[0], "chunk_id": row["window_id"]} for w in history]
+                history = []
             else:
                 history.pop(0)
-        state.update((done, *[[_plain(w[n]) for w in history] for n in WINDOW_STATS]))
+        state.update(tuple([_plain(w[n]) for w in history] for n in WINDOW_STATS))
         if keep_ms is not None:
             newest = int(arrived["tstamp_end"].max()) // 1_000_000
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms + 1)
@@ -56,7 +55,7 @@ def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 second
             yield pd.DataFrame(emitted)[[*names, "chunk_id"]]
 
     return (rows.withWatermark("_t", delay).groupBy("src_ip").applyInPandasWithState(
-        advance, out, f"done long, {held}", "append", GroupStateTimeout.EventTimeTimeout))
+        advance, out, held, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def _plain(value):
@@ -152,6 +151,9 @@ def deny_stream(chunks: DataFrame, opts: WindowOptions, score, path: str, checkp
          .withColumn("window_ns", F.lit(w)).drop("last_window_id")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
 
+    # an empty part, so that the table exists before the first chunk is complete
+    (chunks.sparkSession.createDataFrame([], "src_ip string, denied_window long, window_ns long")
+     .write.mode("overwrite").parquet(f"{path}/batch=-1"))
     _finish(chunks.writeStream.foreachBatch(upsert), checkpoint, chunks.sparkSession, partitions)
 
 
