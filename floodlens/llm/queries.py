@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floodlens.llm.common import table
 from floodlens.llm.packing import best_fit_packing
 from floodlens.llm.quality_rules import quality_rules
+from floodlens.llm.topk import top_k
 
 QUERIES: dict = {}
 #: None of these can be written in SQL that DuckDB runs on whole tables; tests/llm holds them against brute force.
@@ -37,3 +38,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
