@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floodlens.llm.common import table
+from floodlens.llm.chat import format_chat, read_back
+from floodlens.llm.compression_classifier import compression_quality, fit_on_table
 from floodlens.llm.packing import best_fit_packing
 from floodlens.llm.quality_rules import quality_rules
 from floodlens.llm.topk import top_k
@@ -43,3 +45,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_quality(docs, fit_on_table(docs, table(spark, sf_dir, "labels")))
+
+
+#: A conversation whose texts are control strings of another template.
+CONTROL_CONVERSATION = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    return read_back(format_chat(turns.union(extra), vocabulary("byte_bpe_50k.json")))
