@@ -8,6 +8,7 @@ from floodlens.llm.common import table
 from floodlens.llm.chat import format_chat, read_back
 from floodlens.llm.compression_classifier import compression_quality, fit_on_table
 from floodlens.llm.packing import best_fit_packing
+from floodlens.llm.piece_sampling import sample_pieces
 from floodlens.llm.quality_rules import quality_rules
 from floodlens.llm.topk import top_k
 
@@ -62,3 +63,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
     return read_back(format_chat(turns.union(extra), vocabulary("byte_bpe_50k.json")))
+
+
+@query
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
