@@ -8,6 +8,7 @@ from floodlens.llm.common import table
 from floodlens.llm.chat import format_chat, read_back
 from floodlens.llm.compression_classifier import compression_quality, fit_on_table
 from floodlens.llm.packing import best_fit_packing
+from floodlens.llm.pii import personal_data, train_tagger
 from floodlens.llm.piece_sampling import sample_pieces
 from floodlens.llm.quality_rules import quality_rules
 from floodlens.llm.topk import top_k
@@ -68,3 +69,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, train_tagger(docs))
