@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floodlens.llm.common import table
 from floodlens.llm.chat import format_chat, read_back
 from floodlens.llm.compression_classifier import compression_quality, fit_on_table
+from floodlens.llm.near_dedup import near_duplicates
 from floodlens.llm.packing import best_fit_packing
 from floodlens.llm.pii import personal_data, train_tagger
 from floodlens.llm.piece_sampling import sample_pieces
 from floodlens.llm.quality_rules import quality_rules
+from floodlens.llm.suffix_dedup import suffix_dedup
 from floodlens.llm.topk import top_k
 
 QUERIES: dict = {}
@@ -75,3 +77,13 @@ def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return personal_data(docs, train_tagger(docs))
+
+
+@query
+def op5_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
