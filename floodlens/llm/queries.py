@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floodlens.llm.common import table
 from floodlens.llm.chat import format_chat, read_back
 from floodlens.llm.compression_classifier import compression_quality, fit_on_table
+from floodlens.llm.html_text import extract_text
 from floodlens.llm.near_dedup import near_duplicates
 from floodlens.llm.packing import best_fit_packing
 from floodlens.llm.pii import personal_data, train_tagger
@@ -87,3 +88,8 @@ def op5_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
