@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,21 +37,27 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str,
+              carry: Sequence[str] = ()) -> DataFrame:
     """Apply ``make()(batch) -> list of columns`` to parts of bounded size.
 
     ``columns`` names what is read, ending with the text column. ``make`` runs once for each task,
-    in the worker, so that models and caches are loaded there. ``schema`` is a Spark DDL string.
+    in the worker, so that models and caches are loaded there. ``schema`` is a Spark DDL string for what
+    ``make`` gives. Columns in ``carry`` pass through unchanged, behind those.
     """
-    narrow, target = df.select(*columns), arrow_schema(schema)
+    extra = [c for c in carry if c not in columns]
+    narrow = df.select(*extra, *columns)
+    added = StructType([df.schema[c] for c in carry])
+    full = StructType(StructType.fromDDL(schema).fields + added.fields)
+    target = to_arrow_schema(full)
 
     def run(batches):
         work = make()
         for batch in batches:
             for part in pieces(batch, columns[-1]):
-                out = work(part)
+                out = work(part.select(columns)) + [part.column(c) for c in carry]
                 yield pa.RecordBatch.from_arrays(
                     [v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type)
                      for v, f in zip(out, target)], schema=target)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, full)

@@ -14,6 +14,7 @@ import hashlib
 import pickle
 import random
 import re
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -217,12 +218,12 @@ def written(spans: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, tagger: Tagger, id_column: str = "doc_id", text_column: str = "text",
-                  masked: bool = False) -> DataFrame:
+                  masked: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: counts and digest of the pattern spans, all spans, and the number of added ones.
 
     Null and empty texts have no spans; a text is searched as a whole however long it is. Rows with equal ids are
     searched apart, a null id stays null, other columns are ignored. ``masked`` adds the text with every span replaced
-    by its kind in angle brackets.
+    by its kind in angle brackets. Columns named in ``carry`` come along.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     schema = (f"{id_column} {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
@@ -243,7 +244,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, id_column: str = "doc_id", te
 
         return work
 
-    return map_texts(docs, [id_column, text_column], make, schema)
+    return map_texts(docs, [id_column, text_column], make, schema, carry)
 
 
 def mask(text: str, spans: list[Span]) -> str:

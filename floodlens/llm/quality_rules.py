@@ -8,6 +8,7 @@ the rows, no shuffle: a document is one row, so nothing depends on how rows are
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,9 +123,11 @@ def judge(text: str, rules: Rules = Rules()) -> tuple:
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id",
-                  text_column: str = "text", with_text: bool = False) -> DataFrame:
+                  text_column: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``kept``, ``lost_chars`` and, on request, ``clean_text``.
 
+    Columns named in ``carry`` come along.
+
     Null texts count as empty; texts without words fail. Rows with equal ids are judged apart, a null id stays
     null. Other columns are ignored. An empty table gives an empty result.
     """
@@ -140,4 +143,4 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc
 
         return work
 
-    return map_texts(docs, [id_column, text_column], make, schema)
+    return map_texts(docs, [id_column, text_column], make, schema, carry)

@@ -23,10 +23,13 @@ buckets by their own hashes. Texts are shuffled once; all three passes over chun
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from floodlens.llm.common import arrow_schema
 
@@ -205,6 +208,7 @@ class _Chunk:
         ids = rows["doc_id"].to_numpy()
         texts = [t or b"" for t in rows["text"].to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = order
         self.ids = ids[order].astype(np.int64)
         self.texts = [texts[i] for i in order]
         self.offsets = np.cumsum([0] + [len(t) for t in self.texts])
@@ -367,7 +371,7 @@ def _removed(c: _Chunk, replies: pa.Table) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _results(buckets: int, with_text: bool, schema: pa.Schema):
+def _results(buckets: int, carry: Sequence[str], schema: pa.Schema):
     def work(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
@@ -379,26 +383,34 @@ def _results(buckets: int, with_text: bool, schema: pa.Schema):
             n = int(lost.sum())
             kept = c.data[c.offsets[k]:c.offsets[k + 1]][~lost].tobytes() if n else text
             spans = int(lost[:1].sum() + (lost[1:] & ~lost[:-1]).sum()) if n else 0
-            out.append((key, len(text), n, spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if with_text else ()))
-        return _table(out, schema)
+            out.append((key, len(text), n, spans, hashlib.sha256(kept).hexdigest(), kept))
+        columns = [pa.array(x, f.type) for x, f in zip(zip(*out), schema)]
+        columns += [rows[name].take(c.order).combine_chunks() for name in carry]
+        return pa.table(columns, schema=schema)
 
     return work
 
 
-def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False,
+def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] = (),
                  chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the kept bytes of each document.
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each document.
+
+    Columns named in ``carry`` come along.
 
     Null texts are empty. Rows with equal ids count as one document when compared: they do not remove from each other. A
     row with a null id takes no part and is kept whole. Texts shorter than 50 bytes are kept. Other columns are ignored;
     an empty table gives no rows.
     """
+    carry = [c for c in carry if c not in (id_column, text_column)]
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"),
-                        F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"))
+                        F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"),
+                        *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
+    extra = [f"carry_{k}" for k in range(len(carry))]
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
-    dealt = named.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
-    result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
+    dealt = named.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "text", *extra)
+    fields = StructType.fromDDL("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields
+    result = StructType(fields + [named.schema[c] for c in extra])
 
     answer = arrow_schema(REPLIES)
     entries = dealt.groupBy("chunk").applyInArrow(_send_entries(buckets), ENTRIES)
@@ -407,9 +419,10 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     masks = asked.groupBy("bucket").applyInArrow(lambda rows: _match_pieces(rows, answer), REPLIES)
     replies = codes.unionByName(masks)
     found = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _results(buckets, with_text, arrow_schema(result)), result)
-    size = F.octet_length("text").cast("long")
-    loose = named.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                                                 F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
-                                                 *([F.col("text").alias("kept")] if with_text else []))
-    return found.unionByName(loose).withColumnRenamed("doc_id", id_column)
+        _results(buckets, extra, to_arrow_schema(result)), result)
+    none = F.lit(0).cast("long")
+    loose = named.where("doc_id IS NULL").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"), *extra)
+    return (found.unionByName(loose).withColumnRenamed("doc_id", id_column)
+            .withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)}))
