@@ -127,7 +127,7 @@ def fit_on_table(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, te
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n")
     rows = (docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, text_chars).alias("text"))
-            .join(chosen, "doc_id").collect())
+            .join(F.broadcast(chosen), "doc_id").collect())  # 2 * sample_rows ids at most: texts are not shuffled
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     by = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     return fit(by[1], by[0])
