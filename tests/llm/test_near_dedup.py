@@ -59,10 +59,11 @@ def test_family(spark):
     assert 10 < len({c for _, c in want.values()}) < 150
 
 
-def test_threshold():
+def test_threshold(spark):
     sets = shingle_sets([" ".join(f"w{i}" for i in range(n)) for n in (104, 89, 88)])
     assert [len(s) for s in sets] == [100, 85, 84]
-    assert linked(sets[0], sets[1]) and not linked(sets[0], sets[2])
+    rows = spark.createDataFrame([(sets[0].tolist(), s.tolist()) for s in sets] + [([], [])], "a array<long>, b array<long>")
+    assert [r[0] for r in rows.select(linked(rows.a, rows.b)).collect()] == [True, True, False, False]
     assert shingle_sets(["", "A b", "a B", "É"])[1].tolist() == shingle_sets(["a b"])[0].tolist()
 
 
