@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from floodlens.llm.near_dedup import near_duplicates
 from floodlens.llm.packing import best_fit_packing
@@ -43,7 +44,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def valid_text(kept: pd.Series) -> pd.Series:
     return kept.map(lambda raw: raw.decode("utf-8", "ignore"))
 
