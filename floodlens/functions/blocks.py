@@ -5,9 +5,6 @@ avoided. Rows are cut into blocks by a row number that is unique in the table (t
 arrival index); a window runs inside ``(key, block)``, which holds at most
 ``block_rows`` rows, and a second, much smaller table with one row per
 ``(key, block)`` carries the state across blocks. Keys and row numbers must not be null.
-
-Callers that know the greatest row number of the table pass it as ``last``: if the whole
-table fits one block, a key is bounded anyway and the second level is left out.
 """
 
 from __future__ import annotations
@@ -27,18 +24,11 @@ def attach(df: DataFrame, state: DataFrame, names) -> DataFrame:
     return df.join(state, list(names), "left")
 
 
-def one_block(last: int | None, block_rows: int) -> bool:
-    return last is not None and last < block_rows
-
-
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
-                 block_rows: int = BLOCK_ROWS, last: int | None = None) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add running sums of ``sums`` over ``keys`` ordered by ``order``, a unique integer."""
     upto = (Window.unboundedPreceding, 0)
     zero = F.lit(0)
-    if one_block(last, block_rows):
-        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-        return df.withColumns({n: F.coalesce(F.sum(c).over(whole), zero) for n, c in sums.items()})
     base = with_block(df.withColumns({f"__v_{n}": c for n, c in sums.items()}), order, block_rows)
     block = _B
     groups = [*keys, block]
@@ -56,11 +46,8 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
 
 
 def previous(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
-             block_rows: int = BLOCK_ROWS, last: int | None = None) -> DataFrame:
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add, per row, the given values of the preceding row of the same key (lag 1)."""
-    if one_block(last, block_rows):
-        whole = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({n: F.lag(c).over(whole) for n, c in values.items()})
     base = with_block(df, order, block_rows)
     groups = [*keys, _B]
     pack = F.struct(*[c.alias(n) for n, c in values.items()])
@@ -91,8 +78,7 @@ def running_max(df: DataFrame, keys: list[str], order: str, value: Column, name:
 
 
 def asof_last(left: DataFrame, right: DataFrame, keys: list[str], order: str,
-              values: list[str], strict: bool = False, block_rows: int = BLOCK_ROWS,
-              last: int | None = None) -> DataFrame:
+              values: list[str], strict: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Attach to each ``left`` row the ``values`` of the latest ``right`` row of its key.
 
     Latest means greatest ``order`` not above (``strict``: below) the left row's. ``order`` is
@@ -104,18 +90,12 @@ def asof_last(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     rank = F.lit(0 if strict else 2)
     l = left.select(*keys, order, rank.alias("__kind"), lrow.alias("__row"))
     r = right.select(*keys, order, F.lit(1).alias("__kind"), pack.alias("__val"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    single = one_block(last, block_rows)
-    if not single:
-        both = with_block(both, order, block_rows)
-    groups = keys if single else [*keys, _B]
+    both = with_block(l.unionByName(r, allowMissingColumns=True), order, block_rows)
+    groups = [*keys, _B]
     inner = (Window.partitionBy(*groups).orderBy(order, "__kind")
              .rowsBetween(Window.unboundedPreceding, 0))
     rows = (both.withColumn("__in", F.last("__val", ignorenulls=True).over(inner))
             .filter(F.col("__kind") != 1))
-    if single:
-        return rows.select(*[F.col("__row")[c].alias(c) for c in lcols],
-                           *[F.col("__in")[v].alias(v) for v in values])
     per_block = both.groupBy(*groups).agg(
         F.max(F.when(F.col("__kind") == 1, F.struct(F.col(order).alias("o"),
                                                     F.col("__val").alias("v")))).alias("__b"))
@@ -129,18 +109,13 @@ def asof_last(left: DataFrame, right: DataFrame, keys: list[str], order: str,
 
 
 def last_points(df: DataFrame, keys: list[str], order: str, point: Column, n: int, name: str,
-                block_rows: int = BLOCK_ROWS, last: int | None = None) -> DataFrame:
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add the array of the last ``n`` points of the key, oldest first, this row's included."""
-    single = one_block(last, block_rows)
-    base = df.withColumn("__p", point)
-    if not single:
-        base = with_block(base, order, block_rows)
-    groups = keys if single else [*keys, _B]
+    base = with_block(df.withColumn("__p", point), order, block_rows)
+    groups = [*keys, _B]
     inner = Window.partitionBy(*groups).orderBy(order)
     recent = [F.lag("__p", i).over(inner) for i in range(n - 1, 0, -1)] + [F.col("__p")]
     rows = base.withColumn("__in", F.array_compact(F.array(*recent)))
-    if single:
-        return rows.withColumnRenamed("__in", name).drop("__p")
     tails = rows.groupBy(*groups).agg(F.max_by("__in", order).alias("__tail"))
     # every block of a key holds at least one of its points: n-1 earlier blocks suffice
     back = Window.partitionBy(*keys).orderBy(_B).rowsBetween(-(n - 1), -1)

@@ -1,32 +1,35 @@
 """ROC curves, AUC and score series.
 
-Scores are counted per distinct value first; cumulative counts run inside score ranges
-(at most ``RANGES`` bounds, from approximate quantiles) plus one offset per range, so no
-single task ever orders all scores.
+Scores are counted per distinct value first; cumulative counts run inside score ranges of
+about ``RANGE_SCORES`` distinct scores, plus one offset per range, so no single task ever
+orders all scores. Rows without a score are no part of a curve.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 256
+RANGE_SCORES = 1 << 18
 
 
-def _range_of(df: DataFrame, score: str) -> Column:
+def _range_of(df: DataFrame, score: str, range_scores: int) -> Column:
     """Index of the score range, descending: any fixed bounds give exact results."""
-    probabilities = [i / RANGES for i in range(1, RANGES)]
-    bounds = sorted(set(df.approxQuantile(score, probabilities, 0.001)))
+    distinct = df.agg(F.approx_count_distinct(score)).first()[0]
+    ranges = max(1, -(-distinct // range_scores))
+    probabilities = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.approxQuantile(score, probabilities, 0.25 / ranges))) if probabilities else []
     if not bounds:
         return F.lit(0)
-    # binary search as a fold over halving steps would hide the simple meaning:
-    # the number of bounds above the score
+    # the number of bounds above the score; it is taken once per distinct score
     above = F.filter(F.lit(bounds), lambda b: b > F.col(score))
     return F.size(above)
 
 
-def score_counts(df: DataFrame, keys, score: str, label: str) -> DataFrame:
+def score_counts(df: DataFrame, keys, score: str, label: str,
+                 range_scores: int = RANGE_SCORES) -> DataFrame:
     """Per key and distinct score: positives and negatives, here and at greater scores."""
-    rng = _range_of(df, score)
+    df = df.filter(F.col(score).isNotNull())
+    rng = _range_of(df, score, range_scores)
     counts = (df.groupBy(*keys, score)
               .agg(F.count_if(F.col(label) == 1).alias("pos"),
                    F.count_if(F.col(label) != 1).alias("neg"))

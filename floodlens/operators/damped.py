@@ -13,30 +13,16 @@ blocks and spans are chained through small tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from floodlens.functions.blocks import (BLOCK_ROWS, asof_last, attach, one_block, previous,
-                                        running_max, with_block)
+from floodlens.functions.blocks import (BLOCK_ROWS, asof_last, attach, previous, running_max,
+                                        with_block)
 
 SPAN = 256
 
 
-@dataclass(frozen=True)
-class Extent:
-    """Greatest row number and time of a table; lets small inputs skip the second level."""
-
-    last_order: int
-    last_time: float
-
-
-def measure(df: DataFrame, order: str = "frame_no", time: str = "t") -> Extent:
-    last_order, last_time = df.agg(F.max(order), F.max(time)).first()
-    return Extent(last_order or 0, last_time or 0.0)
-
-
 # Default decay rates (per time unit), as many as vector parts.
 RATES = (5.0, 3.0, 1.0, 0.1, 0.01)
 
@@ -52,15 +38,8 @@ def arrival_times(df: DataFrame, keys: list[str], order: str, time: str = "t",
 
 
 def damped_sums(df: DataFrame, keys: list[str], order: str, exponent: Column,
-                sums: dict[str, Column], block_rows: int = BLOCK_ROWS,
-                last: int | None = None, last_exponent: float | None = None) -> DataFrame:
+                sums: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Decayed running sums over ``keys``; ``exponent`` is rate * time, from 0 on."""
-    if one_block(last, block_rows) and last_exponent is not None and last_exponent < SPAN:
-        whole = (Window.partitionBy(*keys).orderBy(order)
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        scaled = df.withColumn("_u", F.pow(F.lit(2.0), exponent))
-        return scaled.withColumns({n: F.sum(F.col("_u") * c).over(whole) / F.col("_u")
-                                   for n, c in sums.items()}).drop("_u")
     base = (with_block(df.withColumn("_e", exponent), order, block_rows)
             .withColumnRenamed("__block", "_blk")
             .withColumn("_span", F.floor(F.col("_e") / SPAN))
@@ -89,13 +68,6 @@ def damped_sums(df: DataFrame, keys: list[str], order: str, exponent: Column,
     return out.drop(*drop, "_e", "_u", "_span", "_blk")
 
 
-def limits(extent: Extent | None, rates) -> tuple:
-    """Greatest row number and exponent, or nothing known."""
-    if extent is None:
-        return None, None
-    return extent.last_order, max(rates) * extent.last_time
-
-
 def _moments(df: DataFrame) -> DataFrame:
     mean = F.col("_s") / F.col("_w")
     var = F.abs(F.col("_q") / F.col("_w") - mean * mean)
@@ -107,30 +79,26 @@ def _aggregates(value: Column) -> dict[str, Column]:
 
 
 def damped_1d(df: DataFrame, keys: list[str], value: str, rates=RATES, order: str = "frame_no",
-              time: str = "t", block_rows: int = BLOCK_ROWS,
-              extent: Extent | None = None) -> DataFrame:
+              time: str = "t", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Weight, mean and variance of the stream after each row, per rate (one row per rate)."""
     rated = with_rates(df, rates)
     sums = damped_sums(rated, [*keys, "rate"], order, F.col("rate") * F.col(time),
-                       _aggregates(F.col(value).cast("double")), block_rows,
-                       *limits(extent, rates))
+                       _aggregates(F.col(value).cast("double")), block_rows)
     return _moments(sums)
 
 
 def jitter(df: DataFrame, keys: list[str], order: str = "frame_no", time: str = "t",
-           block_rows: int = BLOCK_ROWS, name: str = "gap",
-           extent: Extent | None = None) -> DataFrame:
+           block_rows: int = BLOCK_ROWS, name: str = "gap") -> DataFrame:
     """Time since the previous row of the stream; 0 for the first and for late rows."""
-    out = previous(df, keys, order, {"_before": F.col(time)}, block_rows,
-                   extent.last_order if extent else None)
+    out = previous(df, keys, order, {"_before": F.col(time)}, block_rows)
     gap = F.greatest(F.lit(0.0), F.col(time) - F.col("_before"))
     return out.withColumn(name, F.when(F.col("_before").isNull(), 0.0).otherwise(gap)).drop("_before")
 
 
-def damped_jitter(df: DataFrame, keys: list[str], rates=RATES, extent: Extent | None = None,
+def damped_jitter(df: DataFrame, keys: list[str], rates=RATES,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    gaps = jitter(df, keys, block_rows=block_rows, extent=extent)
-    return damped_1d(gaps, keys, "gap", rates, block_rows=block_rows, extent=extent)
+    gaps = jitter(df, keys, block_rows=block_rows)
+    return damped_1d(gaps, keys, "gap", rates, block_rows=block_rows)
 
 
 def damped_state(df: DataFrame, keys: list[str], value: str, rates=RATES,
@@ -170,7 +138,7 @@ def combined_state(state: DataFrame, key: str, members: list[str]) -> DataFrame:
 
 
 def with_peer(own: DataFrame, key: str, peer: str, order: str = "frame_no",
-              block_rows: int = BLOCK_ROWS, extent: Extent | None = None) -> DataFrame:
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Latest mean and variance of the peer stream at each row (0 while it has none).
 
     Mean and variance are ratios, so they do not change while a stream only decays.
@@ -179,7 +147,7 @@ def with_peer(own: DataFrame, key: str, peer: str, order: str = "frame_no",
                        F.col("mean").alias("peer_mean"), F.col("var").alias("peer_var"))
     left = own.withColumn("_peer", F.col(peer))
     out = asof_last(left, right, ["_peer", "rate"], order, ["peer_mean", "peer_var"],
-                    block_rows=block_rows, last=extent.last_order if extent else None)
+                    block_rows=block_rows)
     return out.drop("_peer").fillna(0.0, ["peer_mean", "peer_var"])
 
 

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from floodlens.functions.blocks import BLOCK_ROWS, asof_last, last_points
-from floodlens.operators.damped import (RATES, Extent, damped_1d, damped_jitter, damped_sums,
-                                        join_all, limits, with_peer)
+from floodlens.operators.damped import (RATES, damped_1d, damped_jitter, damped_sums,
+                                        join_all, with_peer)
 from floodlens.session import cut
 
 # Fixed values of the extrapolation rule.
@@ -85,7 +85,7 @@ def extrapolate(points: str, time: str) -> Column:
 def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
                residual: str = "extrapolated", double_update: bool = True,
                own: DataFrame | None = None, order: str = "frame_no",
-               block_rows: int = BLOCK_ROWS, extent: Extent | None = None) -> DataFrame:
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Covariance and correlation after each frame between two streams, per rate.
 
     ``residual='last'`` uses the peer's last residual instead of an extrapolated one.
@@ -94,9 +94,7 @@ def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
     if residual not in ("extrapolated", "last"):
         raise ValueError("residual: extrapolated|last")
     if own is None:
-        own = damped_1d(rows, [key], value, rates, order, block_rows=block_rows, extent=extent)
-    last, last_exponent = limits(extent, rates)
-    last_step = None if last is None else 2 * last + 1
+        own = damped_1d(rows, [key], value, rates, order, block_rows=block_rows)
     # one row per frame with its state for all rates, so that lookups run once, not per rate
     state = (own.select(F.col(key).alias("_s"), F.col(order).alias("f"), "rate", "mean", "var")
              .groupBy("_s", "f").agg(F.sort_array(F.collect_list(
@@ -104,22 +102,22 @@ def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
     updates = pair_updates(rows, key, peer, value, double_update, order)
     if residual == "extrapolated":
         pts = last_points(updates, ["a", "b", "own"], "step", F.struct("t", "v"), 3, "points",
-                          block_rows, last_step)
+                          block_rows)
         theirs = pts.select("a", "b", F.col("own").alias("other"), "step", "points")
         updates = asof_last(updates, theirs, ["a", "b", "other"], "step", ["points"],
-                            strict=True, block_rows=block_rows, last=last_step)
+                            strict=True, block_rows=block_rows)
         updates = updates.withColumn("guess", extrapolate("points", "t")).drop("points")
     mine = state.select(F.col("_s").alias("own"), "f", "st")
     updates = updates.join(mine, ["own", "f"])
     theirs = state.select(F.col("_s").alias("other"), "f", F.col("st").alias("st2"))
-    updates = asof_last(updates, theirs, ["other"], "f", ["st2"], block_rows=block_rows, last=last)
+    updates = asof_last(updates, theirs, ["other"], "f", ["st2"], block_rows=block_rows)
     if residual == "last":
         res = F.transform("st", lambda s: F.col("v") - s["mean"])
         updates = updates.withColumn("res", res)
         marks = updates.select("a", "b", F.col("own").alias("other"), "step",
                                F.col("res").alias("res2"))
         updates = asof_last(updates, marks, ["a", "b", "other"], "step", ["res2"],
-                            strict=True, block_rows=block_rows, last=last_step)
+                            strict=True, block_rows=block_rows)
     # written once: the damped sums below read these rows twice
     each = cut(updates.select(
         "a", "b", "own", "other", "f", "step", "t", "direct", "final", "v",
@@ -137,8 +135,7 @@ def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
                        F.coalesce(peer_now["var"], zero).alias("other_var"),
                        (res * theirs).alias("product"))
     sums = damped_sums(each, ["a", "b", "rate"], "step", F.col("rate") * F.col("t"),
-                       {"_cf": F.col("product"), "_cw": F.lit(1.0)}, block_rows, last_step,
-                       last_exponent)
+                       {"_cf": F.col("product"), "_cw": F.lit(1.0)}, block_rows)
     cov = F.col("_cf") / F.col("_cw")
     scale = F.sqrt("var") * F.sqrt("other_var")
     return (sums.filter(F.col("direct") & F.col("final"))
@@ -155,12 +152,12 @@ def pair_state(cov: DataFrame, key: str, peer: str, order: str = "frame_no") ->
 
 
 def damped_2d(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
-              order: str = "frame_no", extent: Extent | None = None, **kw) -> DataFrame:
+              order: str = "frame_no", **kw) -> DataFrame:
     """The seven statistics of a stream and its peer after each frame, per rate."""
-    own = cut(damped_1d(rows, [key], value, rates, order, extent=extent)
+    own = cut(damped_1d(rows, [key], value, rates, order)
               .select(key, peer, order, "rate", "weight", "mean", "var"))
-    peers = with_peer(own, key, peer, order, extent=extent)
-    cov = damped_cov(rows, key, peer, value, rates, own=own, order=order, extent=extent, **kw)
+    peers = with_peer(own, key, peer, order)
+    cov = damped_cov(rows, key, peer, value, rates, own=own, order=order, **kw)
     size = F.col("mean") * F.col("mean") + F.col("peer_mean") * F.col("peer_mean")
     return (peers.withColumn("radius", F.sqrt(F.col("var") + F.col("peer_var")))
             .withColumn("magnitude", F.sqrt(size))
@@ -173,17 +170,17 @@ def vector_columns(rates=RATES) -> list[str]:
             for rate in rates for name in names]
 
 
-def frame_vectors(streams: DataFrame, rates=RATES, extent: Extent | None = None) -> DataFrame:
+def frame_vectors(streams: DataFrame, rates=RATES) -> DataFrame:
     """One row per frame with all statistics of its streams (100 columns for five rates).
 
     ``streams`` comes from ``stream_keys``.
     """
     one = ("weight", "mean", "var")
-    mi = damped_1d(streams, ["mac_ip"], "frame_len", rates, extent=extent).select(
+    mi = damped_1d(streams, ["mac_ip"], "frame_len", rates).select(
         "frame_no", "rate", *one)
-    jit = damped_jitter(streams, ["channel"], rates, extent).select("frame_no", "rate", *one)
-    hh = damped_2d(streams, "src", "dst", "frame_len", rates, extent=extent)
-    hphp = damped_2d(streams, "socket", "peer_socket", "frame_len", rates, extent=extent)
+    jit = damped_jitter(streams, ["channel"], rates).select("frame_no", "rate", *one)
+    hh = damped_2d(streams, "src", "dst", "frame_len", rates)
+    hphp = damped_2d(streams, "socket", "peer_socket", "frame_len", rates)
     parts = []
     for (prefix, names), df in zip(VECTOR_PARTS, (mi, hh, jit, hphp)):
         parts.append(df.select("frame_no", "rate", *[F.col(n).alias(f"{prefix}_{n}") for n in names]))

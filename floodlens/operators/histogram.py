@@ -98,52 +98,3 @@ def histogram_freq(hist: DataFrame) -> DataFrame:
     """Share of every bin in the total weight (bounded by the number of bins)."""
     whole = Window.partitionBy()
     return hist.withColumn("freq", F.col("weight") / F.sum("weight").over(whole))
-
-
-def penalised_histogram(df: DataFrame, series: str, value: str, time: str, order: str,
-                        bins: Bins, rate: float) -> DataFrame:
-    """Histogram whose increments shrink for bins already close to the tallest one.
-
-    Each increment depends on all earlier ones, so a series is replayed in order. Rows are
-    streamed through the task from a sorted shuffle; only the bins are held in memory.
-    """
-    import numpy as np
-    import pandas as pd
-
-    lower, width, count = bins.lower, bins.width, bins.count
-    # Shape of the increment curve
-    shift, bend = 0.005, -1.03
-
-    def finish(key, weights, last):
-        used = np.flatnonzero(weights)
-        return pd.DataFrame({series: [key] * len(used), "bin": used, "weight": weights[used],
-                             "last_t": last[used]})
-
-    def replay(batches):
-        key, weights, last, top = None, None, None, 0
-        for pdf in batches:
-            cells = np.floor((pdf["_v"].to_numpy() - lower) / width)
-            for k, cell, t in zip(pdf[series].to_numpy(), cells, pdf["_t"].to_numpy()):
-                if weights is None or k != key:
-                    if weights is not None:
-                        yield finish(key, weights, last)
-                    key, weights, last, top = k, np.zeros(count), np.zeros(count), 0
-                if not 0 <= cell < count:
-                    continue
-                b = int(cell)
-                if t > last[b]:
-                    weights[b] *= 2.0 ** (-rate * (t - last[b]))
-                    last[b] = t
-                scale = weights[top] if weights[top] > 0 else 1.0
-                x = weights[b] / scale + shift
-                weights[b] += bend * x / (bend - x + 1)
-                if weights[b] > weights[top]:
-                    top = b
-        if weights is not None:
-            yield finish(key, weights, last)
-
-    kind = dict(df.dtypes)[series]
-    rows = (df.select(series, F.col(value).cast("double").alias("_v"),
-                      F.col(time).cast("double").alias("_t"), F.col(order).alias("_o"))
-            .repartition(series).sortWithinPartitions(series, "_o"))
-    return rows.mapInPandas(replay, f"{series} {kind}, bin long, weight double, last_t double")

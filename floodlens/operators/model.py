@@ -1,8 +1,7 @@
 """Anomaly model on feature vectors: feature grouping, autoencoders, scoring.
 
-Vectors come as ``(row_no, vector)``. Learning is sequential by nature and works on a sample
-whose size is fixed by parameters; all statistics over whole tables and all scoring are
-distributed.
+Vectors come as ``(row_no, vector)``. Statistics, learning and scoring all run over whole tables:
+tasks reduce their rows to matrices of the size of the features, and those are added up.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ from floodlens.session import cut
 
 # Learning defaults and the weight seed.
 MAX_GROUP = 10
-MAP_ROWS = 5_000
-TRAIN_ROWS = 50_000
-LEARNING_RATE = 0.1
+ROUNDS = 20
+LEARNING_RATE = 0.05
 HIDDEN_RATIO = 0.75
 WEIGHT_SEED = 1234
 FLOOR = 1e-16
+TINY = 1e-100
 
 MODEL_SCHEMA = ("layer int, grp int, members array<int>, w array<double>, hidden array<double>, "
                 "visible array<double>, low array<double>, high array<double>")
@@ -30,63 +29,57 @@ MODEL_SCHEMA = ("layer int, grp int, members array<int>, w array<double>, hidden
 
 # --- correlation and grouping --------------------------------------------------------
 
-def moment_sums(vectors: DataFrame, column: str = "vector") -> DataFrame:
-    """Per feature i: row count, sum of x_i and the sums of x_i * x_j for all j.
+def co_moments(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """Per task and feature pair: rows, both means and the centred sum of products.
 
-    Each task folds its Arrow batches into one n x n matrix; the matrices are then added.
+    Values are taken relative to one vector of the table, and each task folds its Arrow
+    batches into one centred n x n matrix, so large means do not cancel the products out.
     """
+    some = vectors.select(column).first()
+    pivot = np.asarray(some[0], float) if some else np.zeros(0)
+
     def fold(batches):
-        n, total, cross = 0, None, None
+        n, mean, cross = 0, np.zeros(len(pivot)), np.zeros((len(pivot), len(pivot)))
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.vstack(pdf[column].to_numpy()).astype(float)
-            n += len(x)
-            total = x.sum(0) if total is None else total + x.sum(0)
-            cross = x.T @ x if cross is None else cross + x.T @ x
+            x = np.vstack(pdf[column].to_numpy()).astype(float) - pivot
+            here, size = x.mean(0), len(x)
+            x = x - here
+            step = here - mean
+            cross += x.T @ x + np.outer(step, step) * (n * size / (n + size))
+            mean = mean + step * (size / (n + size))
+            n += size
         if n:
-            width = len(total)
+            width = len(pivot)
             yield pd.DataFrame({
                 "i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width),
-                "n": n, "s": np.repeat(total, width), "c": cross.ravel()})
+                "n": n, "mi": np.repeat(mean, width), "mj": np.tile(mean, width), "c": cross.ravel()})
 
-    parts = vectors.select(column).mapInPandas(fold, "i int, j int, n long, s double, c double")
-    return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"),
-                                       F.sum("c").alias("c"))
+    return vectors.select(column).mapInPandas(
+        fold, "i int, j int, n long, mi double, mj double, c double")
 
 
 def _distance(cross: Column, own_i: Column, own_j: Column) -> Column:
     root = F.sqrt(own_i) * F.sqrt(own_j)
-    root = F.when(root == 0, 1e-100).otherwise(root)
+    root = F.when(root == 0, TINY).otherwise(root)
     return F.greatest(F.lit(0.0), 1 - cross / root)
 
 
 def feature_distances(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """Correlation distance of every feature pair (i < j), negative values set to 0."""
-    sums = moment_sums(vectors, column)
-    means = sums.filter("i = j").select(
-        F.col("i").alias("k"), (F.col("s") / F.col("n")).alias("mean"),
-        F.greatest(F.lit(0.0), F.col("c") - F.col("s") * F.col("s") / F.col("n")).alias("own"))
-    left, right = means.alias("l"), means.alias("r")
-    cov = F.col("c") - F.col("n") * F.col("l.mean") * F.col("r.mean")
-    return (sums.filter("i < j").join(left, F.col("i") == F.col("l.k"))
-            .join(right, F.col("j") == F.col("r.k"))
-            .select("i", "j", _distance(cov, F.col("l.own"), F.col("r.own")).alias("distance")))
-
-
-def running_distances(vectors: DataFrame, rows: int) -> DataFrame:
-    """Variant on the first ``rows`` vectors: residuals from the mean so far, row by row."""
-    def one(pdf):
-        x = np.vstack(pdf.sort_values("row_no")["vector"].to_numpy()).astype(float)
-        rest = x - np.cumsum(x, 0) / np.arange(1, len(x) + 1)[:, None]
-        cross, own = rest.T @ rest, np.sqrt((rest ** 2).sum(0))
-        root = np.outer(own, own)
-        dist = 1 - cross / np.where(root == 0, 1e-100, root)
-        i, j = np.triu_indices(x.shape[1], 1)
-        return pd.DataFrame({"i": i, "j": j, "distance": np.maximum(dist[i, j], 0)})
-
-    sample = vectors.filter(F.col("row_no") < rows).select(F.lit(0).alias("_g"), "row_no", "vector")
-    return sample.groupBy("_g").applyInPandas(one, "i int, j int, distance double")
+    parts = cut(co_moments(vectors, column))  # features squared rows for each task
+    weighted = F.sum(F.col("n") * F.col("mi")) / F.sum("n")
+    means = parts.filter("i = j").groupBy("i").agg(weighted.alias("mean"))
+    off = [means.select(F.col("i").alias(k), F.col("mean").alias(f"mean_{k}")) for k in "ij"]
+    sums = (parts.join(off[0], "i").join(off[1], "j").groupBy("i", "j").agg(F.sum(
+        F.col("c") + F.col("n") * (F.col("mi") - F.col("mean_i")) * (F.col("mj") - F.col("mean_j"))
+    ).alias("c")))
+    own = sums.filter("i = j")
+    left = own.select("i", F.col("c").alias("own_i"))
+    right = own.select("j", F.col("c").alias("own_j"))
+    return (sums.filter("i < j").join(left, "i").join(right, "j")
+            .select("i", "j", _distance(F.col("c"), F.col("own_i"), F.col("own_j")).alias("distance")))
 
 
 def group_features(distances: DataFrame, most: int = MAX_GROUP) -> list[list[int]]:
@@ -147,85 +140,123 @@ def _squash(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def train_autoencoder(x: np.ndarray, rate: float, ratio: float, corruption: float = 0.0):
-    """Online gradient descent over the rows of x in order; tied weights.
-
-    Returns the error of every row at the time it was seen, and the learnt parameters.
+class _Layer:
+    """Tied autoencoders over groups of columns, trained by gradients that tasks add up."""
+
+    def __init__(self, members: list[list[int]], low, high, ratio: float, seed: int):
+        rng = np.random.default_rng(seed)
+        self.members = [np.array(m) for m in members]
+        self.low, self.high = np.asarray(low, float), np.asarray(high, float)
+        self.params = []
+        for m in self.members:
+            inner = int(np.ceil(len(m) * ratio))
+            bound = np.sqrt(6.0 / (len(m) + inner))
+            self.params.append([rng.uniform(-bound, bound, (len(m), inner)),
+                                np.zeros(inner), np.zeros(len(m))])
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.low) / (self.high - self.low + FLOOR)
+
+    def errors(self, x: np.ndarray) -> np.ndarray:
+        """Root mean square error of every group, one column each."""
+        x = self.scaled(x)
+        out = []
+        for m, (w, hidden, visible) in zip(self.members, self.params):
+            again = _squash(_squash(x[:, m] @ w + hidden) @ w.T + visible)
+            out.append(np.sqrt(((again - x[:, m]) ** 2).mean(1)))
+        return np.column_stack(out)
+
+    def gradient(self, x: np.ndarray, corruption: float, rng) -> np.ndarray:
+        """Sum over the rows of the gradients of half the squared errors, flattened."""
+        x = self.scaled(x)
+        flat = []
+        for m, (w, hidden, visible) in zip(self.members, self.params):
+            clean = x[:, m]
+            given = clean * (rng.random(clean.shape) >= corruption) if corruption > 0 else clean
+            code = _squash(given @ w + hidden)
+            again = _squash(code @ w.T + visible)
+            outer = (again - clean) * again * (1 - again)
+            inner = (outer @ w) * code * (1 - code)
+            flat += [(given.T @ inner + outer.T @ code).ravel(), inner.sum(0), outer.sum(0)]
+        return np.concatenate(flat)
+
+    def move(self, step: np.ndarray) -> None:
+        at = 0
+        for group in self.params:
+            for k, value in enumerate(group):
+                group[k] = value + step[at:at + value.size].reshape(value.shape)
+                at += value.size
+
+
+def _train(vectors: DataFrame, layer: _Layer, inner: _Layer | None, rounds: int, rate: float,
+           corruption: float, seed: int) -> None:
+    """Full-gradient rounds over all rows: tasks sum, the driver takes one step.
+
+    What travels is the size of the parameters, whatever the number of rows. Steps are scaled
+    per parameter by the running size of its gradient.
     """
-    rng = np.random.RandomState(WEIGHT_SEED)
-    n = x.shape[1]
-    w = rng.uniform(-1.0 / n, 1.0 / n, size=(n, int(np.ceil(n * ratio))))
-    hidden, visible = np.zeros(w.shape[1]), np.zeros(n)
-    # bounds seen so far, row by row
-    low, high = np.minimum.accumulate(x, 0), np.maximum.accumulate(x, 0)
-    scaled = (x - low) / (high - low + FLOOR)
-    errors = np.empty(len(x))
-    for k, row in enumerate(scaled):
-        seen = row if corruption <= 0 else rng.binomial(1, 1 - corruption, n) * row
-        code = _squash(seen @ w + hidden)
-        miss = row - _squash(code @ w.T + visible)
-        back = (miss @ w) * code * (1 - code)
-        w += rate * (np.outer(seen, back) + np.outer(miss, code))
-        hidden += rate * back
-        visible += rate * miss
-        errors[k] = np.sqrt(np.mean(miss ** 2))
-    return errors, (w, hidden, visible, low[-1], high[-1])
-
-
-_FIT = ("grp int, row_no long, rmse double, w array<double>, hidden array<double>, "
-        "visible array<double>, low array<double>, high array<double>")
-
-
-def _fit_groups(samples: DataFrame, rate: float, ratio: float, corruption: float) -> DataFrame:
-    """One task per autoencoder: an error row per vector, then one row with the weights."""
-    def one(pdf):
-        pdf = pdf.sort_values("row_no")
-        errors, params = train_autoencoder(np.vstack(pdf["x"].to_numpy()).astype(float),
-                                           rate, ratio, corruption)
-        grp = int(pdf["grp"].iloc[0])
-        blank = [None] * len(errors)
-        seen = pd.DataFrame({"grp": grp, "row_no": pdf["row_no"].to_numpy(), "rmse": errors,
-                             **{k: blank for k in ("w", "hidden", "visible", "low", "high")}})
-        kept = pd.DataFrame([{"grp": grp, "row_no": -1, "rmse": 0.0, **{
-            k: np.ravel(v).tolist() for k, v in zip(("w", "hidden", "visible", "low", "high"),
-                                                    params)}}])
-        return pd.concat([seen, kept], ignore_index=True)[
-            ["grp", "row_no", "rmse", "w", "hidden", "visible", "low", "high"]]
-    return samples.groupBy("grp").applyInPandas(one, _FIT)
-
-
-def ensemble_fit(vectors: DataFrame, groups: list[list[int]] | None = None,
-                 map_rows: int = MAP_ROWS, train_rows: int = TRAIN_ROWS, most: int = MAX_GROUP,
-                 rate: float = LEARNING_RATE, ratio: float = HIDDEN_RATIO,
+    first = second = 0.0
+    for step in range(1, rounds + 1):
+        def gather(batches, step=step):
+            total, rows = 0.0, 0
+            for pdf in batches:
+                if len(pdf):
+                    x = np.vstack(pdf["vector"].to_numpy()).astype(float)
+                    rng = np.random.default_rng([seed, step, len(x), int(abs(x[0]).sum() * 1e6) % 2 ** 31])
+                    total = total + layer.gradient(inner.errors(x) if inner else x, corruption, rng)
+                    rows += len(x)
+            if rows:
+                yield pd.DataFrame({"k": np.arange(len(total)), "g": total, "n": rows})
+
+        sums = (vectors.select("vector").mapInPandas(gather, "k int, g double, n long")
+                .groupBy("k").agg((F.sum("g") / F.sum("n")).alias("g")).collect())
+        if not sums:
+            return
+        g = np.zeros(len(sums))
+        g[[r["k"] for r in sums]] = [r["g"] for r in sums]
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        layer.move(-rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8))
+
+
+def _bounds(vectors: DataFrame, inner: _Layer | None = None) -> tuple[list[float], list[float]]:
+    """Least and greatest value of every column, or of every group's error."""
+    def gather(batches):
+        low = high = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["vector"].to_numpy()).astype(float)
+                x = inner.errors(x) if inner else x
+                low = x.min(0) if low is None else np.minimum(low, x.min(0))
+                high = x.max(0) if high is None else np.maximum(high, x.max(0))
+        if low is not None:
+            yield pd.DataFrame({"i": np.arange(len(low)), "lo": low, "hi": high})
+
+    rows = (vectors.select("vector").mapInPandas(gather, "i int, lo double, hi double")
+            .groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("i").collect())
+    return [r["lo"] for r in rows], [r["hi"] for r in rows]
+
+
+def ensemble_fit(vectors: DataFrame, groups: list[list[int]] | None = None, most: int = MAX_GROUP,
+                 rounds: int = ROUNDS, rate: float = LEARNING_RATE, ratio: float = HIDDEN_RATIO,
                  corruption: float = 0.0) -> DataFrame:
-    """Learn the feature groups, one autoencoder per group, and one over their errors.
+    """Feature groups, one autoencoder per group and one over their errors, from all rows given.
 
-    Only ``map_rows + 1 + train_rows`` vectors are read, so every group is bounded. Returns
-    the model table.
+    Pass the rows of the learning phase. Returns the model table.
     """
     if groups is None:
-        groups = group_features(running_distances(vectors, map_rows + 1), most)
+        groups = group_features(feature_distances(vectors), most)
     spark = vectors.sparkSession
-    first = map_rows + 1 if map_rows >= 0 else 0
-    train = vectors.filter(F.col("row_no").between(first, first + train_rows - 1))
-    members = [[int(i) for i in g] for g in groups]
-    layout = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(m).alias("m"))
-                                 for g, m in enumerate(members)])).alias("g")
-    picked = (train.select("row_no", "vector", layout)
-              .select("row_no", "g.grp", F.transform(
-                  "g.m", lambda i: F.get("vector", i).cast("double")).alias("x")))
-    fitted = cut(_fit_groups(picked, rate, ratio, corruption))
-    errors = (fitted.filter("row_no >= 0").groupBy("row_no")
-              .agg(F.sort_array(F.collect_list(F.struct("grp", "rmse"))).alias("e"))
-              .select(F.lit(len(members)).alias("grp"), "row_no", F.col("e.rmse").alias("x")))
-    top = _fit_groups(errors, rate, ratio, corruption).filter("row_no < 0")
-    names = spark.createDataFrame([(g, m) for g, m in enumerate(members)]
-                                  + [(len(members), list(range(len(members))))],
-                                  "grp int, members array<int>")
-    params = fitted.filter("row_no < 0").unionByName(top)
-    layer = F.when(F.col("grp") == len(members), 1).otherwise(0)
-    return params.join(names, "grp").select(
-        layer.alias("layer"), "grp", "members", "w", "hidden", "visible", "low", "high")
+    vectors = cut(vectors.select("vector"))
+    low = _Layer(groups, *_bounds(vectors), ratio, WEIGHT_SEED)
+    _train(vectors, low, None, rounds, rate, corruption, WEIGHT_SEED)
+    top = _Layer([list(range(len(groups)))], *_bounds(vectors, low), ratio, WEIGHT_SEED + 1)
+    _train(vectors, top, low, rounds, rate, corruption, WEIGHT_SEED + 1)
+    rows = []
+    for number, layer in enumerate((low, top)):
+        for k, (m, (w, hidden, visible)) in enumerate(zip(layer.members, layer.params)):
+            rows.append((number, k if number == 0 else len(groups), m.tolist(), w.ravel().tolist(),
+                         hidden.tolist(), visible.tolist(), layer.low[m].tolist(), layer.high[m].tolist()))
+    return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
 def save_model(model: DataFrame, path: str) -> None:
@@ -266,18 +297,17 @@ def ensemble_score(vectors: DataFrame, model: DataFrame) -> DataFrame:
 def score_with(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray],
                columns: list[str] | None = None, vector: str | None = None,
                name: str = "loss") -> DataFrame:
-    """Apply any ``fn(N x M matrix) -> N values`` to plain columns or to a vector column."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    """Apply any ``fn(N x M matrix) -> N values`` to plain columns or to a vector column.
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf[vector].to_numpy()) if vector else pdf[columns].to_numpy()
-                pdf[name] = np.asarray(fn(x.astype(float)), dtype=float)
-            else:
-                pdf[name] = pd.Series(dtype=float)
-            yield pdf
-    return rows.mapInPandas(run, f"{schema}, `{name}` double")
+    Only the inputs of the function leave the JVM.
+    """
+    def run(given: pd.Series) -> pd.Series:
+        if not len(given):
+            return pd.Series([], dtype=float)
+        return pd.Series(np.asarray(fn(np.vstack(given.to_numpy()).astype(float)), dtype=float))
+
+    inputs = F.col(vector) if vector else F.array(*[F.col(c).cast("double") for c in columns])
+    return rows.withColumn(name, F.pandas_udf(run, "double")(inputs))
 
 
 def process(vectors: DataFrame, model: DataFrame, map_rows: int, train_rows: int) -> DataFrame:

@@ -72,19 +72,12 @@ def _edge_owners(cells: DataFrame) -> DataFrame:
             .withColumn("own", F.when(has_edge, F.col("_anchor")["own"] != flips)))
 
 
-def _dense_ids(cells: DataFrame, last: int | None) -> DataFrame:
+def _dense_ids(cells: DataFrame) -> DataFrame:
     """Dense ids and the next window's first packet.
 
-    A calendar of more than one bucket is ranked in two levels, never in one task.
+    Windows are ranked in buckets of cells, the buckets' sizes give the ranks before them.
     """
     first = [F.col("first")["frame_no"].alias("first_frame"), F.col("first")["ts_ns"].alias("first_ts")]
-    if last is None or last < _BUCKET:
-        order = Window.orderBy("cell")
-        after = F.lead("first").over(order)
-        return (cells.select("cell", (F.row_number().over(order) - 1).cast("long").alias("window_id"),
-                             "first", after.alias("_after"))
-                .select("window_id", "cell", *first, F.col("_after")["frame_no"].alias("next_frame"),
-                        F.col("_after")["ts_ns"].alias("next_ts")))
     cells = cells.withColumn("_bucket", F.expr(f"cell div {_BUCKET}"))
     sizes = cells.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offset = sizes.select("_bucket", F.coalesce(F.sum("_n").over(
@@ -119,7 +112,7 @@ def build_calendar(packets: DataFrame, opts: WindowOptions) -> Calendar:
             moved = owners.filter(~F.col("own")).select("cell")
         first = F.when(own, F.col("edge_first")).otherwise(F.col("inner_first"))
         cells = owners.filter(kept)
-    ids = _dense_ids(cells.select("cell", first.alias("first")), last)
+    ids = _dense_ids(cells.select("cell", first.alias("first")))
     return Calendar(origin, last, ids, moved)
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodlens.operators import histogram, model
-from floodlens.plans.damped_queries import BINS, _timed
+from floodlens.operators import model
 from floodlens.plans.oracle_parts import part, rounded, sql
 from floodlens.plans.registry import query
 from floodlens.session import scratch_path
 from floodlens.sources import sinks, vectors
 
-MAP_ROWS, TRAIN_ROWS = 99, 200
+#: The first and the next two fifths of the rows are the learning phases, however many there are.
+_MAP = "(SELECT count(*) // 5 FROM vec)"
 
 part("vec", "SELECT vec_id AS row_no, embedding AS vector FROM embeddings")
 part("long_vec", """SELECT row_no, CAST(unnest(range(len(vector))) AS BIGINT) AS i,
@@ -23,8 +23,14 @@ def _vectors(c):
                                         F.col("embedding").cast("array<double>").alias("vector"))
 
 
+def _phases(c):
+    fifth = c.table("embeddings").count() // 5
+    return fifth, 2 * fifth
+
+
 def _model(c):
-    return model.ensemble_fit(_vectors(c), map_rows=MAP_ROWS, train_rows=TRAIN_ROWS)
+    phased = model.phase_split(_vectors(c), *_phases(c))
+    return model.ensemble_fit(phased.filter("phase <> 'score'"))
 
 
 @query("feature_corr_distance", sql(f"""SELECT a.i, b.i AS j,
@@ -35,6 +41,16 @@ def feature_corr_distance(c):
         F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance")
 
 
+@query("feature_corr_shifted", sql(f"""SELECT a.i, b.i AS j,
+  {rounded('greatest(0, 1 - corr(a.x, b.x))', 'distance')}
+  FROM long_vec a JOIN long_vec b ON a.row_no = b.row_no AND a.i < b.i GROUP BY a.i, b.i"""))
+def feature_corr_shifted(c):
+    """Distances do not change when every feature moves by 2^20."""
+    moved = _vectors(c).withColumn("vector", F.transform("vector", lambda x: x + 2.0 ** 20))
+    return model.feature_distances(moved).select(
+        F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance")
+
+
 @query("feature_groups")
 def feature_groups(c):
     groups = model.group_features(model.feature_distances(_vectors(c)))
@@ -49,10 +65,10 @@ def minmax_norm(c):
     return model.minmax_norm(_vectors(c)).select("row_no", F.posexplode("vector").alias("i", "x"))
 
 
-@query("phase_split", sql(f"""SELECT row_no, CASE WHEN row_no <= {MAP_ROWS} THEN 'map'
-  WHEN row_no <= {MAP_ROWS + TRAIN_ROWS} THEN 'train' ELSE 'score' END AS phase FROM vec"""))
+@query("phase_split", sql(f"""SELECT row_no, CASE WHEN row_no <= {_MAP} THEN 'map'
+  WHEN row_no <= 3 * {_MAP} THEN 'train' ELSE 'score' END AS phase FROM vec"""))
 def phase_split(c):
-    return model.phase_split(_vectors(c).select("row_no"), MAP_ROWS, TRAIN_ROWS)
+    return model.phase_split(_vectors(c).select("row_no"), *_phases(c))
 
 
 @query("ensemble_fit")
@@ -63,7 +79,7 @@ def ensemble_fit(c):
 
 @query("ensemble_score")
 def ensemble_score(c):
-    return model.process(_vectors(c), _model(c), MAP_ROWS, TRAIN_ROWS).select(
+    return model.process(_vectors(c), _model(c), *_phases(c)).select(
         "row_no", "phase", "loss")
 
 
@@ -83,11 +99,6 @@ def score_with(c):
                             lambda x: x @ [0.5, -2.0, 3.0], names).drop(*names)
 
 
-@query("histogram_penalised")
-def histogram_penalised(c):
-    return histogram.penalised_histogram(_timed(c), "run_id", "score", "t", "row_no", BINS, 0.1)
-
-
 # --- vector files --------------------------------------------------------------------
 
 @query("scan_vectors_csv", sql(f"SELECT row_no, i, {rounded('x')} FROM long_vec"))

@@ -20,14 +20,12 @@ SCHEMA = "frame_no long, src string, dst string, t double, v double"
 
 
 @pytest.mark.parametrize("block,scale", [(7, 1.0), (1 << 20, 1.0), (16, 60.0), (16, 1e5)])
-@pytest.mark.parametrize("known", [False, True])
-def test_damped_moments(spark, block, scale, known):
+def test_damped_moments(spark, block, scale):
     """Blocks, spans and the direct path give the recurrence; long gaps leave weight 1."""
     rows = traffic(1, scale=scale)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    extent = damped.measure(df) if known else None
     got = {(r.frame_no, r.rate): r for r in damped.damped_1d(
-        df, ["src"], "v", (1.0, 0.1), block_rows=block, extent=extent).collect()}
+        df, ["src"], "v", (1.0, 0.1), block_rows=block).collect()}
     for rate in (1.0, 0.1):
         streams = {}
         for f, a, _, t, v in rows:
@@ -57,8 +55,8 @@ def test_pair_statistics(spark, residual, double):
     rows = traffic(2, n=80, hosts=3)
     df = spark.createDataFrame(rows, SCHEMA)
     want = seq.pair_statistics(rows, 0.5, residual, double)
-    for block, extent in ((9, None), (1 << 20, damped.measure(df))):
-        got = damped_pairs.damped_2d(df, "src", "dst", "v", (0.5,), extent=extent, residual=residual,
+    for block in (9, 1 << 20):
+        got = damped_pairs.damped_2d(df, "src", "dst", "v", (0.5,), residual=residual,
                                      double_update=double, block_rows=block).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -115,7 +113,7 @@ def test_block_helpers(spark, block):
         assert (r.s, r.p, r.last3, r.m) == (sum(h), before, h[-3:], max(h))
 
 
-def test_histogram_learning_and_penalty(spark):
+def test_histogram_learning(spark):
     rng = random.Random(6)
     rows = [(i, "s", float(i), rng.gauss(0, 1)) for i in range(200)]
     df = spark.createDataFrame(rows, "n long, series string, t double, v double")
@@ -124,21 +122,14 @@ def test_histogram_learning_and_penalty(spark):
     width = max(first) - min(first)
     assert used == 50 and bins.lower == min(first) - width and bins.upper == max(first) + width
     plain = {r.bin: r.weight for r in histogram.decayed_histogram(df, "v", "t", bins, 0.01).collect()}
-    weights, last, top = [0.0] * 10, [0.0] * 10, 0
-    simple = [0.0] * 10
+    simple, last = [0.0] * 10, [0.0] * 10
     for _, _, t, v in rows:
         b = int((v - bins.lower) // bins.width)
         if not 0 <= b < 10:
             continue
         fade = 2 ** (-0.01 * (t - last[b])) if t > last[b] else 1
-        weights[b], simple[b], last[b] = weights[b] * fade, simple[b] * fade + 1, t
-        x = weights[b] / (weights[top] or 1) + 0.005
-        weights[b] += -1.03 * x / (-1.03 - x + 1)
-        top = b if weights[b] > weights[top] else top
+        simple[b], last[b] = simple[b] * fade + 1, t
     assert all(seq.close(plain.get(b, 0), w) for b, w in enumerate(simple))
-    got = {r.bin: r.weight for r in histogram.penalised_histogram(
-        df, "series", "v", "t", "n", bins, 0.01).collect()}
-    assert all(seq.close(got.get(b, 0), w) for b, w in enumerate(weights))
     hist = spark.createDataFrame([(3, 4.0, 0.0), (5, 1.0, 0.0)], "bin long, weight double, last_t double")
     far = spark.createDataFrame([(-1e9,), (bins.lower + 3.5 * bins.width,), (1e9,)], "v double")
     scores = [r.score for r in histogram.histogram_score(far, "v", hist, bins).orderBy("v").collect()]

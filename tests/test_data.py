@@ -108,6 +108,13 @@ def test_curves(spark):
     for r in curves.auc_by_group(df, "run", skip=1).collect():
         assert r.auc is None if r.run == 0 else r.auc == pytest.approx(brute([x for x in rows if x[1] == r.run]))
     assert curves.auc(df.filter("label = 1")).first().auc is None
+    # rows without a score count nowhere, and the number of ranges does not matter
+    gaps = df.select("run", "label", "score").union(spark.range(7).selectExpr("1", "id % 2", "cast(null as double)"))
+    assert curves.auc(gaps).first().auc == pytest.approx(value)
+    assert curves.roc_curve(gaps).filter("threshold IS NULL").count() == 0
+    key = lambda r: (r.score, r.pos_above, r.neg_above)
+    assert (sorted(map(key, curves.score_counts(df, [], "score", "label", 3).collect()))
+            == sorted(map(key, curves.score_counts(df, [], "score", "label").collect())))
     points = curves.roc_curve(df).orderBy("threshold").collect()
     assert (points[0].fpr, points[0].tpr) == (1.0, 1.0) and len(points) == len({r[2] for r in rows})
     with pytest.raises(prepare.CountMismatch):

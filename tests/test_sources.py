@@ -126,17 +126,44 @@ def test_model(spark):
     want = 1 - np.corrcoef(x[:, :5].T)
     assert all(abs(dist[i, j] - max(0, want[i, j])) < 1e-9 for i in range(5) for j in range(i + 1, 5))
     assert dist[0, 5] == 1.0
-    groups = model.group_features(model.running_distances(df, 101), 3)
+    # large means must not change the distances
+    moved = df.withColumn("vector", F.transform("vector", lambda v: v + 1e9))
+    for r in model.feature_distances(moved).filter("j < 5").collect():
+        assert abs(r.distance - dist[r.i, r.j]) < 1e-5
+    groups = model.group_features(model.feature_distances(df), 3)
     assert sorted(i for g in groups for i in g) == list(range(6)) and max(map(len, groups)) <= 3
     assert any({0, 1} <= set(g) for g in groups)
-    fitted = model.ensemble_fit(df, map_rows=100, train_rows=120, most=3).cache()
+    learn = model.phase_split(df, 100, 120).filter("phase <> 'score'")
+    fitted = model.ensemble_fit(learn, most=3).cache()
     assert fitted.filter("layer = 1").count() == 1 and fitted.count() == len(groups) + 1
     scored = {r.row_no: (r.phase, r.loss) for r in model.process(df, fitted, 100, 120).collect()}
     assert len(scored) == 260 and scored[220] == ("train", 0.0) and scored[221][1] > 0
     odd = spark.createDataFrame([(0, [50.0] * 6)], "row_no long, vector array<double>")
     assert model.ensemble_score(odd, fitted).first().loss > np.mean([v for p, v in scored.values() if p == "score"])
-    # one autoencoder step by hand
-    errors, (w, hidden, visible, low, high) = model.train_autoencoder(np.array([[1.0, 2.0]]), 0.1, 0.5)
-    w0 = np.random.RandomState(1234).uniform(-0.5, 0.5, size=(2, 1))
-    z = 1 / (1 + np.exp(-(np.array([0.5]) @ w0.T)))
-    assert errors[0] == pytest.approx(np.sqrt(np.mean(z ** 2))) and np.allclose(visible, -0.1 * z)
+
+
+def test_autoencoder_gradient():
+    """Against differences of the summed half squared errors; and training lowers the error."""
+    rng = np.random.default_rng(2)
+    x = rng.random((30, 5))
+    layer = model._Layer([[0, 2], [1, 3, 4]], x.min(0), x.max(0), 0.75, 1)
+
+    def loss():
+        y = layer.scaled(x)
+        total = 0.0
+        for m, (w, hidden, visible) in zip(layer.members, layer.params):
+            again = 1 / (1 + np.exp(-((1 / (1 + np.exp(-(y[:, m] @ w + hidden)))) @ w.T + visible)))
+            total += 0.5 * ((again - y[:, m]) ** 2).sum()
+        return total
+
+    grad = layer.gradient(x, 0.0, rng)
+    for k in range(len(grad)):
+        step = np.zeros(len(grad))
+        step[k] = 1e-5
+        layer.move(step)
+        up = loss()
+        layer.move(-2 * step)
+        down = loss()
+        layer.move(step)
+        assert abs((up - down) / 2e-5 - grad[k]) < 1e-5
+    assert layer.gradient(x, 0.5, rng).shape == grad.shape and layer.errors(x).shape == (30, 2)
