@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 from itertools import chain
@@ -21,36 +22,82 @@ from floodlens.llm.common import map_texts, texts
 from floodlens.session import cut
 
 END_ID = 1
-#: Words kept in a worker's cache before it is emptied.
-CACHED_WORDS = 500_000
+#: Units kept in a worker's cache before it is emptied.
+CACHED_WORDS = 1_000_000
+
+
+#: Texts whose split into units is known without the tokenizer: ASCII and precomposed Latin letters.
+SIMPLE = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The tokenizer's own split of lower-case text, for such texts. A fixed value of the vocabulary.
+UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Stands for the end id; no unit holds a blank.
+END = " "
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word through a cache.
+    """Ids of whole texts, put together from those of their units through a cache.
 
-    The tokenizer drops white space and never joins what stands on both sides of a space or line feed, so that the
-    ids of a text are those of its words in a row.
+    The tokenizer lowers case, drops white space and splits the rest into units before anything else, so that the ids of
+    a text are those of its units in a row. Texts with other characters are split at spaces and line feeds only, over
+    which it never joins either.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {"": ()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cached = cached
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) > self.cached:
-            self.cache = {"": ()}
-        missing = [w for w in words if w not in self.cache]
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.cache.update(zip(missing, (tuple(e.ids) for e in found)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes: dict[str, int] = {END: 0}
+        self.first, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID], np.uint32)
+
+    @staticmethod
+    def units(text: str) -> list[str]:
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return UNITS.findall(text.lower())
+        return [w for w in text.replace("\n", " ").split(" ") if w]
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        """Ids of each unit. Units that are one word to the tokenizer are encoded many at a time."""
+        alone = [u for u in units if u != u.lower() or "<|" in u or not (SIMPLE.fullmatch(u) and UNITS.fullmatch(u))]
+        out = dict(zip(alone, (e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
+        words = [u for u in units if u not in out]
+        groups = [words[i:i + 100] for i in range(0, len(words), 100)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = e.ids
+            stops = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
+            out.update(zip(group, (ids[a:b] for a, b in zip([0, *stops], stops))))
+        return [out[u] for u in units]
+
+    def _learn(self, units: list[str]) -> None:
+        found = self._encoded(units)
+        self.codes.update(zip(units, range(len(self.codes), len(self.codes) + len(units))))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
 
     def encode(self, several: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in several]
-        self._learn(set(chain.from_iterable(split)))
-        get = self.cache.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), np.uint32) for words in split]
+        """Ids of each text with the end id behind them."""
+        if len(self.codes) > self.cached:
+            self._clear()
+        split = [self.units(t) for t in several]
+        unknown = set(chain.from_iterable(split)).difference(self.codes)
+        if unknown:
+            self._learn(list(unknown))
+        for units in split:
+            units.append(END)
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        size = self.size[codes]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[codes] - end + size, size)]
+        stops = np.cumsum([len(u) for u in split]) - 1
+        return np.split(ids, end[stops][:-1]) if several else []
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -78,7 +125,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int
         def work(batch):
             rows = []
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch, text_column))):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                ids = ids.astype("<u4")
                 for number, start in enumerate(range(0, len(ids), limit)):
                     part = ids[start:start + limit]
                     rows.append((key, number, start, len(part), zlib.crc32(part.tobytes()))

@@ -19,7 +19,7 @@ def tokenizer():
 def test_ids(tokenizer, docs):
     several = [r.text or "" for r in docs.collect()] + ["<|startoftext|> a<|endoftext|>b I'LL don't !'s 'S É́ x²½ ٣", "'ve'll''re\x85a\tb\x1c"]
     for text, ids in zip(several, WordEncoder(PATH).encode(several)):
-        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
 @pytest.mark.parametrize("limit", [4096, 16])
