@@ -32,15 +32,16 @@ def learn_bins(df: DataFrame, value: str, order: str, grace: int, count: int) ->
     While all of them are equal, the period is prolonged by 1000 rows. Row numbers start at 0.
     Returns the bins and the number of rows used up.
     """
-    total = df.count()
-    while grace <= total:
-        seen = df.filter(F.col(order) < grace - 1)
-        lo, hi = seen.agg(F.min(value), F.max(value)).first()
-        if lo is not None and lo != hi:
-            width = hi - lo
-            return Bins(lo - width, hi + width, count), grace
-        grace += 1000
-    raise ValueError("not enough different values to learn a range")
+    start = df.filter(F.col(order) == 0).select(value).first()
+    same = F.lit(start[0] if start else None)
+    rows, change = df.agg(F.count(F.lit(1)), F.min(F.when(F.col(value) != same, F.col(order)))).first()
+    if change is not None and change >= grace - 1:
+        grace += 1000 * -(-(change - grace + 2) // 1000)
+    if change is None or grace > rows:
+        raise ValueError("not enough different values to learn a range")
+    lo, hi = df.filter(F.col(order) < grace - 1).agg(F.min(value), F.max(value)).first()
+    width = hi - lo
+    return Bins(lo - width, hi + width, count), grace
 
 
 def decayed_histogram(df: DataFrame, value: str, time: str, bins: Bins, rate: float,

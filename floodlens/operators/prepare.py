@@ -11,7 +11,8 @@ def label_packets(packets: DataFrame, attackers: DataFrame, name: str = "label")
     """1 for packets of listed sources, else 0 (also for packets without a source)."""
     marks = attackers.select(F.col("src_ip").alias("_key"), F.lit(1).alias("_hit")).distinct()
     # packets without a source match nothing; spread them instead of sending all to one task
-    nobody = F.concat(F.lit("none:"), F.pmod(F.xxhash64(*packets.columns), F.lit(4096)))
+    spread = "frame_no" if "frame_no" in packets.columns else packets.columns[0]
+    nobody = F.concat(F.lit("none:"), F.pmod(F.xxhash64(spread), F.lit(4096)))
     return (packets.withColumn("_key", F.coalesce("src_ip", nobody)).join(marks, "_key", "left")
             .withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit", "_key"))
 

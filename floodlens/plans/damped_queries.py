@@ -183,6 +183,20 @@ def decayed_histogram(c):
     return _hist(c)
 
 
+@query("learned_bins", sql(f"""SELECT {rounded('2 * min(score) - max(score)', 'lower')},
+  {rounded('2 * max(score) - min(score)', 'upper')}, 300 AS used FROM scores WHERE row_no < 299"""))
+def learned_bins(c):
+    """Range of the first rows of the scores, the learning period."""
+    bins, used = histogram.learn_bins(c.scores, "score", "row_no", 300, 20)
+    return c.spark.createDataFrame([(bins.lower, bins.upper, used)], "lower double, upper double, used int")
+
+
+@query("histogram_decayed_to", sql(f"""SELECT bin, {rounded(
+    'weight * pow(2, -0.1 * greatest(0, 40 - last_t))', 'weight')} FROM hist"""))
+def histogram_decayed_to(c):
+    return histogram.decay_to(_hist(c), 40.0, 0.1).select("bin", "weight")
+
+
 @query("histogram_freq", sql(f"SELECT bin, {rounded('weight / sum(weight) OVER ()', 'freq')} FROM hist"))
 def histogram_freq(c):
     return histogram.histogram_freq(_hist(c)).select("bin", "freq")

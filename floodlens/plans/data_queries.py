@@ -219,12 +219,12 @@ def reorder(c):
 # --- splits --------------------------------------------------------------------------
 
 _COUNTS = "SELECT src_ip, count(*) AS packets FROM packets GROUP BY src_ip"
-_ELIGIBLE = (f"SELECT * FROM ({_COUNTS}) c WHERE packets BETWEEN 20 AND 100000 "
+_ELIGIBLE = (f"SELECT * FROM ({_COUNTS}) c WHERE packets BETWEEN 20 AND (SELECT count(*) FROM packets) "
              "AND src_ip NOT IN (SELECT src_ip FROM attackers)")
 
 
 def _eligible(c):
-    return split.eligible_ips(split.ip_packet_counts(c.packets), 20, 100_000, c.attackers)
+    return split.eligible_ips(split.ip_packet_counts(c.packets), 20, c.packets.count(), c.attackers)
 
 
 @query("ip_packet_counts", sql(_COUNTS))
@@ -308,10 +308,10 @@ def auc_by_group(c):
 @query("score_series", sql(f"""SELECT s.row_no, s.label, {rounded('s.score', 'score')},
   {rounded('(p.ts_ns - (SELECT ts_ns FROM packets WHERE frame_no = 100)) / 1e9', 'elapsed_s')}
   FROM scores s JOIN packets p ON s.row_no = p.frame_no
-  WHERE s.row_no >= 100 AND s.row_no < 100000"""))
+  WHERE s.row_no >= 100 AND s.row_no < (SELECT count(*) - 10 FROM scores)"""))
 def score_series(c):
     timed = c.scores.join(c.packets.select(F.col("frame_no").alias("row_no"), "ts_ns"), "row_no")
-    return curves.score_series(timed, 100, 100_000).select(
+    return curves.score_series(timed, 100, c.scores.count() - 10).select(
         "row_no", "label", "score", "elapsed_s")
 
 

@@ -105,6 +105,15 @@ def ingest_captures(c):
     return packets.packet_features(captures.read_captures(c.spark, path)).drop("frame_no")
 
 
+@query("scan_timestamps", sql("SELECT frame_no, ts_ns AS ts_ns_ext FROM packets"))
+def scan_timestamps(c):
+    """Exact times, one per line, in the order of the frames."""
+    path = scratch_path(c.spark, "timestamps")
+    exact = "cast(cast(ts_ns as decimal(20,0)) / 1000000000 as decimal(20,9)) as seconds"
+    c.packets.orderBy("frame_no").selectExpr(exact).write.csv(path)
+    return files.read_timestamps(c.spark, path)
+
+
 _TSV = {"frame.time_epoch": "cast(ts_ns / 1000000000 as decimal(20,9))", "frame.len": "frame_len",
         "arp.src.hw_mac": "cast(null as string)", "arp.dst.hw_mac": "cast(null as string)",
         "arp.src.proto_ipv4": "arp_src_ip", "arp.dst.proto_ipv4": "arp_dst_ip"}

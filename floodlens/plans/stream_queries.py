@@ -14,6 +14,10 @@ FILES = 6
 SLICED = {"slices": 8}
 
 
+#: The landed files follow event time, so no row is late.
+IN_ORDER = "0 seconds"
+
+
 def _landed(c):
     """Packets written as time-ordered files, so that every micro-batch is a later period."""
     path = scratch_path(c.spark, "landed")
@@ -38,7 +42,7 @@ def _run(c, stream, name):
 def _windows(c):
     _, packets = _landed(c)
     opts = c.opts.with_changes(**SLICED)
-    stream = windows.window_stream(packets, opts, c.calendar.origin)
+    stream = windows.window_stream(packets, opts, c.calendar.origin, delay=IN_ORDER)
     return _run(c, stream, "windows"), stream.schema
 
 
@@ -66,7 +70,7 @@ def stream_window_stats(c):
 def _chunks(c):
     path, schema = _windows(c)
     rows = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(path)
-    return history.chunk_stream(rows, c.opts)
+    return history.chunk_stream(rows, c.opts, delay=IN_ORDER)
 
 
 @query("stream_features", sql(f"""SELECT src_ip, last_window_id, {rounded('pkts_total')},
@@ -103,7 +107,7 @@ def stream_denylist(c):
 def stream_damped_1d(c):
     _, packets = _landed(c)
     rows = packets.withColumn("payload_kb", F.col("len_payload") / 1000)
-    stream = history.damped_stream(rows, "src_ip", "payload_kb", RATES, unit_ns=DAY_NS,
-                                   origin_ns=c.calendar.origin)
+    stream = history.damped_stream(rows, "src_ip", "payload_kb", RATES, delay=IN_ORDER,
+                                   unit_ns=DAY_NS, origin_ns=c.calendar.origin)
     path = _run(c, stream, "damped")
     return c.spark.read.schema(stream.schema).parquet(path)

@@ -198,6 +198,26 @@ _feature_query("activity_ratios", "intrawindow_activity_ratio", "interwindow_act
 ALL = [*SUMMARY, *INTERWINDOW]
 
 
+@query("summary_truncated", sql("""SELECT src_ip, chunk_id, floor(pkts_total) AS pkts_total,
+  floor(bytes_total) AS bytes_total FROM feat"""))
+def summary_truncated(c):
+    """Mean totals as whole numbers, as a record of integers stores them."""
+    return features.summarise(c.chunked, c.opts, truncate_totals=True).select(
+        "src_ip", "chunk_id", "pkts_total", "bytes_total")
+
+
+@query("chain_decisions", sql(f"""SELECT src_ip, chunk_id, {rounded('x', 'loss')},
+  CASE WHEN x < 300 THEN 0 ELSE 1 END AS is_attack
+  FROM (SELECT src_ip, chunk_id, 0.5 * pkt_size_avg + 2 * pkt_size_std AS x FROM feat) y"""))
+def chain_decisions(c):
+    """Model inputs, a pluggable model and the decision in one chain."""
+    from floodlens.operators.model import score_with
+
+    names = ["pkt_size_avg", "pkt_size_std"]
+    scored = score_with(c.features.select("src_ip", "chunk_id", *names), lambda x: x @ [0.5, 2.0], names)
+    return mitigation.decide(scored, 300.0).drop(*names)
+
+
 @query("flow_features",
        sql(f"SELECT src_ip, chunk_id, last_window_id, {_cols(ALL, FEATURE_INTS)} FROM feat"))
 def flow_features(c):

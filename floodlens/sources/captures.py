@@ -63,8 +63,10 @@ def list_captures(path: str) -> list[str]:
     system, root = _filesystem(path)
     info = system.get_file_info(root)
     if info.type == fs.FileType.Directory:
-        names = [i.path for i in system.get_file_info(fs.FileSelector(root))
-                 if i.type == fs.FileType.File and not PurePosixPath(i.path).name.startswith((".", "_"))]
+        depth = len(PurePosixPath(root).parts)
+        names = [i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True))
+                 if i.type == fs.FileType.File
+                 and not any(part.startswith((".", "_")) for part in PurePosixPath(i.path).parts[depth:])]
     else:
         names = [root]
     for name in names:

@@ -15,7 +15,7 @@ from floodlens.options import WindowOptions
 from floodlens.schemas import WINDOW_STATS
 
 
-def chunk_stream(windows: DataFrame, opts: WindowOptions, delay: str = "0 seconds") -> DataFrame:
+def chunk_stream(windows: DataFrame, opts: WindowOptions, *, delay: str) -> DataFrame:
     """Windows of a source gathered into runs of ``history_min``: adds ``chunk_id``.
 
     The id is that of the run's last window: unique per source also after its state expired.
@@ -62,9 +62,8 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else value
 
 
-def damped_stream(rows: DataFrame, key: str, value: str, rates, cutoff: float = 1e-9,
-                  delay: str = "0 seconds", unit_ns: int = 10 ** 9,
-                  origin_ns: int = 0) -> DataFrame:
+def damped_stream(rows: DataFrame, key: str, value: str, rates, cutoff: float = 1e-9, *,
+                  delay: str, unit_ns: int = 10 ** 9, origin_ns: int = 0) -> DataFrame:
     """Damped weight, mean and variance after each row; time counts from ``origin_ns``.
 
     A stream's state is dropped once its weight would have decayed below ``cutoff``.

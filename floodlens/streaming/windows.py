@@ -65,10 +65,13 @@ def _squared_gaps(times: Column) -> Column:
     return step["q"]
 
 
-def window_stream(packets: DataFrame, opts: WindowOptions, origin_ns: int = 0,
-                  delay: str = "0 seconds", qualified: bool = True) -> DataFrame:
+def window_stream(packets: DataFrame, opts: WindowOptions, origin_ns: int = 0, *,
+                  delay: str, qualified: bool = True) -> DataFrame:
     """Window table as a stream (append mode), same columns as the batch table.
 
+    ``delay`` is how late packets may come; Spark counts those that come later and are dropped in the progress of
+    the query (``numRowsDroppedByWatermark``), so it has no default.
+
     Distinct counts are sketches, port entropy comes from the fixed-size sample.
     """
     w = opts.window_ns

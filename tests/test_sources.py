@@ -62,7 +62,8 @@ def test_captures(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(pcap(FRAMES))
     (tmp_path / "b.pcap.gz").write_bytes(gzip.compress(pcap(FRAMES, order=">")))
     (tmp_path / "c.pcapng").write_bytes(pcapng(FRAMES))
-    (tmp_path / "d.pcap").write_bytes(pcap(FRAMES, magic=0xA1B23C4D))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.pcap").write_bytes(pcap(FRAMES, magic=0xA1B23C4D))
     headers = captures.read_captures(spark, str(tmp_path))
     assert headers.count() == 4 * len(FRAMES)
     full = packets.packet_features(headers).withColumn("i", F.col("frame_no") % captures.FILE_FRAMES)

@@ -24,7 +24,7 @@ def test_late_packets_are_dropped_and_batches_do_not_matter(spark, tmp_path):
         land(spark, rows, base + "/in", parts)
         if extra:
             land(spark, extra, base + "/in", 1)
-        stream = windows.window_stream(windows.read_packets(spark, base + "/in", schema), opts)
+        stream = windows.window_stream(windows.read_packets(spark, base + "/in", schema), opts, delay="0 seconds")
         history.run_to_table(stream, base + "/out", base + "/log")
         out = spark.read.parquet(base + "/out").orderBy("window_id").collect()
         results.append([(r.window_id, r.pkts_total, r.bytes_total, r.pkt_arrivals_std) for r in out])
@@ -43,7 +43,7 @@ def test_chunk_stream_keeps_state_across_batches(spark, tmp_path):
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     rows = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     opts = WindowOptions(window_length=1, packets_min=1, history_min=2, history_timeout=10)
-    history.run_to_table(history.chunk_stream(rows, opts), str(tmp_path / "out"), str(tmp_path / "log"))
+    history.run_to_table(history.chunk_stream(rows, opts, delay="0 seconds"), str(tmp_path / "out"), str(tmp_path / "log"))
     got = {}
     for r in spark.read.parquet(str(tmp_path / "out")).orderBy("window_id").collect():
         got.setdefault(r.chunk_id, []).append(r.window_id)
