@@ -21,9 +21,8 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from floodlens.llm.common import map_texts, texts
 from floodlens.llm.graph import components
@@ -44,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(several: Iterable[str]) -> list[np.ndarray]:
-    """Ascending hashes of the distinct shingles of each text.
+    """Ascending 63-bit hashes of the distinct shingles of each text.
 
     A-Z are lowered; words end at the six ASCII white spaces. Fewer words than a shingle form one shingle.
     """
@@ -60,31 +59,28 @@ def shingle_sets(several: Iterable[str]) -> list[np.ndarray]:
     for ws in words:
         n = len(ws)
         if n >= SHINGLE:
-            out.append(np.unique(rolled[at:at + n - SHINGLE + 1]))
+            out.append(np.unique(rolled[at:at + n - SHINGLE + 1] >> np.uint64(1)).view(np.int64))
         elif n:
             whole = np.uint64(n)
             with np.errstate(over="ignore"):
                 for h in hashes[at:at + n]:
                     whole = mix(whole * step + h)
-            out.append(np.array([whole], np.uint64))
+            out.append(np.array([whole >> np.uint64(1)]).view(np.int64))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros(0, np.int64))
         at += n
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = 85, k: int = SKETCH) -> bool:
-    """Whether two sets overlap enough; the sketch of their union filters, the sets decide."""
-    if not len(a) or not len(b):
-        return False
-    union = np.union1d(a[:k], b[:k])[:k]
-    if len(union) == k:
-        both = np.isin(union, a[:k], assume_unique=True) & np.isin(union, b[:k], assume_unique=True)
-        p = percent / 100
-        if both.mean() < p - SLACK * math.sqrt(p * (1 - p) / k):
-            return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def linked(left: Column, right: Column, percent: int = 85, k: int = SKETCH) -> Column:
+    """Whether two ascending sets overlap enough: the sketch of their union filters, the full sets decide."""
+    a, b = F.slice(left, 1, k), F.slice(right, 1, k)
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    share = percent / 100
+    enough = math.floor(k * (share - SLACK * math.sqrt(share * (1 - share) / k)))
+    likely = (F.size(union) < k) | (F.size(F.array_intersect(F.array_intersect(union, a), b)) >= enough)
+    common = F.size(F.array_intersect(left, right))
+    return likely & (common > 0) & (100 * common >= percent * (F.size(left) + F.size(right) - common))
 
 
 def sketches(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -95,7 +91,7 @@ def sketches(docs: DataFrame, text_column: str = "text") -> DataFrame:
             sets = shingle_sets(texts(batch, text_column))
             return [batch.column(0), [len(s) for s in sets],
                     [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    [(s[:SKETCH] >> np.uint64(8)).astype(np.uint32).view(np.int32) for s in sets]]
+                    [(s[:SKETCH] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for s in sets]]
 
         return work
 
@@ -105,7 +101,7 @@ def sketches(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def full_sets(docs: DataFrame, text_column: str = "text") -> DataFrame:
     def make():
         def work(batch):
-            return [batch.column(0), [s.view(np.int64) for s in shingle_sets(texts(batch, text_column))]]
+            return [batch.column(0), shingle_sets(texts(batch, text_column))]
 
         return work
 
@@ -128,14 +124,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     wide = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"))
-
-    @F.pandas_udf("boolean")
-    def check(left: pd.Series, right: pd.Series) -> pd.Series:
-        # stored as signed numbers; the order of the hashes is that of unsigned ones
-        return pd.Series([linked(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64), percent)
-                          for x, y in zip(left, right)])
-
-    return wide.where(check("left", "right")).select("a", "b")
+    return wide.where(linked(F.col("left"), F.col("right"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
