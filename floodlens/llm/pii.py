@@ -166,8 +166,11 @@ def train_tagger(docs: DataFrame, text_column: str = "text", sample_rows: int =
     The sample is the rows with the smallest hashes; ``sample_chars`` bounds what of each text reaches the driver. It
     only provides training windows: every whole text is searched.
     """
-    sample = (docs.where(F.col(text_column).isNotNull()).select(F.xxhash64(text_column).alias("h"), F.substring(text_column, 1, sample_chars).alias("t"))
-              .orderBy("h", "t").limit(sample_rows).collect())
+    rows = docs.where(F.col(text_column).isNotNull())
+    # hashes are even over 64 bits: a bound leaves a few times the sample, so that tasks send little to the driver
+    bound = min((1 << 63) - 1, -(1 << 63) + 4 * sample_rows * (1 << 64) // max(1, rows.count()))
+    sample = (rows.select(F.xxhash64(text_column).alias("h"), F.substring(text_column, 1, sample_chars).alias("t"))
+              .where(F.col("h") <= bound).orderBy("h", "t").limit(sample_rows).collect())
     tagger = Tagger(1 + 2 * len(KINDS))
     codes, gold = training_windows([r["t"] for r in sample], tagger.window, examples)
     tagger.fit(codes, gold, steps)
