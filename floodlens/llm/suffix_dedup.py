@@ -87,8 +87,9 @@ class Runs:
             grams, strings = string_hashes(data[at:end + LENGTH - 1])
             self.strings[at:end] = strings
             anchor = sliding_min(grams, WINDOW)
-            first, final = np.searchsorted(offsets, [at, end], side="right")
-            cuts = offsets[first:final]                    # documents that begin in this stretch
+            first = np.searchsorted(offsets, at, side="right")
+            # documents that begin in this stretch; one that begins at its end belongs to the next
+            cuts = offsets[first:np.searchsorted(offsets, end, side="left")]
             ok = np.ones(end - at, bool)
             for c in offsets[first:np.searchsorted(offsets, end + LENGTH, side="right")]:
                 ok[max(0, c - LENGTH + 1 - at):max(0, c - at)] = False  # strings that would cross into it

@@ -80,3 +80,23 @@ def test_edges(spark, docs, no_docs):
     assert sd.suffix_dedup(docs, carry=("lang", "chunk", "block")).select("lang", "chunk", "block").distinct().count() == 1
     nulls = sd.suffix_dedup(docs).where("doc_id IS NULL").collect()
     assert len(nulls) == 2 and all(r.n_removed == 0 for r in nulls)
+
+
+def test_documents_that_begin_at_an_end(spark, monkeypatch):
+    """Documents may begin where the last string of a chunk, or a stretch, ends."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n)).encode()
+    passage = word(100)
+    for tail in ([49], [20, 29], [48, 1]):
+        rows = [(k, t) for k, t in enumerate([passage, *(word(n) for n in tail)])]
+        check(spark.createDataFrame([(k, t.decode()) for k, t in rows], "doc_id int, text string"), rows)
+    monkeypatch.setattr(sd, "STRETCH", 64)
+    for sizes in ([64] * 6, [128, 64, 0, 64, 49], [100, 28, 0, 0, 192, 64, 49]):
+        rows = [(k, (passage + word(n))[:n] if k % 2 else word(n)) for k, n in enumerate(sizes)]
+        data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+        ids = np.arange(len(rows))
+        offsets = np.cumsum([0] + sizes)[:-1]
+        runs = sd.Runs(data, offsets, ids)
+        starts = sorted(s for b, n in zip(runs.begin.tolist(), runs.size.tolist()) for s in range(b, b + n))
+        assert starts == [o + i for o, n in zip(offsets.tolist(), sizes) for i in range(n - sd.LENGTH + 1)]
+        assert all(runs.doc == np.searchsorted(offsets, runs.begin, side="right") - 1)
