@@ -17,6 +17,8 @@ from floodlens.llm.queries import vocabulary
 from floodlens.llm.suffix_dedup import suffix_dedup
 from floodlens.session import cut
 
+#: Similarity in percent at which the pipeline links texts; op5's own threshold is another one.
+NEAR = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Packing and the search for equal passages have no SQL form.
 ORACLE_SQL = None
@@ -33,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The ids that go are stored first: as long as they are few, Spark can send them to the texts instead of
     shuffling those.
     """
-    gone = cut(near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    gone = cut(near_duplicates(docs, percent=NEAR).where("NOT kept").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -3,7 +3,7 @@
 1. A document's set of 5-word shingles is hashed by one function; its ``k`` smallest values are the sketch. Equal sets
    form one class, and only the class goes on.
 2. Inverted lists: retained values are counted over all classes. Two linked sets share most of their sketches, so a class
-   with fewer than ``SHARED`` of its values in lists of two or more cannot be linked to any other and is done.
+   with fewer than ``shared_values`` in lists of two or more cannot be linked to any other and is done.
 3. The classes left are indexed in full: of their shingles that occur twice or more, the rarest come first, and only so
    many of them are listed as a linked pair must share one of. The place in that order bounds the overlap of a pair,
    which keeps the lists of a large family of loose copies from being paired off.
@@ -30,8 +30,8 @@ from floodlens.session import cut
 
 SHINGLE = 5
 SKETCH = 64
-#: Share of a sketch's values that linked sets have in common, but for a chance below 1e-6 at the threshold of 0.85.
-SHARED = 0.6
+#: The chance that linked sets share fewer values of their sketches than ``shared_values`` says.
+MISS = 1e-6
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
 
@@ -83,6 +83,16 @@ def linked(left: Column, right: Column, percent: int = 85, k: int = SKETCH) -> C
     return likely & (common > 0) & (100 * common >= percent * (F.size(left) + F.size(right) - common))
 
 
+def shared_values(percent: int, k: int = SKETCH) -> int:
+    """The most of ``k`` retained values that linked sets have in common, but for a chance of ``MISS`` at the threshold."""
+    share, below = percent / 100, 0.0
+    for n in range(k + 1):
+        below += math.comb(k, n) * share ** n * (1 - share) ** (k - n)
+        if below > MISS:
+            return n
+    return k
+
+
 def sketches(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, sign (a digest of the set; null if empty), sketch (32 bits of each retained value)."""
 
@@ -145,7 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
 
     values = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("sketch").alias("v"))
     size = F.least(F.col("n"), F.lit(SKETCH))
-    likely = _rare_first(values, F.ceil(SHARED * size)).select("doc_id")
+    likely = _rare_first(values, F.ceil(size * shared_values(percent) / SKETCH)).select("doc_id")
 
     sets = cut(full_sets(named.join(likely.distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     everything = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))

@@ -1,7 +1,8 @@
+import math
 import random
 
 from floodlens.llm.graph import components
-from floodlens.llm.near_dedup import linked, near_duplicates, shingle_sets
+from floodlens.llm.near_dedup import linked, near_duplicates, shared_values, shingle_sets
 
 
 def word_sets(text):
@@ -75,3 +76,12 @@ def test_components(spark):
 
 def test_empty(no_docs):
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_shared_values():
+    """Sets at the threshold share fewer retained values with a chance below one in a million."""
+    assert [shared_values(p) for p in (80, 85, 100)] == [34, 39, 64]
+    for percent in (50, 80, 85, 95):
+        p, n = percent / 100, shared_values(percent)
+        chance = [sum(math.comb(64, i) * p ** i * (1 - p) ** (64 - i) for i in range(m)) for m in (n, n + 1)]
+        assert chance[0] <= 1e-6 < chance[1]

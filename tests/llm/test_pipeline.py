@@ -1,7 +1,10 @@
+import random
+
 import corpus_pipeline
 from floodlens.llm.near_dedup import near_duplicates
 from floodlens.llm.pii import base_spans
 from floodlens.llm.quality_rules import judge
+from .test_near_dedup import brute as near_groups
 from .test_suffix_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +48,19 @@ def test_null_texts(spark):
         result = stage(spark, docs, SF)
         assert result.count() == (0 if name == "quality_rules" else 3), name
         assert stage(spark, docs.where("false"), SF).count() == 0, name
+
+
+def test_near_copies(spark):
+    """Copies with a similarity from 0.80 up to 0.85 go too; looser ones stay."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [f"w{i}x{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(base)))
+        for at in (20, 60, 100, 140, 180)[:3 + i % 3]:
+            base[at] = "changed"
+        rows.append((2 * i + 1, " ".join(base)))
+    want = near_groups(rows, 80)
+    assert {k for k, (_, c) in want.items() if c != k} == {2 * i + 1 for i in range(60) if i % 3 < 2}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == {c for _, c in want.values()}
