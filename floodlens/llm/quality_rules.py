@@ -31,6 +31,7 @@ STEMS = ("rights", "terms of", "polic", "cookie", "javascript", "sign up", "log
          "droits", "mentions l", "rechte", "datenschutz", "impressum", "derechos", "privacidad")
 SEPARATORS = frozenset("|»›><•·/-–")
 ENDS = ".!?…:;。！？"
+SENTENCE = re.compile(r"(?<=[.!?…:;。！？])\s+")
 LOWER = bytes(range(97, 123))
 
 
@@ -43,10 +44,28 @@ class Rules:
     separator_share: float = 0.25   # of a line's words
     symbol_share: float = 0.1       # of a line's characters
     shout_share: float = 0.7        # of a line's letters
+    phrase_words: int = 20          # so short a line fails for one phrase of page furniture
+    phrase_share: float = 0.25      # of a sentence's words, in such phrases; most words of a longer line are in such sentences
     unended_words: int = 30         # so long a line without a sentence end is a listing
     keep_share: float = 0.5         # less text left rejects the document
 
 
+def is_boilerplate(line: str, rules: Rules = Rules()) -> bool:
+    """Whether a line is mainly page furniture: short with a phrase of it, or made up of sentences that are."""
+    line = line.lower()
+    if not BOILERPLATE.search(line):
+        return False
+    size = len(line.split())
+    if size <= rules.phrase_words:
+        return True
+    furniture = 0
+    for sentence in SENTENCE.split(line):
+        phrases, words = sum(len(m[0].split()) for m in BOILERPLATE.finditer(sentence)), len(sentence.split())
+        if phrases and phrases >= rules.phrase_share * words:
+            furniture += words
+    return 2 * furniture > size
+
+
 def line_fails(line: str, rules: Rules = Rules(), furniture: bool = True) -> str | None:
     """The rule that removes a line, or None. Lines without a word pass.
 
@@ -54,7 +73,7 @@ def line_fails(line: str, rules: Rules = Rules(), furniture: bool = True) -> str
     leaves out lines that the rule could not fail.
     """
     size = len(line)
-    if furniture and BOILERPLATE.search(line.lower()):
+    if furniture and is_boilerplate(line, rules):
         return "boilerplate"
     if sum(map(line.count, SEPARATORS)):
         words = line.split()

@@ -46,3 +46,24 @@ def test_losing_text(spark):
 
 def test_empty(no_docs):
     assert quality_rules(no_docs).count() == 0
+
+
+PHRASES = ("all rights reserved", "terms of use", "privacy policy", "cookie settings", "accept all cookies", "enable javascript", "sign up", "log in to",
+           "subscribe to", "click here", "read more", "share this", "back to top", "lorem ipsum", "licensed under", "released under the",
+           "permission is hereby granted", "without warrant", "copyright 2020", "tous droits réservés", "mentions légales", "alle rechte vorbehalten",
+           "datenschutzerklärung", "impressum", "todos los derechos reservados", "política de privacidad")
+
+
+def test_phrases_in_long_lines(spark):
+    """A phrase within clean prose fails no line, however it is placed; lines made of furniture fail at any length."""
+    prose = [" ".join(f"w{i}o{k}" for k in range(14)).capitalize() + "." for i in range(30)]
+    texts = []
+    for phrase in PHRASES:
+        assert line_fails(phrase.capitalize() + ".") == "boilerplate"
+        texts.append(" ".join(prose[:15] + [f"There one could {phrase} at any time."] + prose[15:]))
+        texts.append(" ".join(prose[:15] + [phrase.capitalize() + "."] + prose[15:]))
+        texts.append(f"{phrase} " + " ".join(f"word{i}" for i in range(300)) + ".")
+        texts.append(" ".join(prose[:3]) + "\n" + " ".join(prose[3:5] + [f"Whoever wants to {phrase} may do so."] + prose[5:7]))
+    got = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), with_text=True).collect()
+    assert len(got) == len(texts) and [r for r in got if not r.kept or r.lost_chars or r.clean_text != texts[r.doc_id]] == []
+    assert line_fails(" ".join(p.capitalize() + " now." for p in PHRASES)) == "boilerplate"
