@@ -10,14 +10,16 @@ from floodlens.llm.compression_classifier import compression_quality, fit_on_tab
 from floodlens.llm.html_text import extract_text
 from floodlens.llm.near_dedup import near_duplicates
 from floodlens.llm.packing import best_fit_packing
+from floodlens.llm.phrases import collocations
 from floodlens.llm.pii import personal_data, train_tagger
 from floodlens.llm.piece_sampling import sample_pieces
 from floodlens.llm.quality_rules import quality_rules
 from floodlens.llm.suffix_dedup import suffix_dedup
 from floodlens.llm.topk import top_k
+from floodlens.llm.whitening import whiten
 
 QUERIES: dict = {}
-#: None of these can be written in SQL that DuckDB runs on whole tables; tests/llm holds them against brute force.
+#: What cannot be written in SQL that DuckDB runs on whole tables is held against brute force by tests/llm.
 ORACLES: dict[str, str] = {}
 
 
@@ -93,3 +95,40 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_toivonen_phrases"] = r"""WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) p),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+freq AS (SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2),
+      lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3)) s(size) WHERE len(words) >= size) g
+  GROUP BY lang, size, phrase HAVING count(*) >= 10),
+parted AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE size > 1),
+cuts AS (SELECT c.*, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score FROM (
+    SELECT *, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest
+    FROM parted, (VALUES (1), (2)) v(k) WHERE k < size) c
+  JOIN freq l ON l.lang = c.lang AND l.phrase = first_part JOIN freq r ON r.lang = c.lang AND r.phrase = rest),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM parted WHERE size = 3) x
+  GROUP BY lang, part)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.f DESC, b.phrase) AS rank, b.phrase,
+  b.f AS a, b.l, b.r, t.n, CAST(b.score AS BIGINT) AS score
+FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase
+WHERE g.f IS NULL OR 100 * g.f < 50 * b.f
+QUALIFY rank <= 2000"""
