@@ -14,6 +14,7 @@ from floodlens.llm.phrases import collocations
 from floodlens.llm.pii import personal_data, train_tagger
 from floodlens.llm.piece_sampling import sample_pieces
 from floodlens.llm.quality_rules import quality_rules
+from floodlens.llm.range_join import near_vectors
 from floodlens.llm.suffix_dedup import suffix_dedup
 from floodlens.llm.topk import top_k
 from floodlens.llm.whitening import whiten
@@ -97,6 +98,27 @@ def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_metric_range_join"] = """WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+low AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.component, e.vec_id) AS component_id,
+  coalesce(coalesce(low.component, e.vec_id) = e.vec_id, true) AS kept
+FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+
 @query
 def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
