@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
@@ -32,7 +33,7 @@ from floodlens.session import cut
 PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 STOP = b"."
 #: Bytes of text in a segment, about.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 #: Bits of a proposal's bitmap, as a power of two.
 BITS = 27
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +58,14 @@ def segments(data: bytes, most: int = SEGMENT):
         at = end
 
 
+def pack(array: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(array.tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def encode(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The corpus as segments of one language each; ``n`` counts their words. Code 0 ends a piece."""
     schema = arrow_schema(SEGMENTS)
@@ -67,7 +76,7 @@ def encode(docs: DataFrame, text_column: str = "text", lang_column: str = "lang"
             index = defaultdict(count().__next__)
             index[STOP]
             codes = np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens))
-            yield {"lang": lang, "vocabulary": b" ".join(index), "codes": codes.tobytes(), "skip": skip,
+            yield {"lang": lang, "vocabulary": b" ".join(index), "codes": pack(codes), "skip": skip,
                    "n": int(np.count_nonzero(codes[skip:]))}
 
     def run(batches):
@@ -163,15 +172,17 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
     the first and not all in the second. ``pair`` is the same for pairs of words and triples.
     """
     context = stored.sparkSession.sparkContext
-    sent = context.broadcast((single, pair))
+    packed = [[bits if bits is None else pack(bits) for bits in kind or ()] for kind in (single, pair)]
+    sent = context.broadcast(packed)
     schema = arrow_schema("lang string, size int, phrase string, f bigint")
 
     def run(batches):
-        single, pair = sent.value
+        single, pair = ([bits if bits is None else unpack(bits, np.uint8) for bits in kind] for kind in sent.value)
         for batch in batches:
-            for lang, vocabulary, raw, skip in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for k in range(batch.num_rows):
+                lang, vocabulary, raw, skip = (column[k].as_py() for column in batch.columns)
                 names = vocabulary.split(b" ")
-                c = np.frombuffer(raw, np.int32).astype(np.int64)
+                c = unpack(raw, np.int32).astype(np.int64)
                 texts = pa.array(names, pa.binary()).cast(pa.string())
 
                 def rows(parts, often):
@@ -188,11 +199,11 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
                     often[0] = 0
                     there = np.nonzero(often)[0]
                     yield rows([there], often[there])
-                if single is None and pair is None:
+                if not single and not pair:
                     continue
                 hashes = word_hashes(names, lang)
                 real = c > 0
-                if single is not None:
+                if single:
                     now = has(single[0], hashes)
                     now[0] = False
                     begin = max(0, skip - 1)
@@ -203,7 +214,7 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
                         ok &= ~(old[a] & old[b])
                     if ok.any():
                         yield rows(*distinct([a[ok], b[ok]], len(names)))
-                if pair is not None and len(c) > 2:
+                if pair and len(c) > 2:
                     begin = max(0, skip - 2)
                     whole = hashes[c[begin:-1]] * STEP + hashes[c[begin + 1:]]
                     both = real[begin:-1] & real[begin + 1:]
