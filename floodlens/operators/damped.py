@@ -21,6 +21,8 @@ from floodlens.functions.blocks import (BLOCK_ROWS, asof_last, attach, previous,
                                         with_block)
 
 SPAN = 256
+#: Half-lives of the fastest rate in a block of ``block_prefixes``.
+REACH = 128
 
 
 # Default decay rates (per time unit), as many as vector parts.
@@ -68,6 +70,119 @@ def damped_sums(df: DataFrame, keys: list[str], order: str, exponent: Column,
     return out.drop(*drop, "_e", "_u", "_span", "_blk")
 
 
+def block_prefixes(df: DataFrame, keys: list[str], order: str, time: str, sums: dict[str, tuple],
+                   rates=RATES, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Running damped moments of several columns at several rates, block by block.
+
+    ``sums`` names a function of the rate's position and a degree each: for every power k up to the degree,
+    the sums of value * 2**(rate*y) * y**k are formed, y being the time since the start of the block.
+    Returns the rows with arrays ``<name><k>`` over the rates, running inside their block (``_blk``, ``_span``) that starts
+    at ``_tau``; and one row per block with ``_tau``, its number ``_seq`` in the stream, the whole block's
+    ``t_<name><k>`` and ``c_<name><k>``, what all blocks before it leave at its start, about its start.
+    """
+    rates = [float(r) for r in rates]
+    fast = max(rates)
+    base = (with_block(df, order, block_rows).withColumnRenamed("__block", "_blk")
+            .withColumn("_span", F.floor(F.col(time) * fast / REACH))
+            .withColumn("_tau", F.col("_span") * (REACH / fast)))
+    groups = [*keys, "_blk", "_span"]
+    y = F.col(time) - F.col("_tau")
+    names = [(n, k) for n, (_, degree) in sums.items() for k in range(degree + 1)]
+    grown = [F.pow(F.lit(2.0), y * r) for r in rates]
+    values = {}
+    for n, (value, degree) in sums.items():
+        for i in range(len(rates)):
+            term = value(i) * grown[i]
+            for k in range(degree + 1):
+                values[f"_v_{n}{k}_{i}"] = term
+                term = term * y
+    base = base.withColumns(values)
+    inner = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def over_rates(of, prefix=""):
+        return {f"{prefix}{n}{k}": F.array(*[of(f"_v_{n}{k}_{i}") for i in range(len(rates))]) for n, k in names}
+    rows = base.withColumns({c: F.sum(c).over(inner) for c in values})
+    rows = rows.withColumns(over_rates(F.col)).drop(*values)
+    totals = base.groupBy(*groups).agg(F.first("_tau").alias("_tau"), *[
+        F.sum(c).alias(c) for c in values])
+    totals = totals.select(*groups, "_tau", *[c.alias(n) for n, c in over_rates(F.col, "t_").items()])
+    return rows, _chained(totals, keys, names, rates)
+
+
+def _shifted(moments: list[Column], by: Column) -> list[Column]:
+    """Moments about a point that lies ``by`` earlier."""
+    out = [moments[0]]
+    if len(moments) > 1:
+        out.append(moments[1] + by * moments[0])
+    if len(moments) > 2:
+        out.append(moments[2] + 2 * by * moments[1] + by * by * moments[0])
+    return out
+
+
+def _chained(totals: DataFrame, keys: list[str], names: list[tuple], rates: list[float]) -> DataFrame:
+    """Adds ``_seq`` and the carried moments ``c_*`` of each block; see ``block_prefixes``.
+
+    Blocks are summed about the start of spans of ``REACH`` half-lives. A block may end in the span after the one where it
+    starts; of the spans before, the last two still count.
+    """
+    order = ["_blk", "_span"]
+    powers = {n: [k for m, k in names if m == n] for n, _ in names}
+    numbered = totals.withColumn("_seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    small = numbered.select(
+        *keys, *order, "_tau", "_seq", F.posexplode(F.array(*[F.lit(r) for r in rates])).alias("_i", "_rate"),
+        *[f"t_{n}{k}" for n, k in names])
+    at = F.col("_rate") * F.col("_tau")
+    small = (small.withColumn("_far", F.floor(at / REACH)).withColumn("_o", at - F.col("_far") * REACH)
+             .withColumn("_lag", F.col("_o") / F.col("_rate")))
+    small = small.withColumns({
+        f"_a_{n}{k}": moment * F.pow(F.lit(2.0), F.col("_o")) for n, ks in powers.items()
+        for k, moment in enumerate(_shifted([F.get(F.col(f"t_{n}{k}"), F.col("_i")) for k in ks], F.col("_lag")))})
+    group = [*keys, "_i", "_far"]
+    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    small = small.withColumns({f"_e_{n}{k}": F.coalesce(F.sum(f"_a_{n}{k}").over(before), zero) for n, k in names})
+    whole = small.groupBy(*group).agg(F.first("_rate").alias("_r"), *[F.sum(f"_a_{n}{k}").alias(f"_z_{n}{k}") for n, k in names])
+    for n in (1, 2):
+        back = F.lit(-float(n * REACH)) / F.col("_r")
+        earlier = whole.select(*keys, "_i", (F.col("_far") + n).alias("_far"), *[
+            (moment * 2.0 ** (-n * REACH)).alias(f"_z{n}_{name}{k}") for name, ks in powers.items()
+            for k, moment in enumerate(_shifted([F.col(f"_z_{name}{k}") for k in ks], back))])
+        small = attach(small, earlier, group)
+    small = small.withColumns({f"_e_{n}{k}": F.col(f"_e_{n}{k}") + F.coalesce(f"_z1_{n}{k}", zero) + F.coalesce(f"_z2_{n}{k}", zero)
+                               for n, k in names})
+    carried = [(moment * F.pow(F.lit(2.0), -F.col("_o"))).alias(f"c_{n}{k}") for n, ks in powers.items()
+               for k, moment in enumerate(_shifted([F.col(f"_e_{n}{k}") for k in ks], -F.col("_lag")))]
+    packed = (small.select(*keys, *order, "_tau", "_seq", "_i", *[f"t_{n}{k}" for n, k in names], *carried)
+              .groupBy(*keys, *order).agg(
+        F.first("_tau").alias("_tau"), F.first("_seq").alias("_seq"), *[F.first(f"t_{n}{k}").alias(f"t_{n}{k}") for n, k in names],
+        F.sort_array(F.collect_list(F.struct("_i", *[f"c_{n}{k}" for n, k in names]))).alias("_c")))
+    return packed.withColumns({f"c_{n}{k}": F.col("_c")[f"c_{n}{k}"] for n, k in names}).drop("_c")
+
+
+def damped_states(df: DataFrame, keys: list[str], value: str, rates=RATES, order: str = "frame_no",
+                  time: str = "t", block_rows: int = BLOCK_ROWS, name: str = "st") -> DataFrame:
+    """Adds ``name``: an array with the stream's rate, weight, mean and variance after each row, in order of ``rates``."""
+    v = F.col(value).cast("double")
+    sums = {"w": (lambda i: F.lit(1.0), 0), "s": (lambda i: v, 0), "q": (lambda i: v * v, 0)}
+    rows, blocks = block_prefixes(df, keys, order, time, sums, rates, block_rows)
+    groups = [*keys, "_blk", "_span"]
+    rows = attach(rows, blocks.select(*groups, "c_w0", "c_s0", "c_q0"), groups)
+    y = F.col(time) - F.col("_tau")
+
+    def state(i, rate):
+        fade = F.pow(F.lit(2.0), y * -float(rate))
+        w, s, q = [(F.col(f"{n}0")[i] + F.col(f"c_{n}0")[i]) * fade for n in "wsq"]
+        return F.struct(F.lit(float(rate)).alias("rate"), w.alias("weight"), (s / w).alias("mean"),
+                        F.abs(q / w - (s / w) * (s / w)).alias("var"))
+    return (rows.withColumn(name, F.array(*[state(i, r) for i, r in enumerate(rates)]))
+            .drop("_blk", "_span", "_tau", *[f"{p}{n}0" for p in ("", "c_") for n in "wsq"]))
+
+
+def by_rate(states: DataFrame, name: str = "st") -> DataFrame:
+    """One row for each rate instead of the array."""
+    return states.withColumn(name, F.explode(name)).select(*[c for c in states.columns if c != name], f"{name}.*")
+
+
 def _moments(df: DataFrame) -> DataFrame:
     mean = F.col("_s") / F.col("_w")
     var = F.abs(F.col("_q") / F.col("_w") - mean * mean)
@@ -81,10 +196,7 @@ def _aggregates(value: Column) -> dict[str, Column]:
 def damped_1d(df: DataFrame, keys: list[str], value: str, rates=RATES, order: str = "frame_no",
               time: str = "t", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Weight, mean and variance of the stream after each row, per rate (one row per rate)."""
-    rated = with_rates(df, rates)
-    sums = damped_sums(rated, [*keys, "rate"], order, F.col("rate") * F.col(time),
-                       _aggregates(F.col(value).cast("double")), block_rows)
-    return _moments(sums)
+    return by_rate(damped_states(df, keys, value, rates, order, time, block_rows))
 
 
 def jitter(df: DataFrame, keys: list[str], order: str = "frame_no", time: str = "t",
@@ -137,6 +249,24 @@ def combined_state(state: DataFrame, key: str, members: list[str]) -> DataFrame:
         F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("magnitude"))
 
 
+def both_states(states: DataFrame, key: str, peer: str, order: str = "frame_no",
+                block_rows: int = BLOCK_ROWS, squared_variance: bool = False) -> DataFrame:
+    """Adds radius and magnitude of a stream and its peer to each state in ``st``, with one lookup for all rates.
+
+    A peer without rows so far counts as 0. ``squared_variance`` is the other radius definition in use,
+    the root of the summed squared variances.
+    """
+    right = states.select(F.col(key).alias("_peer"), order, F.transform("st", lambda s: F.struct(s["mean"], s["var"])).alias("_theirs"))
+    out = asof_last(states.withColumn("_peer", F.col(peer)), right, ["_peer"], order, ["_theirs"], block_rows=block_rows)
+
+    def joined(s, i):
+        mean, var = [F.coalesce(F.get(F.col("_theirs"), i)[n], F.lit(0.0)) for n in ("mean", "var")]
+        spread = s["var"] * s["var"] + var * var if squared_variance else s["var"] + var
+        return F.struct(s["rate"].alias("rate"), s["weight"].alias("weight"), s["mean"].alias("mean"), s["var"].alias("var"),
+                        F.sqrt(spread).alias("radius"), F.sqrt(s["mean"] * s["mean"] + mean * mean).alias("magnitude"))
+    return out.withColumn("st", F.transform("st", joined)).drop("_peer", "_theirs")
+
+
 def with_peer(own: DataFrame, key: str, peer: str, order: str = "frame_no",
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Latest mean and variance of the peer stream at each row (0 while it has none).

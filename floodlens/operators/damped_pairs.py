@@ -2,21 +2,28 @@
 
 Two streams are linked by the first frame sent between them. From then on every frame of either
 stream updates the pair with the product of its own residual and the residual predicted
-for the peer. Predictions depend on the last three points of the peer only, so they are
-attached as an as-of lookup; the damped sum of the products is then a plain damped sum.
+for the peer, which is a polynomial in time through the peer's last three points.
+
+Of each pair only the frames of the stream that sends less are listed, and the frames between the two. Between two
+listed frames the polynomial stays the same, so what the other stream adds there is a combination of the damped
+moments of its residuals, and those are differences of running moments that its own frames carry, whatever its peers. So rows
+grow with the frames, not with frames times peers.
+
+Frames that follow a peer's last point by at most ``10 * GUARD_GAP`` time units, while its two oldest support points
+coincide, are taken to expect that point's value.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from floodlens.functions.blocks import BLOCK_ROWS, asof_last, last_points
-from floodlens.operators.damped import (RATES, damped_1d, damped_jitter, damped_sums,
-                                        join_all, with_peer)
+from floodlens.functions.blocks import BLOCK_ROWS, asof_last, attach, last_points, previous
+from floodlens.operators.damped import (RATES, block_prefixes, both_states, by_rate, damped_jitter, damped_states, damped_sums,
+                                        join_all)
 from floodlens.session import cut
 
+#: Rows of a block within which moments are differenced: few enough to keep most digits.
+MOMENT_ROWS = 4096
 # Fixed values of the extrapolation rule.
 TINY = 1e-20
 GUARD_GAP = 1e-10
@@ -30,119 +37,187 @@ VECTOR_PARTS = (
 )
 
 
-def pair_updates(rows: DataFrame, key: str, peer: str, value: str, double_update: bool = True,
-                 order: str = "frame_no", time: str = "t") -> DataFrame:
-    """All updates of all pairs, in ``step`` order.
+def stream_moments(rows: DataFrame, rates, block_rows: int) -> DataFrame:
+    """One row per frame (own, f) with all that pairs need of its stream: ``m``.
 
-    A frame between two linked streams updates their pair twice (once as a new value of its
-    stream, once for the pair itself), the linking frame only once.
+    State after the frame, the last three points, running moments of the residuals in its block, and what was before.
+    """
+    states = damped_states(rows, ["own"], "v", rates, "f", block_rows=block_rows)
+    states = last_points(states, ["own"], "f", F.struct("f", "t", "v", F.col("peer").alias("to")), 3, "points", block_rows)
+    sums = {"r": (lambda i: F.col("v") - F.col("st")[i]["mean"], 2), "n": (lambda i: F.lit(1.0), 0)}
+    inside, blocks = block_prefixes(states, ["own"], "f", "t", sums, rates, min(block_rows, MOMENT_ROWS))
+    groups = ["own", "_blk", "_span"]
+    moments = [f"{p}{n}" for p in ("", "t_", "c_") for n in ("r0", "r1", "r2", "n0")]
+    whole = attach(inside, blocks.drop("_tau"), groups)
+    pack = F.struct("f", "t", "v", "st", "points", F.col("_seq").alias("seq"), F.col("_tau").alias("tau"), *moments)
+    return whole.select("own", "peer", "f", "t", pack.alias("m"))
+
+
+def pair_rows(frames: DataFrame, double_update: bool = True) -> DataFrame:
+    """The listed frames of all pairs: those of the stream with fewer frames, and those between the two.
+
+    ``n`` counts the updates of the pair by the frame: a frame between two linked streams updates
+    their pair twice (once as a new value of its stream, once for the pair itself), the linking frame only once.
     """
-    rows = rows.select(F.col(key).alias("own"), F.col(peer).alias("peer"), F.col(order).alias("f"),
-                       F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
     ends = {"a": F.least("own", "peer"), "b": F.greatest("own", "peer")}
-    pairs = rows.withColumns(ends).groupBy("a", "b").agg(F.min("f").alias("linked"))
-    sides = pairs.select("a", "b", "linked", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
-    # a frame meets every pair of its stream, as the statistic demands; AQE splits hot streams
-    hits = rows.join(sides, "own").filter(F.col("f") >= F.col("linked"))
-    direct = F.col("peer") == F.when(F.col("own") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    times = F.when(direct & (F.col("f") > F.col("linked")) & F.lit(double_update), 2).otherwise(1)
-    return (hits.withColumn("direct", direct)
-            .withColumn("other", F.when(F.col("own") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-            .withColumn("n", times)
-            .withColumn("u", F.explode(F.sequence(F.lit(1), F.col("n"))))
-            .withColumn("step", F.col("f") * 2 + F.col("u") - 1)
-            .withColumn("final", F.col("u") == F.col("n"))
-            .drop("peer", "linked", "n", "u"))
-
-
-def _guess(n, t, t1, v1, t2, v2, t3, v3):
-    """Value expected at t from the last n <= 3 points, oldest first (Lagrange)."""
-    with np.errstate(all="ignore"):
-        def ratio(tj, ti):
-            return (t - tj) / (ti - tj + TINY)
-        two = v1 * ratio(t2, t1) + v2 * ratio(t1, t2)
-        three = (v1 * ratio(t2, t1) * ratio(t3, t1) + v2 * ratio(t1, t2) * ratio(t3, t2)
-                 + v3 * ratio(t1, t3) * ratio(t2, t3))
-        # the mean gap is taken backwards, so it is positive only if the two oldest coincide
-        too_far = (t - t3) / ((t1 - t2) / 2 + GUARD_GAP) > GUARD_FACTOR
-        return np.select([n == 0, n == 1, n == 2, too_far], [0.0, v1, two, v3], three)
-
-
-def extrapolate(points: str, time: str) -> Column:
-    """Arrow-batched, vectorised over rows: one numeric expression, no per-row Python."""
-    @F.pandas_udf("double")
-    def guess(n: pd.Series, t: pd.Series, t1: pd.Series, v1: pd.Series, t2: pd.Series,
-              v2: pd.Series, t3: pd.Series, v3: pd.Series) -> pd.Series:
-        return pd.Series(_guess(*[s.to_numpy() for s in (n, t, t1, v1, t2, v2, t3, v3)]))
-
-    def field(i, name):
-        return F.coalesce(F.get(F.col(points), F.lit(i))[name], F.lit(0.0))
-    n = F.coalesce(F.size(points), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
-    return guess(n, F.col(time), *[field(i, name) for i in range(3) for name in ("t", "v")])
+    pairs = frames.withColumns(ends).groupBy("a", "b").agg(F.min("f").alias("link"))
+    sent = frames.groupBy("own").agg(F.count("*").alias("k"))
+    for end in "ab":
+        pairs = pairs.join(sent.select(F.col("own").alias(end), F.col("k").alias(f"k_{end}")), end, "left")
+    fewer = F.coalesce("k_a", F.lit(0)) <= F.coalesce("k_b", F.lit(0))
+    pairs = cut(pairs.select("a", "b", "link", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("small"),
+                             F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("big")))
+    between = frames.withColumns(ends).join(pairs, ["a", "b"])
+    alone = frames.join(pairs, F.col("own") == F.col("small")).filter(
+        (F.col("f") >= F.col("link")) & (F.col("peer") != F.col("big")))
+    names = ["a", "b", "link", "small", "big", "f", "t", "own"]
+    rows = (between.select(*names, F.lit(True).alias("direct"))
+            .unionByName(alone.select(*names, F.lit(False).alias("direct"))))
+    twice = F.col("direct") & (F.col("f") > F.col("link")) & F.lit(double_update)
+    return rows.withColumn("n", F.when(twice, 2.0).otherwise(1.0)).withColumn("mine", F.col("own") == F.col("small"))
+
+
+def _support(points: str, other: str, double_update: bool) -> Column:
+    """The last three points of a stream within the pair; frames to the other one count as often as they update it."""
+    held = F.filter(F.coalesce(F.col(points), F.array()), lambda p: p["f"] >= F.col("link"))
+    twice = lambda p: (p["to"] == F.col(other)) & (p["f"] > F.col("link")) & F.lit(double_update)
+    plain = lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v"))
+    every = F.flatten(F.transform(held, lambda p: F.when(twice(p), F.array(plain(p), plain(p))).otherwise(F.array(plain(p)))))
+    return F.slice(F.reverse(every), 1, 3)  # newest first
+
+
+def _points(support: str):
+    """Number, times and values of the points, oldest first (of the first ones that are there)."""
+    n = F.size(support)
+    at = lambda i, field: F.coalesce(F.get(F.col(support), n - 1 - i)[field], F.lit(0.0))
+    return n, [at(i, "t") for i in range(3)], [at(i, "v") for i in range(3)]
+
+
+def _coincide(t) -> Column:
+    return (t[0] - t[1]) / 2 + GUARD_GAP
+
+
+def extrapolate(support: str, time: Column) -> Column:
+    """Value expected at a time from up to three points (Lagrange); the mean gap is taken backwards, so
+    that the guard against far times holds only if the two oldest points coincide."""
+    n, t, v = _points(support)
+    ratio = lambda j, i: (time - t[j]) / (t[i] - t[j] + TINY)
+    two = v[0] * ratio(1, 0) + v[1] * ratio(0, 1)
+    three = (v[0] * ratio(1, 0) * ratio(2, 0) + v[1] * ratio(0, 1) * ratio(2, 1) + v[2] * ratio(0, 2) * ratio(1, 2))
+    far = (time - t[2]) / F.when(_coincide(t) == 0, TINY).otherwise(_coincide(t)) > GUARD_FACTOR
+    return (F.when(n == 0, 0.0).when(n == 1, v[0]).when(n == 2, two).when(far, v[2]).otherwise(three))
+
+
+def _polynomial(support: str, time: Column) -> list[Column]:
+    """The same as coefficients of (t - time)^k."""
+    n, t, v = _points(support)
+    gap = lambda i, j: t[i] - t[j] + TINY
+    d = [time - x for x in t]
+    two = [v[0] / gap(0, 1), v[1] / gap(1, 0)]
+    three = [v[0] / (gap(0, 1) * gap(0, 2)), v[1] / (gap(1, 0) * gap(1, 2)), v[2] / (gap(2, 0) * gap(2, 1))]
+    still = (n == 3) & (_coincide(t) > 0)
+    pick = lambda one, a, last, b: (
+        F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, a).when(still, last).otherwise(b))
+    zero = F.lit(0.0)
+    return [pick(v[0], two[0] * d[1] + two[1] * d[0], v[2], three[0] * d[1] * d[2] + three[1] * d[0] * d[2] + three[2] * d[0] * d[1]),
+            pick(zero, two[0] + two[1], zero,
+                 three[0] * (d[1] + d[2]) + three[1] * (d[0] + d[2]) + three[2] * (d[0] + d[1])),
+            pick(zero, zero, zero, three[0] + three[1] + three[2])]
+
+
+def _faded(p: list[Column], tau: Column, time: Column, rate: Column) -> list[Column]:
+    """Moments 2**(rate*y) * y^k about ``tau`` as moments 2**(-rate*(time-t)) * (t-time)^k."""
+    h = time - tau
+    fade = F.pow(F.lit(2.0), -rate * h)
+    out = [fade * p[0]]
+    if len(p) > 1:
+        out += [fade * (p[1] - h * p[0]), fade * (p[2] - 2 * h * p[1] + h * h * p[0])]
+    return out
+
+
+def _between(name: str, powers: int, time: Column, rate: Column) -> list[Column]:
+    """Moments of the big stream's frames after those known at the listed frame before (``q``), up to this one (``x``)."""
+    at = lambda side, p, k: F.coalesce(F.get(F.col(f"{side}.{p}{name}{k}"), F.col("i")), F.lit(0.0))
+    get = lambda side, p: [at(side, p, k) for k in range(powers)]
+    tau_x, tau_q = F.coalesce("x.tau", F.lit(0.0)), F.coalesce("q.tau", F.lit(0.0))
+    less = lambda u, w: [c - d for c, d in zip(u, w)]
+    more = lambda u, w: [c + d for c, d in zip(u, w)]
+    same = _faded(less(get("x", ""), get("q", "")), tau_x, time, rate)
+    head = _faded(get("x", ""), tau_x, time, rate)
+    tail = _faded(less(get("q", "t_"), get("q", "")), tau_q, time, rate)
+    before = _faded(get("x", "c_"), tau_x, time, rate)
+    gone = _faded(more(get("q", "t_"), get("q", "c_")), tau_q, time, rate)
+    x, q = F.col("x.seq"), F.col("q.seq")
+    return [F.when(F.col("first") | x.isNull(), 0.0).when(q.isNull(), before[k] + head[k]).when(q == x, same[k])
+            .when(x == q + 1, tail[k] + head[k]).otherwise(tail[k] + head[k] + before[k] - gone[k]) for k in range(powers)]
 
 
 def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
-               residual: str = "extrapolated", double_update: bool = True,
-               own: DataFrame | None = None, order: str = "frame_no",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               residual: str = "extrapolated", double_update: bool = True, order: str = "frame_no",
+               block_rows: int = BLOCK_ROWS, time: str = "t", moments: DataFrame | None = None) -> DataFrame:
     """Covariance and correlation after each frame between two streams, per rate.
 
     ``residual='last'`` uses the peer's last residual instead of an extrapolated one.
-    ``own`` may pass in the already computed 1-D state of the ``key`` streams.
+    ``moments`` may pass in the stored ``stream_moments``.
     """
     if residual not in ("extrapolated", "last"):
         raise ValueError("residual: extrapolated|last")
-    if own is None:
-        own = damped_1d(rows, [key], value, rates, order, block_rows=block_rows)
-    # one row per frame with its state for all rates, so that lookups run once, not per rate
-    state = (own.select(F.col(key).alias("_s"), F.col(order).alias("f"), "rate", "mean", "var")
-             .groupBy("_s", "f").agg(F.sort_array(F.collect_list(
-                 F.struct("rate", "mean", "var"))).alias("st")))
-    updates = pair_updates(rows, key, peer, value, double_update, order)
-    if residual == "extrapolated":
-        pts = last_points(updates, ["a", "b", "own"], "step", F.struct("t", "v"), 3, "points",
-                          block_rows)
-        theirs = pts.select("a", "b", F.col("own").alias("other"), "step", "points")
-        updates = asof_last(updates, theirs, ["a", "b", "other"], "step", ["points"],
-                            strict=True, block_rows=block_rows)
-        updates = updates.withColumn("guess", extrapolate("points", "t")).drop("points")
-    mine = state.select(F.col("_s").alias("own"), "f", "st")
-    updates = updates.join(mine, ["own", "f"])
-    theirs = state.select(F.col("_s").alias("other"), "f", F.col("st").alias("st2"))
-    updates = asof_last(updates, theirs, ["other"], "f", ["st2"], block_rows=block_rows)
-    if residual == "last":
-        res = F.transform("st", lambda s: F.col("v") - s["mean"])
-        updates = updates.withColumn("res", res)
-        marks = updates.select("a", "b", F.col("own").alias("other"), "step",
-                               F.col("res").alias("res2"))
-        updates = asof_last(updates, marks, ["a", "b", "other"], "step", ["res2"],
-                            strict=True, block_rows=block_rows)
-    # written once: the damped sums below read these rows twice
-    each = cut(updates.select(
-        "a", "b", "own", "other", "f", "step", "t", "direct", "final", "v",
-        F.posexplode("st").alias("i", "s"), "st2",
-        *(["guess"] if residual == "extrapolated" else ["res2"])))
+    rates = [float(r) for r in rates]
+    if moments is None:
+        moments = cut(stream_moments(own_frames(rows, key, peer, value, order, time), rates, block_rows))
+    listed = pair_rows(moments.select("own", "peer", "f", "t"), double_update)
+    few = F.struct("m.f", "m.v", "m.st", "m.points")
+    for side, name, pack in (("big", "x", F.col("m")), ("small", "s", few)):
+        right = moments.select(F.col("own").alias(side), "f", pack.alias(name))
+        listed = asof_last(listed, right, [side], "f", [name], block_rows=block_rows)
+    # what was known of both streams at the listed frame before
+    listed = previous(listed, ["a", "b"], "f", {"q": F.col("x"), "o": F.col("s")}, block_rows)
+    listed = listed.withColumns({
+        "first": F.col("f") == F.col("link"), "self": F.col("a") == F.col("b"),
+        "theirs": _support("x.points", "small", double_update), "ours": _support("s.points", "big", double_update),
+        "known": _support("o.points", "big", double_update)})
+    each = listed.withColumn("rate", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(rates)])))
+    each = each.withColumns({"i": F.col("rate.i"), "rate": F.col("rate.r")})
     zero = F.lit(0.0)
-    peer_now = F.col("st2")[F.col("i")]
-    res = F.col("v") - F.col("s")["mean"]
-    if residual == "last":
-        theirs = F.coalesce(F.col("res2")[F.col("i")], zero)
+    state = lambda side, field: F.coalesce(F.get(F.col(f"{side}.st"), F.col("i"))[field], zero)
+    left = lambda side: F.coalesce(F.when(F.col(f"{side}.f") >= F.col("link"), F.col(f"{side}.v") - state(side, "mean")), zero)
+    t, mine, alone = F.col("t"), F.col("mine"), F.col("self")
+    rest = F.when(mine, F.col("s.v") - state("s", "mean")).otherwise(F.col("x.v") - state("x", "mean"))
+    moved = _between("r", 3 if residual == "extrapolated" else 1, t, F.col("rate"))
+    passed = F.when(alone, 0.0).otherwise(_between("n", 1, t, F.col("rate"))[0])
+    if residual == "extrapolated":
+        g = _polynomial("known", t)
+        gathered = (g[0] - state("o", "mean")) * moved[0] + g[1] * moved[1] + g[2] * moved[2]
+        expected = F.when(alone, extrapolate("known", t) - state("s", "mean")).when(
+            mine, extrapolate("theirs", t) - state("x", "mean")).otherwise(extrapolate("ours", t) - state("s", "mean"))
+        again = extrapolate("once", t) - state("s", "mean")
+        each = each.withColumn("once", F.slice(F.concat(F.array(F.struct("t", F.col("s.v").alias("v"))), "known"), 1, 3))
     else:
-        theirs = F.col("guess") - F.coalesce(peer_now["mean"], zero)
-    each = each.select("a", "b", "own", "other", "f", "step", "t", "direct", "final",
-                       F.col("s")["rate"].alias("rate"), F.col("s")["var"].alias("var"),
-                       F.coalesce(peer_now["var"], zero).alias("other_var"),
-                       (res * theirs).alias("product"))
-    sums = damped_sums(each, ["a", "b", "rate"], "step", F.col("rate") * F.col("t"),
-                       {"_cf": F.col("product"), "_cw": F.lit(1.0)}, block_rows)
+        gathered = left("o") * moved[0]
+        expected = F.when(alone, left("o")).when(mine, left("x")).otherwise(left("s"))
+        again = left("s")
+    n = F.col("n")
+    weight = F.when(F.col("first") | mine, n).otherwise(n - 1)
+    product = F.when(alone, rest * (expected + F.when(n > 1, again).otherwise(0.0))).otherwise(gathered + weight * rest * expected)
+    each = each.withColumns({"_p": product, "_n": passed + weight})
+    own = lambda field: F.when(mine, state("s", field)).otherwise(state("x", field))
+    other = lambda field: F.when(mine, state("x", field)).otherwise(state("s", field))
+    each = each.select("a", "b", "f", "t", "rate", "direct", "own", F.when(mine, F.col("big")).otherwise(F.col("small")).alias("other"),
+                       own("var").alias("var"), other("var").alias("other_var"), "_p", "_n")
+    sums = damped_sums(each, ["a", "b", "rate"], "f", F.col("rate") * F.col("t"),
+                       {"_cf": F.col("_p"), "_cw": F.col("_n")}, block_rows)
     cov = F.col("_cf") / F.col("_cw")
     scale = F.sqrt("var") * F.sqrt("other_var")
-    return (sums.filter(F.col("direct") & F.col("final"))
+    return (sums.filter("direct")
             .select(F.col("f").alias(order), F.col("own").alias(key), F.col("other").alias(peer), "rate",
                     cov.alias("cov"), F.when(scale != 0, cov / scale).otherwise(0.0).alias("pcc")))
 
 
+def own_frames(rows: DataFrame, key: str, peer: str, value: str, order: str = "frame_no", time: str = "t") -> DataFrame:
+    return rows.select(F.col(key).alias("own"), F.col(peer).alias("peer"), F.col(order).alias("f"),
+                       F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
+
+
 def pair_state(cov: DataFrame, key: str, peer: str, order: str = "frame_no") -> DataFrame:
     """Latest covariance and correlation per pair and rate."""
     return (cov.withColumns({"a": F.least(key, peer), "b": F.greatest(key, peer)})
@@ -152,16 +227,13 @@ def pair_state(cov: DataFrame, key: str, peer: str, order: str = "frame_no") ->
 
 
 def damped_2d(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
-              order: str = "frame_no", **kw) -> DataFrame:
+              order: str = "frame_no", block_rows: int = BLOCK_ROWS, **kw) -> DataFrame:
     """The seven statistics of a stream and its peer after each frame, per rate."""
-    own = cut(damped_1d(rows, [key], value, rates, order)
-              .select(key, peer, order, "rate", "weight", "mean", "var"))
-    peers = with_peer(own, key, peer, order)
-    cov = damped_cov(rows, key, peer, value, rates, own=own, order=order, **kw)
-    size = F.col("mean") * F.col("mean") + F.col("peer_mean") * F.col("peer_mean")
-    return (peers.withColumn("radius", F.sqrt(F.col("var") + F.col("peer_var")))
-            .withColumn("magnitude", F.sqrt(size))
-            .join(cov.select(order, "rate", "cov", "pcc"), [order, "rate"])
+    moments = cut(stream_moments(own_frames(rows, key, peer, value, order), [float(r) for r in rates], block_rows))
+    peers = by_rate(both_states(moments.select("own", "peer", "f", "m.st"), "own", "peer", "f", block_rows)
+                    .select(F.col("f").alias(order), "st"))
+    cov = damped_cov(rows, key, peer, value, rates, order=order, block_rows=block_rows, moments=moments, **kw)
+    return (peers.join(cov.select(order, "rate", "cov", "pcc"), [order, "rate"])
             .select(order, "rate", *VECTOR_PARTS[1][1]))
 
 
@@ -176,9 +248,9 @@ def frame_vectors(streams: DataFrame, rates=RATES) -> DataFrame:
     ``streams`` comes from ``stream_keys``.
     """
     one = ("weight", "mean", "var")
-    mi = damped_1d(streams, ["mac_ip"], "frame_len", rates).select(
-        "frame_no", "rate", *one)
-    jit = damped_jitter(streams, ["channel"], rates).select("frame_no", "rate", *one)
+    mi = by_rate(damped_states(streams.select("frame_no", "t", "mac_ip", "frame_len"), ["mac_ip"], "frame_len", rates)
+                 .select("frame_no", "st"))
+    jit = damped_jitter(streams.select("frame_no", "t", "channel"), ["channel"], rates).select("frame_no", "rate", *one)
     hh = damped_2d(streams, "src", "dst", "frame_len", rates)
     hphp = damped_2d(streams, "socket", "peer_socket", "frame_len", rates)
     parts = []
