@@ -9,7 +9,8 @@
    A phrase is never more frequent than its parts, so nothing frequent can stay uncounted.
 
 A proposal travels as a bitmap of hashes, of a fixed size whatever the corpus: a wrong positive only means that one more
-phrase is counted. Phrases are counted by their words, never by a hash.
+phrase is counted. Most of a border is rare: a first count by 40-bit hashes, at least as high as that of any phrase behind it,
+tells which phrases to count by their words, and only that count enters the result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ STOP = b"."
 SEGMENT = 1 << 20
 #: Bits of a proposal's bitmap, as a power of two.
 BITS = 27
+#: Bits of a hash by which phrases are counted first.
+KEY = 40
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SEGMENTS = "lang string, vocabulary binary, codes binary, skip int, n bigint"
 
@@ -116,15 +119,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def keyed(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes) >> np.uint64(64 - KEY)).astype(np.int64)
+
+
 def places(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    return keyed(hashes) >> (KEY - BITS)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set at the places of hashes (key): 2^BITS bits, however many there are."""
+    at = keys.select((F.shiftright("key", KEY - BITS) + 1).alias("p"))
+    found = (at.groupBy(F.bitmap_bucket_number("p").alias("b"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect())
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for row in found:
+        size = len(row["m"])
+        out[(row["b"] - 1) * size:row["b"] * size] = np.frombuffer(bytes(row["m"]), np.uint8)
+    return out
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """Bits set at the hashes of phrases (lang, phrase) of equally many words: 2^BITS bits, however many phrases."""
+def hashed(phrases: DataFrame) -> DataFrame:
+    """The hashes (key) of phrases (lang, phrase) of equally many words."""
 
     @F.pandas_udf(LongType())
-    def place(lang: pd.Series, phrase: pd.Series) -> pd.Series:
+    def key(lang: pd.Series, phrase: pd.Series) -> pd.Series:
         out = np.zeros(len(phrase), np.int64)
         for name in lang.unique():
             rows = np.nonzero((lang == name).to_numpy())[0]
@@ -133,17 +152,10 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
             whole = hashes[:, 0]
             for k in range(1, hashes.shape[1]):
                 whole = whole * STEP + hashes[:, k]
-            out[rows] = places(whole)
+            out[rows] = keyed(whole)
         return pd.Series(out)
 
-    at = phrases.select((place("lang", "phrase") + 1).alias("p"))
-    found = (at.groupBy(F.bitmap_bucket_number("p").alias("b"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect())
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in found:
-        size = len(row["m"])
-        out[(row["b"] - 1) * size:row["b"] * size] = np.frombuffer(bytes(row["m"]), np.uint8)
-    return out
+    return phrases.select(key("lang", "phrase").alias("key"))
 
 
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -165,31 +177,40 @@ def distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np
     return list(found.T), often
 
 
-def counted(stored: DataFrame, words: bool = False, single: tuple | None = None, pair: tuple | None = None) -> DataFrame:
-    """(lang, size, phrase, f): exact counts over all segments.
+def counted(stored: DataFrame, words: bool = False, single: tuple = (), pair: tuple = (), keep: np.ndarray | None = None,
+            by_hash: bool = False) -> DataFrame:
+    """(lang, size, phrase, f): exact counts over all segments; or (key, f), of all phrases of one hash together.
 
     ``words`` counts all words. ``single`` is (proposal, proposal before) of words: pairs are counted whose words are all in
-    the first and not all in the second. ``pair`` is the same for pairs of words and triples.
+    the first and not all in the second. ``pair`` is the same for pairs of words and triples. ``keep`` leaves out
+    pairs and triples that are not in that bitmap.
     """
     context = stored.sparkSession.sparkContext
-    packed = [[bits if bits is None else pack(bits) for bits in kind or ()] for kind in (single, pair)]
+    packed = [[bits if bits is None else pack(bits) for bits in kind] for kind in (single, pair, (keep,))]
     sent = context.broadcast(packed)
-    schema = arrow_schema("lang string, size int, phrase string, f bigint")
+    ddl = "key bigint, f bigint" if by_hash else "lang string, size int, phrase string, f bigint"
+    schema = arrow_schema(ddl)
 
     def run(batches):
-        single, pair = ([bits if bits is None else unpack(bits, np.uint8) for bits in kind] for kind in sent.value)
+        single, pair, (keep,) = ([bits if bits is None else unpack(bits, np.uint8) for bits in kind] for kind in sent.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, vocabulary, raw, skip = (column[k].as_py() for column in batch.columns)
                 names = vocabulary.split(b" ")
                 c = unpack(raw, np.int32).astype(np.int64)
-                texts = pa.array(names, pa.binary()).cast(pa.string())
+                hashes = word_hashes(names, lang)
+                texts = None if by_hash else pa.array(names, pa.binary()).cast(pa.string())
 
                 def rows(parts, often):
+                    n = len(often)
+                    if by_hash:
+                        whole = hashes[parts[0]]
+                        for p in parts[1:]:
+                            whole = whole * STEP + hashes[p]
+                        return pa.RecordBatch.from_arrays([pa.array(keyed(whole)), pa.array(often, pa.int64())], schema=schema)
                     phrase = texts.take(pa.array(parts[0]))
                     for p in parts[1:]:
                         phrase = pc.binary_join_element_wise(phrase, texts.take(pa.array(p)), " ")
-                    n = len(often)
                     return pa.RecordBatch.from_arrays(
                         [pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(len(parts), pa.int32()), n), phrase,
                          pa.array(often, pa.int64())], schema=schema)
@@ -199,10 +220,6 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
                     often[0] = 0
                     there = np.nonzero(often)[0]
                     yield rows([there], often[there])
-                if not single and not pair:
-                    continue
-                hashes = word_hashes(names, lang)
-                real = c > 0
                 if single:
                     now = has(single[0], hashes)
                     now[0] = False
@@ -212,10 +229,15 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
                     if single[1] is not None:
                         old = has(single[1], hashes)
                         ok &= ~(old[a] & old[b])
-                    if ok.any():
-                        yield rows(*distinct([a[ok], b[ok]], len(names)))
+                    a, b = a[ok], b[ok]
+                    if keep is not None:
+                        ok = has(keep, hashes[a] * STEP + hashes[b])
+                        a, b = a[ok], b[ok]
+                    if len(a):
+                        yield rows(*distinct([a, b], len(names)))
                 if pair and len(c) > 2:
                     begin = max(0, skip - 2)
+                    real = c > 0
                     whole = hashes[c[begin:-1]] * STEP + hashes[c[begin + 1:]]
                     both = real[begin:-1] & real[begin + 1:]
                     now = has(pair[0], whole) & both
@@ -223,11 +245,14 @@ def counted(stored: DataFrame, words: bool = False, single: tuple | None = None,
                     if pair[1] is not None:
                         old = has(pair[1], whole) & both
                         ok &= ~(old[:-1] & old[1:])
-                    if ok.any():
-                        yield rows(*distinct([c[begin:-2][ok], c[begin + 1:-1][ok], c[begin + 2:][ok]], len(names)))
+                    at = np.nonzero(ok)[0] + begin
+                    if keep is not None:
+                        at = at[has(keep, whole[at - begin] * STEP + hashes[c[at + 2]])]
+                    if len(at):
+                        yield rows(*distinct([c[at], c[at + 1], c[at + 2]], len(names)))
 
-    return (stored.select("lang", "vocabulary", "codes", "skip").mapInArrow(run, "lang string, size int, phrase string, f bigint")
-            .groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")))
+    found = stored.select("lang", "vocabulary", "codes", "skip").mapInArrow(run, ddl)
+    return found.groupBy(*[c for c in found.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(stored: DataFrame, support: int = 10, part: int = 4, lower: float = 0.8) -> DataFrame:
@@ -237,19 +262,24 @@ def frequent_phrases(stored: DataFrame, support: int = 10, part: int = 4, lower:
     support would be there, two at least. Sample and threshold change the number of passes, never the result.
     """
     sample = stored.where(F.pmod(F.xxhash64("codes"), F.lit(part)) == 0)
-    least = max(2, int(support * lower / part))
-    single = bitmap(counted(sample, words=True).where(F.col("f") >= least))
-    pair = bitmap(counted(sample, single=(single, None)).where(F.col("f") >= least))
-    known = cut(counted(stored, True, (single, None), (pair, None)).where(F.col("f") >= support))
+    least = F.col("f") >= max(2, int(support * lower / part))
+    enough = F.col("f") >= support
+
+    def count_all(words, single, pair):
+        keep = bitmap(counted(stored, single=single, pair=pair, by_hash=True).where(enough))
+        return cut(counted(stored, words, single, pair, keep).where(enough))
+
+    single = bitmap(counted(sample, words=True, by_hash=True).where(least))
+    pair = bitmap(counted(sample, single=(single, None), by_hash=True).where(least))
+    known = count_all(True, (single, None), (pair, None))
     out = known
     while True:
-        more_single = single | bitmap(known.where("size = 1"))
-        more_pair = pair | bitmap(known.where("size = 2"))
+        more_single = single | bitmap(hashed(known.where("size = 1")))
+        more_pair = pair | bitmap(hashed(known.where("size = 2")))
         failed = [bool((a != b).any()) for a, b in ((more_single, single), (more_pair, pair))]
         if not any(failed):
             return out
-        known = cut(counted(stored, single=(more_single, single) if failed[0] else None,
-                            pair=(more_pair, pair) if failed[1] else None).where(F.col("f") >= support))
+        known = count_all(False, (more_single, single) if failed[0] else (), (more_pair, pair) if failed[1] else ())
         out = out.unionByName(known)
         single, pair = more_single, more_pair
 
