@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
         return work
 
-    return map_texts(docs, ["doc_id", text_column], make, "doc_id bigint, n_shingles bigint, sign binary, sketch array<int>")
+    return map_texts(docs, ["doc_id", text_column], make, "doc_id bigint, n_shingles bigint, sign binary, sketch array<int>", most=1 << 20)
 
 
 def full_sets(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -115,7 +115,7 @@ def full_sets(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
         return work
 
-    return map_texts(docs, ["doc_id", text_column], make, "doc_id bigint, shingles array<bigint>")
+    return map_texts(docs, ["doc_id", text_column], make, "doc_id bigint, shingles array<bigint>", most=1 << 20)
 
 
 def _rare_first(rows: DataFrame, least) -> DataFrame:

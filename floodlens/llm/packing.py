@@ -18,12 +18,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from floodlens.llm.common import map_texts, texts
+from floodlens.llm.common import ANY, drop_kept, kept, map_texts, texts
 from floodlens.session import cut
 
 END_ID = 1
 #: Units kept in a worker's cache before it is emptied.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 
 #: Texts whose split into units is known without the tokenizer: ASCII and precomposed Latin letters.
@@ -100,17 +100,16 @@ class WordEncoder:
         return np.split(ids, end[stops][:-1]) if several else []
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+#: The name under which a worker keeps its encoder.
+ENCODER = "word encoder"
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """The worker's encoder; a reused worker keeps its cache from task to task."""
-    if path not in _ENCODERS:
-        import os
+    """The worker's encoder; a reused worker keeps its cache from task to task of packing."""
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+    return kept(f"{ENCODER} {path}", lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int = 4096, id_column: str = "doc_id",
@@ -120,7 +119,9 @@ def token_pieces(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int
     schema = f"{id_column} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def make():
-        encoder = word_encoder(tokenizer() if callable(tokenizer) else tokenizer)
+        path = tokenizer() if callable(tokenizer) else tokenizer
+        drop_kept(f"{ENCODER} {path}")
+        encoder = word_encoder(path)
 
         def work(batch):
             rows = []
@@ -134,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int
 
         return work
 
-    return map_texts(docs, [id_column, text_column], make, schema)
+    return map_texts(docs, [id_column, text_column], make, schema, keep=ANY)
 
 
 def _complement(gap: int, left: np.ndarray, taken: np.ndarray) -> tuple[int, ...] | None:

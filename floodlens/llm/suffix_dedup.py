@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from floodlens.llm.common import arrow_schema
+from floodlens.llm.common import arrow_schema, thrifty
 
 LENGTH = 50
 GRAM = 20
@@ -414,13 +414,13 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     result = StructType(fields + [named.schema[c] for c in extra])
 
     answer = arrow_schema(REPLIES)
-    entries = dealt.groupBy("chunk").applyInArrow(_send_entries(buckets), ENTRIES)
-    codes = entries.groupBy("bucket").applyInArrow(lambda rows: _settle_entries(rows, answer), REPLIES)
-    asked = dealt.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(_send_pieces(buckets), PIECES)
-    masks = asked.groupBy("bucket").applyInArrow(lambda rows: _match_pieces(rows, answer), REPLIES)
+    entries = dealt.groupBy("chunk").applyInArrow(thrifty(_send_entries(buckets)), ENTRIES)
+    codes = entries.groupBy("bucket").applyInArrow(thrifty(lambda rows: _settle_entries(rows, answer)), REPLIES)
+    asked = dealt.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(thrifty(_send_pieces(buckets)), PIECES)
+    masks = asked.groupBy("bucket").applyInArrow(thrifty(lambda rows: _match_pieces(rows, answer)), REPLIES)
     replies = codes.unionByName(masks)
     found = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _results(buckets, extra, to_arrow_schema(result)), result)
+        thrifty(_results(buckets, extra, to_arrow_schema(result))), result)
     none = F.lit(0).cast("long")
     loose = named.where("doc_id IS NULL").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),

@@ -36,7 +36,8 @@ def test_lines():
 
 
 def test_losing_text(spark):
-    clean = "\n".join(f"Sentence number {i} says something of its own here." for i in range(12))
+    # words of their own, so that no three of them come again
+    clean = "\n".join(" ".join(f"word{i}x{k}" for k in range(8)).capitalize() + "." for i in range(12))
     junk = "\n".join(f"Home {i} | News {i} | Help {i} | More {i}" for i in range(40))
     rows = [(1, clean), (2, clean + "\n" + junk), (3, junk), (4, clean + "\nAll rights reserved."), (5, "\n".join(["A line that is said again and again here."] * 40))]
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id int, text string"), with_text=True).collect()}
