@@ -22,6 +22,8 @@ from floodlens.operators.damped import (RATES, block_prefixes, both_states, by_r
                                         join_all)
 from floodlens.session import cut
 
+#: Part of a value below which a residual is rounding.
+ROUNDING = 1e-12
 #: Rows of a block within which moments are differenced: few enough to keep most digits.
 MOMENT_ROWS = 4096
 # Fixed values of the extrapolation rule.
@@ -37,6 +39,11 @@ VECTOR_PARTS = (
 )
 
 
+def _residual(value: Column, mean: Column) -> Column:
+    """What a value adds to its mean; what is only rounding is nothing, since guesses can be very large."""
+    return F.when(F.abs(value - mean) <= ROUNDING * F.abs(value), 0.0).otherwise(value - mean)
+
+
 def stream_moments(rows: DataFrame, rates, block_rows: int) -> DataFrame:
     """One row per frame (own, f) with all that pairs need of its stream: ``m``.
 
@@ -44,7 +51,7 @@ def stream_moments(rows: DataFrame, rates, block_rows: int) -> DataFrame:
     """
     states = damped_states(rows, ["own"], "v", rates, "f", block_rows=block_rows)
     states = last_points(states, ["own"], "f", F.struct("f", "t", "v", F.col("peer").alias("to")), 3, "points", block_rows)
-    sums = {"r": (lambda i: F.col("v") - F.col("st")[i]["mean"], 2), "n": (lambda i: F.lit(1.0), 0)}
+    sums = {"r": (lambda i: _residual(F.col("v"), F.col("st")[i]["mean"]), 2), "n": (lambda i: F.lit(1.0), 0)}
     inside, blocks = block_prefixes(states, ["own"], "f", "t", sums, rates, min(block_rows, MOMENT_ROWS))
     groups = ["own", "_blk", "_span"]
     moments = [f"{p}{n}" for p in ("", "t_", "c_") for n in ("r0", "r1", "r2", "n0")]
@@ -86,11 +93,16 @@ def _support(points: str, other: str, double_update: bool) -> Column:
     return F.slice(F.reverse(every), 1, 3)  # newest first
 
 
+def with_points(df: DataFrame, *supports: str) -> DataFrame:
+    """Number, times and values of each support's points, oldest first, as plain columns (0 where there is none)."""
+    df = df.withColumns({f"{s}_n": F.size(s) for s in supports})
+    at = lambda s, i, field: F.coalesce(F.try_element_at(F.col(s), F.col(f"{s}_n") - i)[field], F.lit(0.0))
+    return df.withColumns({f"{s}_{field}{i}": F.when(F.col(f"{s}_n") > i, at(s, i, field)).otherwise(0.0)
+                           for s in supports for i in range(3) for field in "tv"})
+
+
 def _points(support: str):
-    """Number, times and values of the points, oldest first (of the first ones that are there)."""
-    n = F.size(support)
-    at = lambda i, field: F.coalesce(F.get(F.col(support), n - 1 - i)[field], F.lit(0.0))
-    return n, [at(i, "t") for i in range(3)], [at(i, "v") for i in range(3)]
+    return F.col(f"{support}_n"), [F.col(f"{support}_t{i}") for i in range(3)], [F.col(f"{support}_v{i}") for i in range(3)]
 
 
 def _coincide(t) -> Column:
@@ -108,21 +120,22 @@ def extrapolate(support: str, time: Column) -> Column:
     return (F.when(n == 0, 0.0).when(n == 1, v[0]).when(n == 2, two).when(far, v[2]).otherwise(three))
 
 
-def _polynomial(support: str, time: Column) -> list[Column]:
-    """The same as coefficients of (t - time)^k."""
+def with_polynomial(df: DataFrame, support: str, time: Column) -> DataFrame:
+    """The same as coefficients ``g0``, ``g1``, ``g2`` of (t - time)^k."""
     n, t, v = _points(support)
     gap = lambda i, j: t[i] - t[j] + TINY
-    d = [time - x for x in t]
-    two = [v[0] / gap(0, 1), v[1] / gap(1, 0)]
+    two = [v[0] / gap(0, 1), v[1] / gap(1, 0), F.lit(0.0)]
     three = [v[0] / (gap(0, 1) * gap(0, 2)), v[1] / (gap(1, 0) * gap(1, 2)), v[2] / (gap(2, 0) * gap(2, 1))]
+    df = df.withColumns({f"_w{i}": F.when(n == 2, two[i]).when(n == 3, three[i]).otherwise(0.0) for i in range(3)}
+                        | {f"_d{i}": time - t[i] for i in range(3)})
+    w, d = [F.col(f"_w{i}") for i in range(3)], [F.col(f"_d{i}") for i in range(3)]
     still = (n == 3) & (_coincide(t) > 0)
-    pick = lambda one, a, last, b: (
-        F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, a).when(still, last).otherwise(b))
-    zero = F.lit(0.0)
-    return [pick(v[0], two[0] * d[1] + two[1] * d[0], v[2], three[0] * d[1] * d[2] + three[1] * d[0] * d[2] + three[2] * d[0] * d[1]),
-            pick(zero, two[0] + two[1], zero,
-                 three[0] * (d[1] + d[2]) + three[1] * (d[0] + d[2]) + three[2] * (d[0] + d[1])),
-            pick(zero, zero, zero, three[0] + three[1] + three[2])]
+    whole = w[0] * d[1] * d[2] + w[1] * d[0] * d[2] + w[2] * d[0] * d[1]
+    slope = w[0] * (d[1] + d[2]) + w[1] * (d[0] + d[2]) + w[2] * (d[0] + d[1])
+    return df.withColumns({
+        "g0": F.when(n == 0, 0.0).when(n == 1, v[0]).when(n == 2, w[0] * d[1] + w[1] * d[0]).when(still, v[2]).otherwise(whole),
+        "g1": F.when(n == 2, w[0] + w[1]).when((n < 2) | still, 0.0).otherwise(slope),
+        "g2": F.when((n < 3) | still, 0.0).otherwise(w[0] + w[1] + w[2])}).drop(*[f"_{c}{i}" for c in "wd" for i in range(3)])
 
 
 def _faded(p: list[Column], tau: Column, time: Column, rate: Column) -> list[Column]:
@@ -135,21 +148,30 @@ def _faded(p: list[Column], tau: Column, time: Column, rate: Column) -> list[Col
     return out
 
 
-def _between(name: str, powers: int, time: Column, rate: Column) -> list[Column]:
-    """Moments of the big stream's frames after those known at the listed frame before (``q``), up to this one (``x``)."""
-    at = lambda side, p, k: F.coalesce(F.get(F.col(f"{side}.{p}{name}{k}"), F.col("i")), F.lit(0.0))
-    get = lambda side, p: [at(side, p, k) for k in range(powers)]
-    tau_x, tau_q = F.coalesce("x.tau", F.lit(0.0)), F.coalesce("q.tau", F.lit(0.0))
+def with_moved(df: DataFrame, name: str, powers: int, to: str) -> DataFrame:
+    """Adds ``to0``.. : moments of the big stream's frames after those known at the listed frame before (``q``), up to this
+    one (``x``), at this one's time."""
+    time, rate = F.col("t"), F.col("rate")
+    had = {f"_{side}{p}{k}": F.coalesce(F.get(F.col(f"{side}.{p}{name}{k}"), F.col("i")), F.lit(0.0))
+           for side in "xq" for p in ("", "t_", "c_") for k in range(powers)}
+    df = df.withColumns(had | {"_xtau": F.coalesce("x.tau", F.lit(0.0)), "_qtau": F.coalesce("q.tau", F.lit(0.0))})
+    get = lambda side, p: [F.col(f"_{side}{p}{k}") for k in range(powers)]
     less = lambda u, w: [c - d for c, d in zip(u, w)]
     more = lambda u, w: [c + d for c, d in zip(u, w)]
-    same = _faded(less(get("x", ""), get("q", "")), tau_x, time, rate)
-    head = _faded(get("x", ""), tau_x, time, rate)
-    tail = _faded(less(get("q", "t_"), get("q", "")), tau_q, time, rate)
-    before = _faded(get("x", "c_"), tau_x, time, rate)
-    gone = _faded(more(get("q", "t_"), get("q", "c_")), tau_q, time, rate)
+    parts = {
+        "same": _faded(less(get("x", ""), get("q", "")), F.col("_xtau"), time, rate),
+        "head": _faded(get("x", ""), F.col("_xtau"), time, rate),
+        "tail": _faded(less(get("q", "t_"), get("q", "")), F.col("_qtau"), time, rate),
+        "past": _faded(get("x", "c_"), F.col("_xtau"), time, rate),
+        "gone": _faded(more(get("q", "t_"), get("q", "c_")), F.col("_qtau"), time, rate)}
+    df = df.withColumns({f"_{p}{k}": value for p, values in parts.items() for k, value in enumerate(values)})
     x, q = F.col("x.seq"), F.col("q.seq")
-    return [F.when(F.col("first") | x.isNull(), 0.0).when(q.isNull(), before[k] + head[k]).when(q == x, same[k])
-            .when(x == q + 1, tail[k] + head[k]).otherwise(tail[k] + head[k] + before[k] - gone[k]) for k in range(powers)]
+    part = lambda p, k: F.col(f"_{p}{k}")
+    return df.withColumns({
+        f"{to}{k}": F.when(F.col("first") | x.isNull(), 0.0).when(q.isNull(), part("past", k) + part("head", k))
+        .when(q == x, part("same", k)).when(x == q + 1, part("tail", k) + part("head", k))
+        .otherwise(part("tail", k) + part("head", k) + part("past", k) - part("gone", k)) for k in range(powers)
+    }).drop(*had, "_xtau", "_qtau", *[f"_{p}{k}" for p in parts for k in range(powers)])
 
 
 def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
@@ -176,32 +198,41 @@ def damped_cov(rows: DataFrame, key: str, peer: str, value: str, rates=RATES,
         "first": F.col("f") == F.col("link"), "self": F.col("a") == F.col("b"),
         "theirs": _support("x.points", "small", double_update), "ours": _support("s.points", "big", double_update),
         "known": _support("o.points", "big", double_update)})
+    t, mine, alone, zero = F.col("t"), F.col("mine"), F.col("self"), F.lit(0.0)
+    supports = ("theirs", "ours", "known", "once")
+    listed = listed.withColumn("once", F.slice(F.concat(F.array(F.struct("t", F.col("s.v").alias("v"))), "known"), 1, 3))
+    if residual == "extrapolated":  # none of this depends on the rate
+        listed = with_polynomial(with_points(listed, *supports), "known", t)
+        listed = listed.withColumns({
+            "guess": F.when(alone, extrapolate("known", t)).when(mine, extrapolate("theirs", t)).otherwise(extrapolate("ours", t)),
+            "guess2": extrapolate("once", t)})
+        listed = listed.drop(*[f"{s}_{c}" for s in supports for c in ("n", "t0", "t1", "t2", "v0", "v1", "v2")])
+    listed = listed.drop(*supports)
     each = listed.withColumn("rate", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(rates)])))
     each = each.withColumns({"i": F.col("rate.i"), "rate": F.col("rate.r")})
-    zero = F.lit(0.0)
-    state = lambda side, field: F.coalesce(F.get(F.col(f"{side}.st"), F.col("i"))[field], zero)
-    left = lambda side: F.coalesce(F.when(F.col(f"{side}.f") >= F.col("link"), F.col(f"{side}.v") - state(side, "mean")), zero)
-    t, mine, alone = F.col("t"), F.col("mine"), F.col("self")
-    rest = F.when(mine, F.col("s.v") - state("s", "mean")).otherwise(F.col("x.v") - state("x", "mean"))
-    moved = _between("r", 3 if residual == "extrapolated" else 1, t, F.col("rate"))
-    passed = F.when(alone, 0.0).otherwise(_between("n", 1, t, F.col("rate"))[0])
+    # states at this frame, and of the small stream at the listed one before
+    state = {f"{side}_{field}": F.coalesce(F.get(F.col(f"{side}.st"), F.col("i"))[field], zero)
+             for side in "xso" for field in ("mean", "var")}
+    each = each.withColumns(state)
+    left = lambda side: F.coalesce(F.when(F.col(f"{side}.f") >= F.col("link"), _residual(F.col(f"{side}.v"), F.col(f"{side}_mean"))), zero)
+    each = each.withColumns({"x_left": left("x"), "s_left": left("s"), "o_left": left("o"),
+                             "rest": F.when(mine, _residual(F.col("s.v"), F.col("s_mean"))).otherwise(_residual(F.col("x.v"), F.col("x_mean")))})
+    each = with_moved(with_moved(each, "r", 3 if residual == "extrapolated" else 1, "r"), "n", 1, "n_")
     if residual == "extrapolated":
-        g = _polynomial("known", t)
-        gathered = (g[0] - state("o", "mean")) * moved[0] + g[1] * moved[1] + g[2] * moved[2]
-        expected = F.when(alone, extrapolate("known", t) - state("s", "mean")).when(
-            mine, extrapolate("theirs", t) - state("x", "mean")).otherwise(extrapolate("ours", t) - state("s", "mean"))
-        again = extrapolate("once", t) - state("s", "mean")
-        each = each.withColumn("once", F.slice(F.concat(F.array(F.struct("t", F.col("s.v").alias("v"))), "known"), 1, 3))
+        gathered = (F.col("g0") - F.col("o_mean")) * F.col("r0") + F.col("g1") * F.col("r1") + F.col("g2") * F.col("r2")
+        expected = F.col("guess") - F.when(~alone & mine, F.col("x_mean")).otherwise(F.col("s_mean"))
+        again = F.col("guess2") - F.col("s_mean")
     else:
-        gathered = left("o") * moved[0]
-        expected = F.when(alone, left("o")).when(mine, left("x")).otherwise(left("s"))
-        again = left("s")
-    n = F.col("n")
+        gathered = F.col("o_left") * F.col("r0")
+        expected = F.when(alone, F.col("o_left")).when(mine, F.col("x_left")).otherwise(F.col("s_left"))
+        again = F.col("s_left")
+    n, rest = F.col("n"), F.col("rest")
     weight = F.when(F.col("first") | mine, n).otherwise(n - 1)
     product = F.when(alone, rest * (expected + F.when(n > 1, again).otherwise(0.0))).otherwise(gathered + weight * rest * expected)
+    passed = F.when(alone, 0.0).otherwise(F.col("n_0"))
     each = each.withColumns({"_p": product, "_n": passed + weight})
-    own = lambda field: F.when(mine, state("s", field)).otherwise(state("x", field))
-    other = lambda field: F.when(mine, state("x", field)).otherwise(state("s", field))
+    own = lambda field: F.when(mine, F.col(f"s_{field}")).otherwise(F.col(f"x_{field}"))
+    other = lambda field: F.when(mine, F.col(f"x_{field}")).otherwise(F.col(f"s_{field}"))
     each = each.select("a", "b", "f", "t", "rate", "direct", "own", F.when(mine, F.col("big")).otherwise(F.col("small")).alias("other"),
                        own("var").alias("var"), other("var").alias("other_var"), "_p", "_n")
     sums = damped_sums(each, ["a", "b", "rate"], "f", F.col("rate") * F.col("t"),

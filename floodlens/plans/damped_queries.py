@@ -111,24 +111,116 @@ def _duplex(c):
   FROM duplex d JOIN duplex_state o ON d.frame_no = o.frame_no
   ASOF LEFT JOIN duplex_state p ON p.k = d.dst AND p.rate = o.rate AND p.frame_no <= d.frame_no"""))
 def damped_radius_magnitude(c):
-    own = damped.damped_1d(_duplex(c), ["src"], "frame_kb", RATES)
-    return damped.radius_magnitude(own, "src", "dst").select("frame_no", "rate", "radius", "magnitude")
-
-
-@query("damped_cov")
+    own = damped.damped_states(_duplex(c), ["src"], "frame_kb", RATES).select("frame_no", "src", "dst", "st")
+    both = damped.both_states(own, "src", "dst").select("frame_no", "st")
+    return damped.by_rate(both).select("frame_no", "rate", "radius", "magnitude")
+
+
+def _pairs_sql(name: str, frames: str, key: str, peer: str, value: str, rates: str, residual: str) -> str:
+    """The pair statistics written out: every update of every pair, in the order of its steps.
+
+    Registers the parts ``<name>_*`` and gives the select of frame_no, rate, cov and pcc. A pair meets each frame of both
+    its streams; a frame between the two meets it twice, the first one once.
+    """
+    part(f"{name}_rows", f"SELECT frame_no AS f, t, {key} AS own, {peer} AS peer, CAST({value} AS DOUBLE) AS v FROM {frames}")
+    part(f"{name}_rate", rates)
+    part(f"{name}_state", f"""SELECT f, own, v, rate, s / w AS mean, abs(q / w - (s / w) * (s / w)) AS var FROM (
+      SELECT a.f, a.own, a.v, r.rate, sum(pow(2, -r.rate * (a.t - b.t))) AS w, sum(b.v * pow(2, -r.rate * (a.t - b.t))) AS s,
+        sum(b.v * b.v * pow(2, -r.rate * (a.t - b.t))) AS q
+      FROM {name}_rows a JOIN {name}_rows b ON a.own = b.own AND b.f <= a.f CROSS JOIN {name}_rate r
+      GROUP BY a.f, a.own, a.v, r.rate) x""")
+    part(f"{name}_link", f"""SELECT least(own, peer) AS a, greatest(own, peer) AS b, min(f) AS link
+      FROM {name}_rows WHERE own <> peer GROUP BY 1, 2""")
+    part(f"{name}_step", f"""SELECT a, b, link, f, t, v, own, CASE WHEN own = a THEN b ELSE a END AS other, u, n,
+        (peer = a OR peer = b) AND u = n AS shown FROM (
+      SELECT l.*, r.f, r.t, r.v, r.own, r.peer, CASE WHEN (r.peer = l.a OR r.peer = l.b) AND r.f > l.link THEN 2 ELSE 1 END AS n
+      FROM {name}_link l JOIN {name}_rows r ON (r.own = l.a OR r.own = l.b) AND r.f >= l.link) h, (VALUES (1), (2)) k(u)
+      WHERE u <= n""")
+    part(f"{name}_kept", f"""SELECT a, b, own, 2 * f + u AS step, t AS t3, v AS v3, lag(t) OVER w AS t2, lag(v) OVER w AS v2,
+        lag(t, 2) OVER w AS t1, lag(v, 2) OVER w AS v1 FROM {name}_step
+      WINDOW w AS (PARTITION BY a, b, own ORDER BY f, u)""")
+    eps = "1e-20"
+    three = (f"v1 * ((t - t2) / (t1 - t2 + {eps})) * ((t - t3) / (t1 - t3 + {eps})) + v2 * ((t - t1) / (t2 - t1 + {eps})) * "
+             f"((t - t3) / (t2 - t3 + {eps})) + v3 * ((t - t1) / (t3 - t1 + {eps})) * ((t - t2) / (t3 - t2 + {eps}))")
+    guess = (f"CASE WHEN t3 IS NULL THEN 0 WHEN t2 IS NULL THEN v3 WHEN t1 IS NULL THEN v2 * ((t - t3) / (t2 - t3 + {eps})) + "
+             f"v3 * ((t - t2) / (t3 - t2 + {eps})) WHEN (t - t3) / ((t1 - t2) / 2 + 1e-10) > 10 THEN v3 ELSE {three} END")
+    part(f"{name}_guess", f"""SELECT s.*, k.step AS seen, {guess} AS guess FROM {name}_step s
+      ASOF LEFT JOIN {name}_kept k ON k.a = s.a AND k.b = s.b AND k.own = s.other AND k.step < 2 * s.f + s.u""")
+    own, last = (f"(CASE WHEN abs({v} - {m}) <= 1e-12 * abs({v}) THEN 0 ELSE {v} - {m} END)" for v, m in (("g.v", "m.mean"), ("p.v", "p.mean")))
+    theirs = "g.guess - coalesce(p.mean, 0)" if residual == "extrapolated" else f"CASE WHEN g.seen IS NULL THEN 0 ELSE {last} END"
+    part(f"{name}_each", f"""SELECT g.a, g.b, g.f, g.t, g.u, g.shown, m.rate, m.var, coalesce(p.var, 0) AS other_var,
+        {own} * ({theirs}) AS product
+      FROM {name}_guess g JOIN {name}_state m ON m.f = g.f
+      ASOF LEFT JOIN {name}_state p ON p.own = g.other AND p.rate = m.rate AND p.f <= g.f""")
+    part(f"{name}_sums", f"""SELECT x.f AS frame_no, x.rate, any_value(x.var) AS var, any_value(x.other_var) AS other_var,
+        sum(y.product * pow(2, -x.rate * (x.t - y.t))) / sum(pow(2, -x.rate * (x.t - y.t))) AS cov
+      FROM {name}_each x JOIN {name}_each y ON y.a = x.a AND y.b = x.b AND y.rate = x.rate AND y.f <= x.f
+      WHERE x.shown GROUP BY x.f, x.rate""")
+    return f"""SELECT frame_no, rate, cov, CASE WHEN sqrt(var) * sqrt(other_var) <> 0
+      THEN cov / (sqrt(var) * sqrt(other_var)) ELSE 0 END AS pcc FROM {name}_sums"""
+
+
+def shown(name: str) -> str:
+    """Values that differ by many orders of magnitude are compared by the logarithm of their size."""
+    return f"sign({name}) * ln(1 + abs({name}))"
+
+
+def _log(*names: str):
+    return {n: F.signum(n) * F.log1p(F.abs(n)) for n in names}
+
+
+def _pair_sql(name: str, residual: str) -> str:
+    body = _pairs_sql(name, "duplex", "src", "dst", "frame_kb", "SELECT rate FROM rates", residual)
+    part(f"{name}_out", body)
+    return sql(f"""SELECT o.frame_no, d.src, d.dst, o.rate, {rounded(shown('o.cov'), 'cov')}
+  FROM {name}_out o JOIN duplex d ON d.frame_no = o.frame_no""")
+
+
+@query("damped_cov", _pair_sql("cov", "extrapolated"))
 def damped_cov(c):
-    """Order-dependent; compared with a sequential model in the tests."""
-    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES)
+    """Supports that coincide, because a frame between two linked streams counts twice, make guesses very large."""
+    return (damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES)
+            .withColumns(_log("cov")).select("frame_no", "src", "dst", "rate", "cov"))
 
 
-@query("damped_cov_last")
+@query("damped_cov_last", _pair_sql("covl", "last"))
 def damped_cov_last(c):
-    return damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES, residual="last")
-
-
-@query("frame_vectors")
+    return (damped_pairs.damped_cov(_duplex(c), "src", "dst", "frame_kb", RATES, residual="last")
+            .withColumns(_log("cov")).select("frame_no", "src", "dst", "rate", "cov"))
+
+
+def _vector_sql() -> str:
+    """All statistics of all frames, rate by rate, from the parts of the four stream families."""
+    names, joins = [], []
+    rates = "SELECT unnest([%s]::DOUBLE[]) AS rate" % ", ".join(str(r) for r in damped.RATES)
+    part("vrates", rates)
+    for prefix, key, value, source in (("mi", "mac_ip", "frame_kb", "streams"), ("jit", "channel", "gap", "gapped")):
+        part(f"v{prefix}", _state_sql(key, value, source).replace(", rates r", ", vrates r"))
+    for prefix, key, peer in (("hh", "src", "dst"), ("hphp", "socket", "peer_socket")):
+        part(f"v{prefix}_cov", _pairs_sql(f"v{prefix}", "streams", key, peer, "frame_kb", rates, "extrapolated"))
+        part(f"v{prefix}_one", _state_sql(key, "frame_kb", "streams").replace(", rates r", ", vrates r"))
+        part(f"v{prefix}_all", f"""SELECT o.frame_no, o.rate, o.weight, o.mean, o.var, sqrt(o.var + coalesce(p.var, 0)) AS radius,
+            sqrt(o.mean * o.mean + coalesce(p.mean * p.mean, 0)) AS magnitude, c.cov
+          FROM v{prefix}_one o JOIN streams s ON s.frame_no = o.frame_no JOIN v{prefix}_cov c ON c.frame_no = o.frame_no AND c.rate = o.rate
+          ASOF LEFT JOIN v{prefix}_one p ON p.k = s.{peer} AND p.rate = o.rate AND p.frame_no <= o.frame_no""")
+    tables = {"mi": "vmi", "hh": "vhh_all", "jit": "vjit", "hphp": "vhphp_all"}
+    for prefix, columns in damped_pairs.VECTOR_PARTS:
+        for rate in damped.RATES:
+            for column in columns:
+                if column != "pcc":
+                    value = f"max({prefix}.{column}) FILTER ({prefix}.rate = {rate})"
+                    names.append(rounded(shown(value), f'"{prefix}_{column}_{rate:g}"'))
+    joins = " ".join(f"JOIN {table} {prefix} ON {prefix}.frame_no = mi.frame_no AND {prefix}.rate = mi.rate"
+                     for prefix, table in tables.items() if prefix != "mi")
+    return sql(f"SELECT mi.frame_no, {', '.join(names)} FROM {tables['mi']} mi {joins} GROUP BY mi.frame_no")
+
+
+@query("frame_vectors", _vector_sql())
 def frame_vectors(c):
-    return damped_pairs.frame_vectors(_streams(c))
+    """Without the correlations, which divide by variances that may be nothing but rounding."""
+    wide = damped_pairs.frame_vectors(_streams(c).withColumn("frame_len", F.col("frame_kb")))
+    names = [n for n in wide.columns if n != "frame_no" and "_pcc_" not in n]
+    return wide.select("frame_no", *[(F.signum(f"`{n}`") * F.log1p(F.abs(f"`{n}`"))).alias(n) for n in names])
 
 
 _FINAL = """SELECT k AS src, rate, weight, mean, var, last_t FROM (
