@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from floodlens.operators.history import history_chunks
+from floodlens.functions.blocks import running_max, running_sums
+from floodlens.operators.history import history_chunks, history_ready
 from floodlens.operators.windows import Calendar, build_calendar, window_stats
 from floodlens.options import NS_PER_S, WindowOptions
 from floodlens.schemas import FEATURES, FRAGMENT_FEATURES
@@ -69,6 +70,70 @@ def summarise(chunked: DataFrame, opts: WindowOptions, truncate_totals: bool = F
         F.max("window_id").alias("last_window_id"), *[a.alias(n) for n, a in aggs.items()])
 
 
+#: The window measures whose average, spread or share makes the feature row; of a null the row has nothing.
+_AVERAGED = ("pkts_total", "bytes_total", "pkt_arrivals_avg", "pkt_arrivals_std", "pkt_size_avg", "pkt_size_std",
+             "port_src_unique", "port_src_entropy", "conn_pkts_avg", "hdrs_payload_ratio_avg")
+_SHARES = {"proto_tcp_share": "tcp_pkt_count", "proto_udp_share": "udp_pkt_count", "proto_icmp_share": "icmp_pkt_count",
+           "pkts_frag_share": "pkts_frag_count"}
+
+
+def expanding_features(windows: DataFrame, opts: WindowOptions, truncate_totals: bool = False) -> DataFrame:
+    """The whole feature row at every ready window, over all windows of the source so far (histories are kept).
+
+    Each measure is taken relative to the source's first window and summed, as it is and squared; counts and extremes
+    run along. Running values are formed inside blocks of ``history_block`` windows and carried from block to block.
+    """
+    values = {n: F.col(n).cast("double") for n in _AVERAGED} | {n: _share(c) for n, c in _SHARES.items()}
+    base = windows.withColumns({f"_x_{n}": v for n, v in values.items()})
+    first = base.groupBy("src_ip").agg(F.min_by(F.struct(
+        "window_id", "tstamp_start", *[F.coalesce(f"_x_{n}", F.lit(0.0)).alias(n) for n in values]), "window_id").alias("_first"))
+    base = base.join(first, "src_ip").select(
+        "src_ip", "window_id", "tstamp_start", "tstamp_end", "pkt_size_min", "pkt_size_max", "pkts_total", "bytes_total",
+        *_SHARES.values(), "_first", *[(F.col(f"_x_{n}") - F.col("_first")[n]).alias(f"_d_{n}") for n in values])
+    sums = {"_count": F.lit(1), "_packets": F.col("pkts_total"), "_bytes": F.col("bytes_total"),
+            "_active": F.col("tstamp_end") - F.col("tstamp_start"),
+            **{f"_k_{c}": F.col(c) for c in _SHARES.values()}}
+    for n in values:
+        d = F.col(f"_d_{n}")
+        sums |= {f"_n_{n}": d.isNotNull().cast("long"), f"_s_{n}": d, f"_q_{n}": d * d}
+    seen = running_sums(base, ["src_ip"], "window_id", sums, opts.history_block)
+    seen = running_max(seen, ["src_ip"], "window_id", -F.col("pkt_size_min"), "_low", opts.history_block)
+    seen = running_max(seen, ["src_ip"], "window_id", F.col("pkt_size_max"), "_high", opts.history_block)
+    ready = history_ready(windows, opts).filter("ready").select("src_ip", "window_id")
+    seen = seen.join(ready, ["src_ip", "window_id"])
+
+    def mean(n):
+        return F.col("_first")[n] + F.try_divide(F.col(f"_s_{n}"), F.col(f"_n_{n}"))
+
+    def spread(n):
+        off = F.try_divide(F.col(f"_s_{n}"), F.col(f"_n_{n}"))
+        return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"_q_{n}"), F.col(f"_n_{n}")) - off * off))
+    count, span = F.col("_count"), F.col("window_id") - F.col("_first")["window_id"] + 1
+    seconds = (F.col("tstamp_end") - F.col("_first")["tstamp_start"]) / NS_PER_S
+    tcp, udp, icmp = (F.col(f"_k_{_SHARES[f'proto_{p}_share']}") for p in ("tcp", "udp", "icmp"))
+    top = F.greatest(tcp, udp, icmp)
+    total = (lambda n: F.floor(mean(n)).cast("double")) if truncate_totals else mean
+    out = {
+        "window_count": count, "window_span": span, **{n: mean(n) for n in values},
+        "pkts_total": total("pkts_total"), "bytes_total": total("bytes_total"),
+        "pkt_rate": F.try_divide(F.col("_packets"), seconds), "byte_rate": F.try_divide(F.col("_bytes"), seconds),
+        "pkt_size_min": -F.col("_low"), "pkt_size_max": F.col("_high"),
+        **{f"{n}_std": spread(n) for n in (*_AVERAGED, "pkts_frag_share") if n != "pkt_arrivals_std"},
+        # ties go to TCP, then UDP
+        "dominant_proto_ratio_std": F.when(tcp == top, spread("proto_tcp_share"))
+        .when(udp == top, spread("proto_udp_share")).otherwise(spread("proto_icmp_share")),
+        "intrawindow_activity_ratio": F.col("_active") / (count * F.lit(float(opts.window_ns))),
+        "interwindow_activity_ratio": count / span,
+    }
+    return seen.select("src_ip", "window_id", *[out[n].alias(n) for n in FEATURES[1:]])
+
+
+def history_features(windows: DataFrame, opts: WindowOptions, truncate_totals: bool = False) -> DataFrame:
+    """One feature row per source over all its given windows, such as a cut history."""
+    rows = summarise(windows.withColumn("chunk_id", F.lit(0)), opts, truncate_totals)
+    return rows.select("src_ip", "last_window_id", *FEATURES[1:])
+
+
 def flow_features(packets: DataFrame, opts: WindowOptions, calendar: Calendar | None = None,
                   truncate_totals: bool = False, **window_args) -> DataFrame:
     """Packets to feature rows. The window table is written once: chunking reads it twice."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from floodlens.session import cut
 
@@ -22,6 +22,8 @@ HIDDEN_RATIO = 0.75
 WEIGHT_SEED = 1234
 FLOOR = 1e-16
 TINY = 1e-100
+#: Rows of a block of running means.
+RUN_ROWS = 16_384
 
 MODEL_SCHEMA = ("layer int, grp int, members array<int>, w array<double>, hidden array<double>, "
                 "visible array<double>, low array<double>, high array<double>")
@@ -75,6 +77,56 @@ def feature_distances(vectors: DataFrame, column: str = "vector") -> DataFrame:
     sums = (parts.join(off[0], "i").join(off[1], "j").groupBy("i", "j").agg(F.sum(
         F.col("c") + F.col("n") * (F.col("mi") - F.col("mean_i")) * (F.col("mj") - F.col("mean_j"))
     ).alias("c")))
+    return _distances(sums)
+
+
+def running_distances(vectors: DataFrame, column: str = "vector", order: str = "row_no",
+                      block_rows: int = RUN_ROWS) -> DataFrame:
+    """Correlation distances whose residuals are taken from the mean of the rows up to each row, itself included.
+
+    Rows are cut into blocks of row numbers. One row per block carries the sums of all features before it; inside a
+    block a task forms the running means at once, and reduces its residuals to one matrix of products.
+    Rows without a number or vector are left out; equal numbers count in an arbitrary order.
+    """
+    some = vectors.select(column).where(F.col(column).isNotNull()).first()
+    pivot = np.asarray(some[0], float) if some else np.zeros(0)
+    width = len(pivot)
+    rows = (vectors.where(F.col(order).isNotNull() & F.col(column).isNotNull())
+            .select(F.col(order).cast("long").alias("n"), F.col(column).cast("array<double>").alias("x"))
+            .withColumn("block", F.expr(f"n div {int(block_rows)}")))
+
+    def total(batches):
+        sums, counts = {}, {}
+        for pdf in batches:
+            for block, part in pdf.groupby("block"):
+                x = np.vstack(part["x"].to_numpy()) - pivot
+                sums[block] = sums.get(block, 0.0) + x.sum(0)
+                counts[block] = counts.get(block, 0) + len(x)
+        for block, s in sums.items():
+            yield pd.DataFrame({"block": block, "i": np.arange(width), "s": s, "k": counts[block]})
+
+    totals = (rows.mapInPandas(total, "block long, i int, s double, k long")
+              .groupBy("block", "i").agg(F.sum("s").alias("s"), F.sum("k").alias("k")))
+    before = Window.partitionBy("i").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (totals.select("block", "i", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s"),
+                             F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k"))
+               .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("c"), F.first("k").alias("k"))
+               .select("block", F.col("c.s").alias("s"), "k"))
+
+    def products(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"i": [], "j": [], "c": []})
+        x = np.vstack(mine.sort_values("n", kind="stable")["x"].to_numpy()) - pivot
+        sums = np.cumsum(x, axis=0) + held["s"].iloc[0]
+        x -= sums / (np.arange(1, len(x) + 1) + held["k"].iloc[0])[:, None]
+        return pd.DataFrame({"i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width), "c": (x.T @ x).ravel()})
+
+    sums = (rows.groupBy("block").cogroup(carried.groupBy("block")).applyInPandas(products, "i int, j int, c double")
+            .groupBy("i", "j").agg(F.sum("c").alias("c")))
+    return _distances(cut(sums))
+
+
+def _distances(sums: DataFrame) -> DataFrame:
     own = sums.filter("i = j")
     left = own.select("i", F.col("c").alias("own_i"))
     right = own.select("j", F.col("c").alias("own_j"))
@@ -140,6 +192,17 @@ def _squash(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def corruption_mask(rows: np.ndarray, step: int, features: np.ndarray, corruption: float, seed: int) -> np.ndarray:
+    """Which inputs survive: a hash of row number, step and feature, so that it does not depend on how rows are dealt."""
+    x = (rows.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+         + np.asarray(features, np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
+         + np.uint64((step * 0x165667B19E3779F9 + seed) % 2 ** 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) * 2.0 ** -53 >= corruption
+
+
 class _Layer:
     """Tied autoencoders over groups of columns, trained by gradients that tasks add up."""
 
@@ -166,13 +229,16 @@ class _Layer:
             out.append(np.sqrt(((again - x[:, m]) ** 2).mean(1)))
         return np.column_stack(out)
 
-    def gradient(self, x: np.ndarray, corruption: float, rng) -> np.ndarray:
-        """Sum over the rows of the gradients of half the squared errors, flattened."""
+    def gradient(self, x: np.ndarray, kept=None) -> np.ndarray:
+        """Sum over the rows of the gradients of half the squared errors, flattened.
+
+        ``kept`` tells, from features, which of their inputs are seen.
+        """
         x = self.scaled(x)
         flat = []
         for m, (w, hidden, visible) in zip(self.members, self.params):
             clean = x[:, m]
-            given = clean * (rng.random(clean.shape) >= corruption) if corruption > 0 else clean
+            given = clean * kept(m) if kept else clean
             code = _squash(given @ w + hidden)
             again = _squash(code @ w.T + visible)
             outer = (again - clean) * again * (1 - again)
@@ -202,13 +268,14 @@ def _train(vectors: DataFrame, layer: _Layer, inner: _Layer | None, rounds: int,
             for pdf in batches:
                 if len(pdf):
                     x = np.vstack(pdf["vector"].to_numpy()).astype(float)
-                    rng = np.random.default_rng([seed, step, len(x), int(abs(x[0]).sum() * 1e6) % 2 ** 31])
-                    total = total + layer.gradient(inner.errors(x) if inner else x, corruption, rng)
+                    rows_here = pdf["row_no"].to_numpy()
+                    kept = (lambda m: corruption_mask(rows_here, step, m, corruption, seed)) if corruption > 0 else None
+                    total = total + layer.gradient(inner.errors(x) if inner else x, kept)
                     rows += len(x)
             if rows:
                 yield pd.DataFrame({"k": np.arange(len(total)), "g": total, "n": rows})
 
-        sums = (vectors.select("vector").mapInPandas(gather, "k int, g double, n long")
+        sums = (vectors.select("row_no", "vector").mapInPandas(gather, "k int, g double, n long")
                 .groupBy("k").agg((F.sum("g") / F.sum("n")).alias("g")).collect())
         if not sums:
             return
@@ -241,12 +308,13 @@ def ensemble_fit(vectors: DataFrame, groups: list[list[int]] | None = None, most
                  corruption: float = 0.0) -> DataFrame:
     """Feature groups, one autoencoder per group and one over their errors, from all rows given.
 
-    Pass the rows of the learning phase. Returns the model table.
+    Pass the rows of the learning phase. Groups follow the distances from running means. ``corruption`` is the part of the
+    inputs that training hides. Returns the model table.
     """
-    if groups is None:
-        groups = group_features(feature_distances(vectors), most)
     spark = vectors.sparkSession
-    vectors = cut(vectors.select("vector"))
+    vectors = cut(vectors.select("row_no", "vector"))
+    if groups is None:
+        groups = group_features(running_distances(vectors), most)
     low = _Layer(groups, *_bounds(vectors), ratio, WEIGHT_SEED)
     _train(vectors, low, None, rounds, rate, corruption, WEIGHT_SEED)
     top = _Layer([list(range(len(groups)))], *_bounds(vectors, low), ratio, WEIGHT_SEED + 1)

@@ -51,9 +51,20 @@ def feature_corr_shifted(c):
         F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance")
 
 
+part("run_res", """SELECT row_no, i, x - avg(x) OVER (PARTITION BY i ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS r FROM long_vec""")
+
+
+@query("feature_corr_running", sql(f"""SELECT a.i, b.i AS j,
+  {rounded('greatest(0, 1 - sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))))', 'distance')}
+  FROM run_res a JOIN run_res b ON a.row_no = b.row_no AND a.i < b.i GROUP BY a.i, b.i"""))
+def feature_corr_running(c):
+    return model.running_distances(_vectors(c)).select(
+        F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance")
+
+
 @query("feature_groups")
 def feature_groups(c):
-    groups = model.group_features(model.feature_distances(_vectors(c)))
+    groups = model.group_features(model.running_distances(_vectors(c)))
     return c.spark.createDataFrame([(g, i) for g, m in enumerate(groups) for i in m],
                                    "grp int, feature int")
 
@@ -77,6 +88,15 @@ def ensemble_fit(c):
                             F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x).alias("w_norm"))
 
 
+@query("ensemble_denoising")
+def ensemble_denoising(c):
+    """Training with a fifth of the inputs hidden; the mask is a hash of row, step and feature."""
+    rows = model.phase_split(_vectors(c), *_phases(c)).filter("phase <> 'score'")
+    groups = [list(range(k, k + 8)) for k in range(0, 64, 8)]
+    return model.ensemble_fit(rows, groups, rounds=5, corruption=0.2).select(
+        "layer", "grp", F.size("members").alias("width"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x).alias("w_norm"))
+
+
 @query("ensemble_score")
 def ensemble_score(c):
     return model.process(_vectors(c), _model(c), *_phases(c)).select(

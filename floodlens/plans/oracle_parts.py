@@ -96,7 +96,11 @@ part("runs", """SELECT src_ip, min(rn) AS last_rn, CAST(0 AS BIGINT) AS chunk_id
   FROM runs r WHERE r.last_rn IS NOT NULL""")
 part("chunks", """SELECT k.*, r.chunk_id FROM ranked k JOIN runs r
   ON k.src_ip = r.src_ip AND k.rn > r.last_rn - 6 AND k.rn <= r.last_rn""")
-part("feat", f"""SELECT src_ip, chunk_id, max(window_id) AS last_window_id,
+
+
+def feature_sql(keys: str, source: str) -> str:
+    """The feature row of each group of windows."""
+    return f"""SELECT {keys}, max(window_id) AS last_window_id,
   count(*) AS window_count, max(window_id) - min(window_id) + 1 AS window_span,
   avg(pkts_total) AS pkts_total, avg(bytes_total) AS bytes_total,
   sum(pkts_total) / ((max(tstamp_end) - min(tstamp_start)) / 1e9) AS pkt_rate,
@@ -124,7 +128,10 @@ part("feat", f"""SELECT src_ip, chunk_id, max(window_id) AS last_window_id,
        ELSE stddev_pop(icmp_pkt_count / pkts_total) END AS dominant_proto_ratio_std,
   sum(tstamp_end - tstamp_start) / (count(*) * {DAY}.0) AS intrawindow_activity_ratio,
   count(*) / (max(window_id) - min(window_id) + 1) AS interwindow_activity_ratio
-FROM chunks GROUP BY src_ip, chunk_id""")
+FROM {source} GROUP BY {keys}"""
+
+
+part("feat", feature_sql("src_ip, chunk_id", "chunks"))
 part("preds", """SELECT f.src_ip, f.chunk_id, i.next_frame AS trigger_frame,
   i.next_ts AS trigger_ts, i.next_ts - (SELECT min(ts_ns) FROM packets) AS elapsed_ns,
   f.pkt_size_std_std AS loss, CASE WHEN f.pkt_size_std_std < 230 THEN 0 ELSE 1 END AS is_attack

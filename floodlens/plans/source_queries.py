@@ -7,11 +7,13 @@ import struct
 import pandas as pd
 from pyspark.sql import functions as F
 
-from floodlens.operators import flows, packets
+from floodlens.operators import features, flows, packets
+from floodlens.operators.prepare import label_packets
+from floodlens.plans import window_queries
 from floodlens.plans.oracle_parts import part, rounded, sql
 from floodlens.plans.registry import query
 from floodlens.schemas import FRAME_TSV_COLUMNS
-from floodlens.session import scratch_path
+from floodlens.session import cut, scratch_path
 from floodlens.sources import captures, files
 
 PACKET_COLS = ("src_ip, dst_ip, proto_l4, src_port, dst_port, len_headers, len_payload")
@@ -71,8 +73,9 @@ def _write_captures(pks, path: str):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if out is None:
-                    name = f"{captures.local_name(path)}/{r.ts_ns:020d}.pcap"
-                    out = open(name, "wb")
+                    system, folder = captures.filesystem(path)
+                    name = f"{folder}/{r.ts_ns:020d}.pcap"
+                    out = system.open_output_stream(name)
                     out.write(struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1))
                 head = r.len_headers - 20
                 ports = struct.pack(">HH", r.src_port, r.dst_port)
@@ -91,8 +94,8 @@ def _write_captures(pks, path: str):
             out.close()
             yield pd.DataFrame({"file": [name], "frames": [n]})
 
-    import pathlib
-    pathlib.Path(captures.local_name(path)).mkdir(parents=True, exist_ok=True)
+    system, folder = captures.filesystem(path)
+    system.create_dir(folder, recursive=True)
     ranged = pks.repartitionByRange(8, "ts_ns").sortWithinPartitions("ts_ns", "frame_no")
     ranged.mapInPandas(write, "file string, frames long").write.format("noop").mode("overwrite").save()
 
@@ -105,6 +108,16 @@ def ingest_captures(c):
     return packets.packet_features(captures.read_captures(c.spark, path)).drop("frame_no")
 
 
+@query("captures_to_features", window_queries.class_sql())
+def captures_to_features(c):
+    """Capture files to labelled feature rows: decode, lengths, labels by the attackers' addresses, windows, chunks, rows."""
+    path = scratch_path(c.spark, "captures")
+    _write_captures(c.packets, path)
+    # stored once: each class reads its packets several times
+    decoded = cut(label_packets(packets.packet_features(captures.read_captures(c.spark, path)), c.attackers, "target"))
+    return features.labelled_dataset([(decoded.filter(f"target = {k}").drop("target"), k) for k in (0, 1)], c.opts)
+
+
 @query("scan_timestamps", sql("SELECT frame_no, ts_ns AS ts_ns_ext FROM packets"))
 def scan_timestamps(c):
     """Exact times, one per line, in the order of the frames."""

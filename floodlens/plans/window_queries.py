@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodlens.operators import features, history, mitigation, windows
-from floodlens.plans.oracle_parts import rounded, sql
+from floodlens.plans.oracle_parts import feature_sql, part, rounded, sql
 from floodlens.plans.registry import DAY_NS, query
 from floodlens.schemas import INTERWINDOW, SUMMARY, WINDOW_STATS
 
@@ -218,13 +218,43 @@ def chain_decisions(c):
     return mitigation.decide(scored, 300.0).drop(*names)
 
 
+part("grown", """SELECT k.src_ip, k.window_id AS ready_id, r.* EXCLUDE (src_ip, ok) FROM ranked k JOIN ranked r
+  ON r.src_ip = k.src_ip AND r.rn <= k.rn WHERE k.ok""")
+part("grown_feat", feature_sql("src_ip, ready_id", "grown"))
+part("fresh", f"""SELECT * FROM ranked WHERE rn_desc <= 6 OR
+  (SELECT max(ts_ns) FROM packets) - tstamp_start < 12 * {DAY_NS}""")
+part("fresh_feat", feature_sql("src_ip", "fresh"))
+part("newest", "SELECT * FROM ranked WHERE rn_desc <= 8")
+part("newest_feat", feature_sql("src_ip", "newest"))
+
+
+@query("history_expanding_features",
+       sql(f"SELECT src_ip, ready_id AS window_id, {_cols(ALL, FEATURE_INTS)} FROM grown_feat"))
+def history_expanding_features(c):
+    return features.expanding_features(c.windows, c.opts)
+
+
+@query("history_suffix_features",
+       sql(f"SELECT src_ip, last_window_id, {_cols(ALL, FEATURE_INTS)} FROM fresh_feat"))
+def history_suffix_features(c):
+    """At the time of the last packet, over the windows that have not expired then."""
+    now = c.packets.agg(F.max("ts_ns")).first()[0]
+    return features.history_features(history.valid_suffix(c.windows, now, c.opts), c.opts)
+
+
+@query("history_last_n_features",
+       sql(f"SELECT src_ip, last_window_id, {_cols(ALL, FEATURE_INTS)} FROM newest_feat"))
+def history_last_n_features(c):
+    return features.history_features(history.last_windows(c.windows, 8, c.opts), c.opts)
+
+
 @query("flow_features",
        sql(f"SELECT src_ip, chunk_id, last_window_id, {_cols(ALL, FEATURE_INTS)} FROM feat"))
 def flow_features(c):
     return features.flow_features(c.packets, c.opts)
 
 
-def _class_sql():
+def class_sql():
     """The whole chain once per class, each with its own origin and window ids."""
     base = sql(f"SELECT src_ip, chunk_id, {_cols(ALL, FEATURE_INTS)} FROM feat")
     both = []
@@ -238,7 +268,7 @@ def _class_sql():
     return " UNION ALL ".join(both)
 
 
-@query("labelled_dataset", _class_sql())
+@query("labelled_dataset", class_sql())
 def labelled_dataset(c):
     return features.labelled_dataset(
         [(c.packets.filter("NOT is_attacker"), 0), (c.packets.filter("is_attacker"), 1)], c.opts)

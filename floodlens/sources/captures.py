@@ -1,6 +1,10 @@
-"""Packet capture files as a Spark data source: one task per file, streamed in batches.
+"""Packet capture files as tables of header fields, whatever the size of the files.
+
+``capture_index`` walks over the record headers of each file once and notes where stretches of some megabytes begin, and
+what a reader must know there. ``read_captures`` stores that index and decodes its stretches in as many tasks as there are;
+the headers of all frames of a stretch are taken from its bytes at once. Compressed files have no places to begin at, so each
+is one stretch. The data source ``captures`` reads file by file.
 
-Captures are cut into many files (per minute or so), so files are the unit of parallelism.
 Only header fields are decoded here; lengths and flags are derived by Spark expressions in
 ``packets``. Supported: .pcap, .pcap.gz, .pcapng.
 """
@@ -9,17 +13,25 @@ from __future__ import annotations
 
 import gzip
 import ipaddress
+import json
 import struct
 from pathlib import PurePosixPath
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from floodlens.session import cut
+
 SUFFIXES = (".pcap", ".pcap.gz", ".pcapng")
 FILE_FRAMES = 1 << 32  # frame numbers reserved per file
 BATCH = 8_192
+#: Bytes of a stretch of a capture file.
+STRETCH = 32 << 20
+INDEX = "file string, file_no long, first long, begin long, finish long, state string"
 
 HEADERS = (
     "file string, frame_no long, ts_ns long, ip_version int, src_ip string, dst_ip string, "
@@ -49,7 +61,7 @@ def local_name(path: str) -> str:
     return path[len("file:"):].replace("//", "/", 1) if path.startswith("file:") else path
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
     from pyarrow import fs
 
     if "://" in path and not path.startswith("file:"):
@@ -60,7 +72,7 @@ def _filesystem(path: str):
 def list_captures(path: str) -> list[str]:
     from pyarrow import fs
 
-    system, root = _filesystem(path)
+    system, root = filesystem(path)
     info = system.get_file_info(root)
     if info.type == fs.FileType.Directory:
         depth = len(PurePosixPath(root).parts)
@@ -139,7 +151,7 @@ def _pcapng_frames(handle, head: bytes):
 
 def read_frames(path: str):
     """Yield ``(ts_ns, link type, bytes)`` of one capture file."""
-    system, name = _filesystem(path)
+    system, name = filesystem(path)
     with system.open_input_stream(name, compression=None) as raw:
         handle = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
         head = _read(handle, 4)
@@ -216,6 +228,213 @@ def decode_headers(link: int, data: bytes) -> dict:
     return out
 
 
+def decode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, link: np.ndarray) -> dict[str, pa.Array]:
+    """Header columns of frames that lie in one buffer, as ``decode_headers`` gives them one by one.
+
+    IPv4 over Ethernet, tagged or not, or bare, is read from the buffer for all frames at once; the others take the plain way.
+    """
+    n = len(start)
+    data = np.concatenate([data, np.zeros(128, np.uint8)])  # what is read beyond the end is masked below
+
+    def byte(at):
+        return data[np.minimum(at, len(data) - 1)].astype(np.int64)
+
+    def word(at):
+        return byte(at) << 8 | byte(at + 1)
+    raw = np.isin(link, RAW_LINKS)
+    at = np.where(raw, 0, 14)
+    kind = np.where(raw, np.where(byte(start) >> 4 == 4, IPV4, 0), word(start + 12))
+    tagged = ~raw & np.isin(kind, VLAN_TAGS) & (size >= 18)
+    at, kind = np.where(tagged, 18, at), np.where(tagged, word(start + 16), kind)
+    plain = (raw | (link == ETHERNET)) & (kind == IPV4) & (size >= np.maximum(at, 1))
+    ip, length = start + at, size - at
+    ok = plain & (length >= 20)
+    v = {"ip_version": np.full(n, 4), "l3_len": length, "ihl": byte(ip) & 15, "ip_len": word(ip + 2),
+         "ip_flags": byte(ip + 6) >> 5, "frag_offset": word(ip + 6) & 0x1FFF}
+    known = {"ip_version": plain, "l3_len": plain, **{c: ok for c in ("ihl", "ip_len", "ip_flags", "frag_offset")}}
+    proto = byte(ip + 9)
+    head = v["ihl"] * 4
+    rest = np.maximum(0, length - head)
+    least = np.zeros(256, np.int64)
+    least[list(L4_MINIMUM)] = list(L4_MINIMUM.values())
+    least = least[proto]
+    carried = ok & (v["frag_offset"] == 0) & (least > 0)
+    whole = carried & (rest >= least)
+    l4 = ip + head
+    ports = whole & np.isin(proto, (TCP, UDP, SCTP))
+    v |= {"l4": proto, "l4_len": rest, "src_port": word(l4), "dst_port": word(l4 + 2), "data_offset": byte(l4 + 12) >> 4,
+          "udp_len": word(l4 + 4), "icmp6_type": byte(l4), "v6_plen": proto}
+    known |= {"l4": whole, "l4_len": whole, "src_port": ports, "dst_port": ports, "data_offset": whole & (proto == TCP),
+              "udp_len": whole & (proto == UDP), "icmp6_type": whole & (proto == ICMP6), "v6_plen": np.zeros(n, bool)}
+    v, known = ({c: x.copy() for c, x in d.items()} for d in (v, known))  # the plain way below writes into single columns
+    flags = {"corrupt": np.where(plain, (length < 20) | (carried & ~whole), False), "v6_fragment": np.zeros(n, bool)}
+    set_flags = {"corrupt": plain.copy(), "v6_fragment": np.zeros(n, bool)}
+    names = {}
+    for column, place in (("src_ip", 12), ("dst_ip", 16)):
+        found, which = np.unique(word(ip + place) << 16 | word(ip + place + 2), return_inverse=True)
+        texts = np.array([str(ipaddress.IPv4Address(int(x))) for x in found], object)
+        names[column] = np.where(ok, texts[which] if n else "", None)
+    for i in np.nonzero(~plain)[0].tolist():
+        for name, value in decode_headers(int(link[i]), data[start[i]:start[i] + size[i]].tobytes()).items():
+            if name in names:
+                names[name][i] = value
+            elif name in flags:
+                flags[name][i], set_flags[name][i] = value, True
+            else:
+                v[name][i], known[name][i] = value, True
+    return ({c: pa.array(x, pa.string()) for c, x in names.items()}
+            | {c: pa.array(x.astype(np.int32), mask=~known[c]) for c, x in v.items()}
+            | {c: pa.array(x.astype(bool), mask=~set_flags[c]) for c, x in flags.items()})
+
+
+def _pcap_state(data: bytes) -> dict:
+    for order in "<>":
+        unit = PCAP_MAGIC.get(struct.unpack(order + "I", data[:4])[0])
+        if unit:
+            return {"order": order, "unit": unit, "link": struct.unpack(order + "I", data[20:24])[0] & 0xFFFF}
+    raise CaptureError("unknown capture format")
+
+
+def _records(data, at: int, state: dict, cut_off: bool = False):
+    """(offset behind the record, time, link, start, size) from a buffer; start is -1 for what is no frame.
+
+    Stops before a record that the buffer does not hold as a whole; with ``cut_off`` a frame that the file breaks off in
+    is given as far as it goes. ``state`` follows the blocks.
+    """
+    end = len(data)
+    if "unit" in state:
+        head = struct.Struct(state["order"] + "4I")
+        while at + 16 <= end:
+            seconds, fraction, size, _ = head.unpack_from(data, at)
+            if at + 16 + size > end:
+                if not cut_off:
+                    return
+                size = end - at - 16
+            yield at + 16 + size, seconds * 10 ** 9 + fraction * state["unit"], state["link"], at + 16, size
+            at += 16 + size
+        return
+    while at + 12 <= end:
+        if struct.unpack_from("<I", data, at)[0] == SECTION:
+            state["order"] = "<" if data[at + 8:at + 12] == struct.pack("<I", BYTE_ORDER) else ">"
+            state["links"] = []
+        order = state["order"]
+        block, size = struct.unpack_from(order + "2I", data, at)
+        if size < 12 or at + size > end:
+            return
+        body = at + 8
+        if block == INTERFACE:
+            per_second = 10 ** 6
+            for code, value in _ng_options(bytes(data[body + 8:at + size - 4]), order):
+                if code == 9 and value:
+                    per_second = 2 ** (value[0] & 127) if value[0] & 128 else 10 ** value[0]
+            state["links"].append((struct.unpack_from(order + "H", data, body)[0], per_second))
+            yield at + size, 0, 0, -1, 0
+        elif block == ENHANCED:
+            number, high, low, kept, _ = struct.unpack_from(order + "5I", data, body)
+            link, per_second = state["links"][number]
+            yield at + size, ((high << 32) | low) * 10 ** 9 // per_second, link, body + 20, min(kept, size - 32)
+        elif block == SIMPLE:
+            full = struct.unpack_from(order + "I", data, body)[0]
+            yield at + size, 0, state["links"][0][0], body + 4, min(full, size - 16)
+        else:
+            yield at + size, 0, 0, -1, 0
+        at += size
+
+
+def _index_file(path: str, stretch: int):
+    """(first frame, begin, finish, state) of each stretch of a file."""
+    system, name = filesystem(path)
+    if name.endswith(".gz"):
+        yield 0, -1, -1, ""
+        return
+    with system.open_input_file(name) as source:
+        total = source.size()
+        head = source.read(24)
+        if len(head) < 4:
+            return
+        if struct.unpack("<I", head[:4])[0] == SECTION:
+            state, at = {"order": "<", "links": []}, 0
+        elif len(head) < 24:
+            _pcap_state(head.ljust(24, b"\0"))
+            return
+        else:
+            state, at = _pcap_state(head), 24
+        begin, first, frames, known = at, 0, 0, json.dumps(state)
+        window = stretch
+        while at < total:
+            source.seek(at)
+            data, moved = source.read(min(window, total - at)), 0
+            for moved, _, _, start, _ in _records(data, 0, state):
+                frames += start >= 0
+                if at + moved - begin >= stretch:
+                    yield first, begin, at + moved, known
+                    begin, first, known = at + moved, frames, json.dumps(state)
+            if not moved and len(data) == total - at:
+                at = total  # the file breaks off within a record
+                break
+            window = stretch if moved else 2 * window  # a record longer than a stretch
+            at += moved
+        if at > begin:
+            yield first, begin, at, known
+
+
+def capture_index(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
+    """Where the stretches of all capture files of a folder begin and end; one task walks over each file's headers."""
+    names = list_captures(path)
+
+    def walk(batches):
+        for pdf in batches:
+            for file, number in zip(pdf["file"], pdf["file_no"]):
+                rows = list(_index_file(file, stretch))
+                if rows:
+                    yield pd.DataFrame([(file, number, *r) for r in rows], columns=["file", "file_no", "first", "begin", "finish", "state"])
+
+    files = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, file_no long")
+    return files.repartition(max(1, len(names)), "file_no").mapInPandas(walk, INDEX)
+
+
+def _decoded(file: str, number: int, first: int, data: bytes, records: list, schema: pa.Schema):
+    """Batches of the header table of frames in one buffer."""
+    flat = np.frombuffer(data, np.uint8)
+    for k in range(0, len(records), BATCH):
+        part = records[k:k + BATCH]
+        start, size = (np.fromiter((r[c] for r in part), np.int64, len(part)) for c in (3, 4))
+        columns = decode_frames(flat, start, size, np.fromiter((r[2] for r in part), np.int64, len(part)))
+        columns |= {"file": pa.repeat(pa.scalar(file), len(part)),
+                    "frame_no": pa.array(number * FILE_FRAMES + first + k + np.arange(len(part))),
+                    "ts_ns": pa.array([r[1] for r in part], pa.int64())}
+        if "raw" in schema.names:
+            columns["raw"] = pa.array([data[r[3]:r[3] + r[4]] for r in part], pa.binary())
+        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def _read_stretch(file: str, number: int, first: int, begin: int, finish: int, state: str, schema: pa.Schema):
+    if begin >= 0:
+        system, name = filesystem(file)
+        with system.open_input_file(name) as source:
+            source.seek(begin)
+            data = source.read(finish - begin)
+        held = json.loads(state)
+        yield from _decoded(file, number, first, data, [r for r in _records(data, 0, held, cut_off=True) if r[3] >= 0], schema)
+        return
+    waiting, held = [], 0
+    for ts, link, frame in read_frames(file):
+        waiting.append((ts, link, frame))
+        if len(waiting) == BATCH:
+            yield from _decoded(file, number, first + held, *_joined(waiting), schema)
+            held, waiting = held + BATCH, []
+    if waiting:
+        yield from _decoded(file, number, first + held, *_joined(waiting), schema)
+
+
+def _joined(frames: list) -> tuple[bytes, list]:
+    records, at = [], 0
+    for ts, link, frame in frames:
+        records.append((0, ts, link, at, len(frame)))
+        at += len(frame)
+    return b"".join(f for _, _, f in frames), records
+
+
 class _File(InputPartition):
     def __init__(self, number: int, path: str):
         self.number, self.path = number, path
@@ -231,15 +450,9 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, rows = to_arrow_schema(self.schema), []
-        for i, (ts, link, data) in enumerate(read_frames(partition.path)):
-            rows.append({"file": partition.path, "frame_no": partition.number * FILE_FRAMES + i,
-                         "ts_ns": ts, "raw": data, **decode_headers(link, data)})
-            if len(rows) == BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        schema = to_arrow_schema(self.schema)
+        for row in _index_file(partition.path, STRETCH):
+            yield from _read_stretch(partition.path, partition.number, *row, schema)
 
 
 class CaptureSource(DataSource):
@@ -256,11 +469,23 @@ class CaptureSource(DataSource):
         return _Reader(schema, self.options["path"])
 
 
-def read_captures(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, raw: bool = False, stretch: int = STRETCH) -> DataFrame:
     """Header table of all capture files of a folder; frame numbers follow the file names.
 
-    With ``raw`` every row also carries its frame, e.g. for writing packet subsets.
+    With ``raw`` every row also carries its frame, e.g. for writing packet subsets. Files are read by stretches of about
+    ``stretch`` bytes, dealt evenly over the tasks.
     """
-    list_captures(path)  # fail early on a wrong extension
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("captures").option("raw", raw).load(path)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    index = cut(capture_index(spark, path, stretch))
+    ddl = HEADERS + (RAW if raw else "")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _read_stretch(*(row[c] for c in ("file", "file_no", "first", "begin", "finish", "state")), schema)
+
+    count = max(1, index.count())
+    tasks = min(count, max(spark.sparkContext.defaultParallelism * 4, -(-count // 8)))
+    return index.repartition(tasks, "file_no", "first").mapInArrow(read, ddl)

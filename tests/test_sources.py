@@ -157,7 +157,7 @@ def test_autoencoder_gradient():
             total += 0.5 * ((again - y[:, m]) ** 2).sum()
         return total
 
-    grad = layer.gradient(x, 0.0, rng)
+    grad = layer.gradient(x)
     for k in range(len(grad)):
         step = np.zeros(len(grad))
         step[k] = 1e-5
@@ -167,4 +167,42 @@ def test_autoencoder_gradient():
         down = loss()
         layer.move(step)
         assert abs((up - down) / 2e-5 - grad[k]) < 1e-5
-    assert layer.gradient(x, 0.5, rng).shape == grad.shape and layer.errors(x).shape == (30, 2)
+    hidden = layer.gradient(x, lambda m: np.zeros(len(m)))
+    assert hidden.shape == grad.shape and layer.errors(x).shape == (30, 2)
+
+
+def test_stretches_of_captures(spark, tmp_path):
+    """Stretches of any size give the rows of whole files; a file may break off within a frame."""
+    many = [FRAMES[i % len(FRAMES)] for i in range(70)]
+    (tmp_path / "a.pcap").write_bytes(pcap(many)[:-5])
+    (tmp_path / "b.pcapng").write_bytes(pcapng(many))
+    (tmp_path / "c.pcap").write_bytes(b"")
+    (tmp_path / "d.pcap").write_bytes(pcap([]))
+    (tmp_path / "e.pcap.gz").write_bytes(gzip.compress(pcap(many)))
+    whole = {r.frame_no: r for r in captures.read_captures(spark, str(tmp_path), raw=True).collect()}
+    assert len(whole) == 210 and bytes(whole[69].raw) == many[69][:-5]
+    for stretch in (1, 100, 1000):
+        parts = captures.capture_index(spark, str(tmp_path), stretch).count()
+        assert parts > 2 if stretch == 1000 else parts > 20
+        got = {r.frame_no: r for r in captures.read_captures(spark, str(tmp_path), raw=True, stretch=stretch).collect()}
+        assert got == whole
+
+
+def test_decoding_many_frames_at_once():
+    """Against the plain decoder, on frames cut and changed at random."""
+    rng = np.random.default_rng(8)
+    frames, links = [], []
+    for i in range(600):
+        frame = bytearray(FRAMES[i % len(FRAMES)])
+        for _ in range(rng.integers(0, 3)):
+            frame[rng.integers(len(frame))] = rng.integers(256)
+        frame = bytes(frame[:rng.integers(0, len(frame) + 1)] if i % 3 == 0 else frame)
+        link = [1, 1, 1, 0, 113, 101][i % 6]
+        frames.append(frame[14:] if link == 101 else frame)
+        links.append(link)
+    start = np.cumsum([0] + [len(f) for f in frames[:-1]])
+    got = captures.decode_frames(np.frombuffer(b"".join(frames), np.uint8), start, np.array([len(f) for f in frames]), np.array(links))
+    got = {c: v.to_pylist() for c, v in got.items()}
+    for i, (frame, link) in enumerate(zip(frames, links)):
+        want = captures.decode_headers(link, frame)
+        assert {c: v[i] for c, v in got.items() if v[i] is not None} == want, (i, link, frame)

@@ -157,3 +157,34 @@ def test_metrics_without_attackers_or_scores_are_null(spark):
     r = mitigation.packet_metrics(df).first()
     assert (r.attack_denied_ratio, r.legit_allowed_ratio) == (1.0, 1.0)
     assert mitigation.detected_ratio(df).first().attackers_detected == 1.0
+
+
+@pytest.mark.parametrize("block", [1, 4, 4096])
+def test_feature_rows_of_kept_histories(spark, block):
+    """At every ready window the row equals the summary of all windows so far, whatever the blocks."""
+    rng, rows = random.Random(block), []
+    for src in ("a", "b"):
+        t = 0
+        for i in range(40):
+            t += rng.choice([10, 10, 40, 300])
+            n = rng.randrange(1, 50)
+            tcp = rng.randrange(n + 1)
+            rows.append((src, 2 * i + rng.randrange(2), n, n * 100, t, t + rng.randrange(1, 9), rng.random(), rng.random(),
+                         rng.randrange(40, 90), rng.randrange(90, 1500), 1e6 + rng.random(), 5.0, tcp, n - tcp, 0, rng.randrange(9),
+                         rng.random(), rng.random() * 9, rng.randrange(n + 1), None if rng.random() < 0.3 else rng.random()))
+    windows_ = spark.createDataFrame(rows, "src_ip string, window_id long, pkts_total long, bytes_total long, tstamp_start long, "
+                                           "tstamp_end long, pkt_arrivals_avg double, pkt_arrivals_std double, pkt_size_min long, "
+                                           "pkt_size_max long, pkt_size_avg double, pkt_size_std double, tcp_pkt_count long, "
+                                           "udp_pkt_count long, icmp_pkt_count long, port_src_unique long, port_src_entropy double, "
+                                           "conn_pkts_avg double, pkts_frag_count long, hdrs_payload_ratio_avg double").repartition(3)
+    opts = options(history_min=3, history_timeout=200 * NS, history_block=block)
+    got = {(r.src_ip, r.window_id): r for r in features.expanding_features(windows_, opts).collect()}
+    ready = {(r.src_ip, r.window_id) for r in history.history_ready(windows_, opts).filter("ready").collect()}
+    assert set(got) == ready and ready
+    for src, last in list(ready)[::7]:
+        want = features.history_features(windows_.filter(f"src_ip = '{src}' AND window_id <= {last}"), opts).first().asDict()
+        mine = got[src, last].asDict()
+        for name, value in want.items():
+            if name != "last_window_id":
+                assert mine[name] == pytest.approx(value, rel=1e-7, abs=1e-7), name
+    assert features.expanding_features(windows_.limit(0), opts).count() == 0
