@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from floodlens.functions.blocks import first_rows
 from floodlens.operators.prepare import ip_only
 
 
@@ -70,4 +71,5 @@ def train_test_ips(eligible: DataFrame, train: int, test: int, technique: str =
 
 
 def limit_rows(df: DataFrame, order, n: int) -> DataFrame:
-    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
+    """The first ``n`` rows in order; see ``first_rows``."""
+    return first_rows(df, [order] if isinstance(order, str) else list(order), n)

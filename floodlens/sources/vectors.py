@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from floodlens.functions.blocks import first_rows
+
 
 class VectorError(ValueError):
     """Readers of different width, or fewer rows than asked for."""
@@ -54,4 +56,4 @@ def read_many(readers: list[DataFrame], limit: int | None = None) -> DataFrame:
         return both
     if rows < limit:
         raise VectorError(f"not enough rows ({rows} < {limit})")
-    return both.orderBy("file_no", "row_no").limit(limit)
+    return first_rows(both, ["file_no", "row_no"], limit)

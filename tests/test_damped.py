@@ -113,6 +113,26 @@ def test_block_helpers(spark, block):
         assert (r.s, r.p, r.last3, r.m) == (sum(h), before, h[-3:], max(h))
 
 
+def test_first_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(40) if rng.random() < 0.9 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, n int").repartition(6)
+    in_order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for n in (0, 1, 17, 299, 300, 400):
+        got = sorted(map(tuple, blocks.first_rows(df, ["k", "n"], n).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        assert got == in_order[:n]
+    assert blocks.first_rows(df.limit(0), ["k"], 5).count() == 0
+
+
+@pytest.mark.parametrize("factor", [1, 4])
+def test_pair_rows_follow_the_frames(spark, factor):
+    """A hub with many peers: rows grow in line with the frames, though the hub has them all as peers."""
+    n = 100 * factor
+    rows = [(f, "hub" if f % 2 else f"p{f % n}", f"p{f % n}" if f % 2 else "hub", float(f), 1.0) for f in range(4 * n)]
+    frames = spark.createDataFrame(rows, "f long, own string, peer string, t double, v double")
+    assert damped_pairs.pair_rows(frames).count() <= 2 * len(rows)
+
+
 def test_histogram_learning(spark):
     rng = random.Random(6)
     rows = [(i, "s", float(i), rng.gauss(0, 1)) for i in range(200)]
