@@ -143,13 +143,37 @@ def flow_features(packets: DataFrame, opts: WindowOptions, calendar: Calendar |
     return rows.select("src_ip", "chunk_id", "last_window_id", *FEATURES[1:])
 
 
+#: What the feature row is made of.
+_PACKET = ("frame_no", "ts_ns", "src_ip", "dst_ip", "proto_l4", "src_port", "dst_port", "len_headers", "len_payload", "fragmented")
+
+
 def labelled_dataset(classes: list[tuple[DataFrame, int]], opts: WindowOptions,
                      **window_args) -> DataFrame:
-    """Feature rows of several inputs, each processed from a fresh state, with ``target``."""
-    parts = [flow_features(p, opts, build_calendar(p, opts), **window_args)
-             .drop("last_window_id").withColumn("target", F.lit(target))
-             for p, target in classes]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Feature rows of several inputs, each with its own origin and state, with ``target``.
+
+    All inputs go through one pass: an input's times are counted from its first packet and moved to a stretch of
+    its own, a whole number of windows long, and its sources are told apart by its number. No feature depends on where
+    its windows lie. The last, open window of each input is dropped.
+    """
+    tagged = reduce(lambda a, b: a.unionByName(b), [
+        p.select(*_PACKET).withColumn("_class", F.lit(k)) for k, (p, _) in enumerate(classes)])
+    bounds = {r["_class"]: (r["lo"], r["hi"]) for r in tagged.groupBy("_class").agg(
+        F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).collect()}  # a row per input
+    cells = max((hi - lo for lo, hi in bounds.values()), default=0) // opts.window_ns + 2
+    number = F.col("_class").cast("long")
+    start = F.coalesce(*[F.when(F.col("_class") == k, F.lit(lo).cast("long")) for k, (lo, _) in bounds.items()], F.lit(0).cast("long"))
+    moved = tagged.withColumns({
+        "ts_ns": F.col("ts_ns") - start + number * F.lit(cells * opts.window_ns).cast("long"),
+        "src_ip": F.concat(F.col("_class").cast("string"), F.lit("|"), F.col("src_ip"))}).drop("_class")
+    calendar = build_calendar(moved, opts, 0)
+    whole = window_stats(moved, opts.with_changes(flush_last=True), calendar, **window_args)
+    if not opts.flush_last:
+        open_ = (calendar.windows.groupBy(F.expr(f"cell div {cells}")).agg(F.max("cell").alias("cell")).select("cell"))
+        whole = whole.join(open_, "cell", "left_anti")  # one cell per input
+    rows = summarise(history_chunks(cut(whole), opts), opts)
+    parted = F.split("src_ip", "[|]", 2)
+    target = F.element_at(F.array(*[F.lit(t) for _, t in classes]), (parted[0].cast("int") + 1))
+    return rows.select(parted[1].alias("src_ip"), "chunk_id", *FEATURES[1:], target.alias("target"))
 
 
 def model_inputs(features: DataFrame, del_frag: bool = True, additional=()) -> DataFrame:

@@ -91,9 +91,10 @@ def _dense_ids(cells: DataFrame) -> DataFrame:
     return cut(ids.join(after, "window_id", "left"))
 
 
-def build_calendar(packets: DataFrame, opts: WindowOptions) -> Calendar:
-    """Scan the time column twice (minimum, then cells) and keep one row per window."""
-    origin = packets.agg(F.min("ts_ns")).first()[0]
+def build_calendar(packets: DataFrame, opts: WindowOptions, origin: int | None = None) -> Calendar:
+    """Scan the time column twice (minimum, unless it is given, then cells) and keep one row per window."""
+    if origin is None:
+        origin = packets.agg(F.min("ts_ns")).first()[0]
     stamp = F.struct("ts_ns", "frame_no")
     cells = cut(_grid(packets, origin, opts).groupBy("cell")
                 .agg(F.min(F.when(~F.col("_edge"), stamp)).alias("inner_first"),

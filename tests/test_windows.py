@@ -190,3 +190,26 @@ def test_feature_rows_of_kept_histories(spark, block):
             elif name != "last_window_id":
                 assert mine[name] == value, name
     assert features.expanding_features(windows_.limit(0), opts).count() == 0
+
+
+@pytest.mark.parametrize("flush", [False, True])
+def test_classes_in_one_pass(spark, flush):
+    """One pass over all classes gives what each class gives alone, with packets on window edges."""
+    rng, frames = random.Random(3), []
+    for k in range(2):
+        t = 10_000 * k + 37
+        for i in range(900):
+            t += rng.choice([0, 3, 50, 100, 250])
+            frames.append((i, t, rng.choice("ab"), rng.choice("xy"), rng.choice([6, 17, 1]), rng.randrange(5), 80, 28,
+                           rng.randrange(900), False, k))
+    df = spark.createDataFrame(frames, seq.SCHEMA + ", k int")
+    opts = options(window=500, history_min=3, history_timeout=9_000 * NS, flush_last=flush)
+    parts = [df.filter(f"k = {k}").drop("k") for k in range(2)]
+    got = sorted(map(str, features.labelled_dataset([(parts[0], 5), (parts[1], 7)], opts).collect()))
+    want = sorted(str(r) for p, t in zip(parts, (5, 7)) for r in features.flow_features(p, opts).drop("last_window_id").withColumn(
+        "target", F.lit(t)).collect())
+    assert len(got) > 4 and {x.split(", pkts_total=")[0] for x in got} == {x.split(", pkts_total=")[0] for x in want}
+    import re
+    numbers = lambda x: [float(v) for v in re.findall(r"=(-?[0-9.e+-]+)", x)]
+    assert all(numbers(a) == pytest.approx(numbers(b), rel=1e-9, abs=1e-9) for a, b in zip(got, want))
+    assert features.labelled_dataset([(parts[0].limit(0), 0), (parts[1].limit(0), 1)], opts).count() == 0
