@@ -162,11 +162,11 @@ def _pairs_sql(name: str, frames: str, key: str, peer: str, value: str, rates: s
 
 def shown(name: str) -> str:
     """Values that differ by many orders of magnitude are compared by the logarithm of their size."""
-    return f"sign({name}) * ln(1 + abs({name}))"
+    return f"round(sign({name}) * ln(1 + abs({name})), 4)"
 
 
 def _log(*names: str):
-    return {n: F.signum(n) * F.log1p(F.abs(n)) for n in names}
+    return {n: F.round(F.signum(n) * F.log1p(F.abs(n)), 4) for n in names}
 
 
 def _pair_sql(name: str, residual: str) -> str:
@@ -220,7 +220,7 @@ def frame_vectors(c):
     """Without the correlations, which divide by variances that may be nothing but rounding."""
     wide = damped_pairs.frame_vectors(_streams(c).withColumn("frame_len", F.col("frame_kb")))
     names = [n for n in wide.columns if n != "frame_no" and "_pcc_" not in n]
-    return wide.select("frame_no", *[(F.signum(f"`{n}`") * F.log1p(F.abs(f"`{n}`"))).alias(n) for n in names])
+    return wide.select("frame_no", *[F.round(F.signum(f"`{n}`") * F.log1p(F.abs(f"`{n}`")), 4).alias(n) for n in names])
 
 
 _FINAL = """SELECT k AS src, rate, weight, mean, var, last_t FROM (

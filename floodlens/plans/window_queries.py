@@ -228,10 +228,20 @@ part("newest", "SELECT * FROM ranked WHERE rn_desc <= 8")
 part("newest_feat", feature_sql("src_ip", "newest"))
 
 
+def _settled(n: str) -> str:
+    return _cols([n], FEATURE_INTS) if n in FEATURE_INTS or n.startswith("pkt_arrivals_") else rounded(f"{n} + {NUDGE}", n)
+
+
+#: Means of few windows often lie in the middle of two rounded values; this moves them off, whatever the order of summation.
+NUDGE = 1e-9
+
+
 @query("history_expanding_features",
-       sql(f"SELECT src_ip, ready_id AS window_id, {_cols(ALL, FEATURE_INTS)} FROM grown_feat"))
+       sql(f"SELECT src_ip, ready_id AS window_id, {', '.join(map(_settled, ALL))} FROM grown_feat"))
 def history_expanding_features(c):
-    return features.expanding_features(c.windows, c.opts)
+    rows = features.expanding_features(c.windows, c.opts)
+    return rows.withColumns({n: F.col(n) + NUDGE for n in ALL
+                             if n not in FEATURE_INTS and not n.startswith("pkt_arrivals_")})
 
 
 @query("history_suffix_features",
