@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from floodlens.functions.blocks import BLOCK_ROWS, running_max
 from floodlens.functions.moments import merged_deviation, sample_std, squared_deviation
 from floodlens.options import WindowOptions
 from floodlens.schemas import WINDOW_STATS
@@ -134,6 +135,18 @@ def assign_windows(packets: DataFrame, opts: WindowOptions,
             .drop("_edge_cell", "_edge", "_back"))
 
 
+def arrival_windows(packets: DataFrame, opts: WindowOptions, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Calendar]:
+    """Windows by order of arrival (``frame_no``): a late packet belongs to the window that is open when it comes.
+
+    The open window is that of the newest time so far, which is a running maximum over blocks of frame numbers. Adds
+    ``open_ns``, that time, and ``cell``; gives the calendar of those windows too. Times stay as they are.
+    """
+    rows = running_max(packets, [], "frame_no", F.col("ts_ns"), "open_ns", block_rows).withColumnRenamed("ts_ns", "_own")
+    rows = rows.withColumn("ts_ns", F.col("open_ns"))
+    calendar = build_calendar(rows, opts)
+    return assign_windows(rows, opts, calendar).drop("ts_ns").withColumnRenamed("_own", "ts_ns"), calendar
+
+
 def closed_windows(packets: DataFrame, opts: WindowOptions,
                    calendar: Calendar | None = None) -> DataFrame:
     """Packets with ``cell``, without the window still open at the end of the input."""

@@ -60,6 +60,25 @@ def window_assign(c):
         "frame_no", "src_ip", "cell")
 
 
+part("delayed", f"""SELECT *, max(ts_ns) OVER (ORDER BY frame_no) AS open_ns FROM (
+  SELECT frame_no, src_ip, CASE WHEN frame_no % 7 = 3 THEN ts_ns - {8 * DAY_NS // 5} ELSE ts_ns END AS ts_ns FROM packets) l""")
+part("arrived", f"""SELECT *, (open_ns - first) // {DAY_NS} AS cell, floor((ts_ns - first) / {DAY_NS}.0) AS own
+  FROM delayed, (SELECT min(open_ns) AS first FROM delayed) o""")
+
+
+@query("late_into_open_window", sql("""SELECT a.src_ip, i.window_id, count(*) AS pkts_total,
+  CAST(sum(CASE WHEN a.own < a.cell THEN 1 ELSE 0 END) AS BIGINT) AS late FROM arrived a JOIN (
+    SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS window_id FROM (SELECT DISTINCT cell FROM arrived) c) i ON i.cell = a.cell
+  GROUP BY a.src_ip, i.window_id"""))
+def late_into_open_window(c):
+    """Every seventh packet comes 1.6 windows late."""
+    late = F.col("ts_ns") - F.when(F.col("frame_no") % 7 == 3, 8 * DAY_NS // 5).otherwise(0)
+    rows, calendar = windows.arrival_windows(c.packets.withColumn("ts_ns", late), c.opts)
+    own = F.floor((F.col("ts_ns") - calendar.origin) / F.lit(float(DAY_NS)))
+    return (rows.groupBy("src_ip", "cell").agg(F.count(F.lit(1)).alias("pkts_total"), F.count_if(own < F.col("cell")).alias("late"))
+            .join(calendar.windows.select("cell", "window_id"), "cell").select("src_ip", "window_id", "pkts_total", "late"))
+
+
 @query("window_ordinals",
        sql("SELECT cell, window_id, first_frame, first_ts, coalesce(next_frame, -1) AS next_frame, "
            "coalesce(next_ts, -1) AS next_ts FROM ids"))

@@ -213,3 +213,23 @@ def test_classes_in_one_pass(spark, flush):
     numbers = lambda x: [float(v) for v in re.findall(r"=(-?[0-9.e+-]+)", x)]
     assert all(numbers(a) == pytest.approx(numbers(b), rel=1e-9, abs=1e-9) for a, b in zip(got, want))
     assert features.labelled_dataset([(parts[0].limit(0), 0), (parts[1].limit(0), 1)], opts).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_late_packets_enter_the_open_window(spark, block):
+    rng = random.Random(block)
+    t, rows, start, number, want = 0, [], None, 0, {}
+    for f in range(300):
+        t += rng.choice([0, 10, 40, 100, 330])
+        own = t - rng.choice([0, 0, 0, 90, 250])
+        rows.append((f, own))
+        if start is None:
+            start = own
+        elif own - start > 100:
+            start += (own - start) // 100 * 100
+            number += 1
+        want[f] = number
+    df = spark.createDataFrame(rows, "frame_no long, ts_ns long").repartition(4)
+    got, calendar = windows.arrival_windows(df, options(window=100), block)
+    ids = got.join(calendar.windows.select("cell", "window_id"), "cell").collect()
+    assert {r.frame_no: r.window_id for r in ids} == want and {r.frame_no: r.ts_ns for r in ids} == dict(rows)
