@@ -145,7 +145,7 @@ def _chunks_by_rank(windows: DataFrame, opts: WindowOptions) -> DataFrame:
             .drop("_n", "rank"))
 
 
-def _newest(windows: DataFrame, n: int) -> DataFrame:
+def last_rows(windows: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` windows per source (limited inside each task before the shuffle)."""
     rank = F.row_number().over(Window.partitionBy(_SRC).orderBy(F.desc("window_id")))
     return windows.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
@@ -157,11 +157,11 @@ def valid_suffix(windows: DataFrame, now_ns: int, opts: WindowOptions) -> DataFr
         return windows
     # starts ascend within a source, so the unexpired windows are a suffix
     fresh = F.lit(now_ns) - F.col("tstamp_start") < opts.timeout_ns
-    return windows.filter(fresh).unionByName(_newest(windows, opts.history_min).filter(~fresh))
+    return windows.filter(fresh).unionByName(last_rows(windows, opts.history_min).filter(~fresh))
 
 
 def last_windows(windows: DataFrame, n: int, opts: WindowOptions) -> DataFrame:
-    return _newest(windows, max(n, opts.history_min))
+    return last_rows(windows, max(n, opts.history_min))
 
 
 def dump_windows(chunked: DataFrame) -> DataFrame:

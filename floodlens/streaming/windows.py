@@ -89,16 +89,21 @@ def window_stream(packets: DataFrame, opts: WindowOptions, origin_ns: int = 0, *
         F.sum("frag").alias("pkts_frag_count"), F.sum("ratio").alias("ratio"),
         F.sum("ratio_n").alias("ratio_n"), F.min("first").alias("tstamp_start"),
         F.max("last").alias("tstamp_end"),
-        F.hll_sketch_estimate(F.hll_union_agg("ports")).alias("port_src_unique"),
-        F.hll_sketch_estimate(F.hll_union_agg("conns")).alias("_conns"))
+        F.hll_union_agg("ports").alias("ports"), F.hll_union_agg("conns").alias("conns"))
     if qualified:
         total = total.filter(F.col("pkts_total") >= opts.packets_min)
-    n = F.col("pkts_total")
-    span = F.col("tstamp_end") - F.col("tstamp_start")
     bridged = F.aggregate("parts", F.struct(F.col("tstamp_start").alias("t"), F.lit(0.0).alias("q")),
                           lambda a, p: F.struct(p["last"].alias("t"), (
                               a["q"] + p["gap_sq"] + (p["first"] - a["t"]).cast("double")
                               * (p["first"] - a["t"])).alias("q")))["q"]
+    grid = F.expr(f"({{0}} * 1000 - {origin_ns}) div {w}".format("_start"))
+    return finished(total.withColumn("_start", F.unix_micros(F.col("win")["start"])).withColumn("gap_sq", bridged), grid)
+
+
+def finished(total: DataFrame, grid: Column, extra: tuple[str, ...] = (), span: Column | None = None) -> DataFrame:
+    """Window table from merged measures; ``span`` is the sum of all gaps."""
+    n = F.col("pkts_total")
+    span = F.col("tstamp_end") - F.col("tstamp_start") if span is None else span
     iat, size = span / n, F.col("bytes_total") / n
 
     def spread(squares, mean):
@@ -109,13 +114,11 @@ def window_stream(packets: DataFrame, opts: WindowOptions, origin_ns: int = 0, *
     counts = F.transform(F.array_distinct(ports), lambda p: F.size(F.filter(ports, lambda q: q == p)))
     bits = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c.cast("double")))
     entropy = F.when(k > 1, F.greatest(F.lit(0.0), 1 - bits / (k * F.log2(k.cast("double"))))).otherwise(0.0)
-    first_us = F.unix_micros(F.col("win")["start"])
-    grid = F.expr(f"({{0}} * 1000 - {origin_ns}) div {w}".format("_start"))
-    return (total.withColumn("_start", first_us).select(
+    return (total.select(
         "src_ip", grid.alias("window_id"), "pkts_total", "bytes_total", "tstamp_start", "tstamp_end",
-        iat.alias("pkt_arrivals_avg"), spread(bridged, iat).alias("pkt_arrivals_std"), "pkt_size_min",
+        iat.alias("pkt_arrivals_avg"), spread(F.col("gap_sq"), iat).alias("pkt_arrivals_std"), "pkt_size_min",
         "pkt_size_max", size.alias("pkt_size_avg"), spread(F.col("squares"), size).alias("pkt_size_std"),
-        "tcp_pkt_count", "udp_pkt_count", "icmp_pkt_count", "port_src_unique",
-        entropy.alias("port_src_entropy"), (n / F.col("_conns")).alias("conn_pkts_avg"),
-        "pkts_frag_count", F.try_divide("ratio", "ratio_n").alias("hdrs_payload_ratio_avg"))
-        .select("src_ip", *WINDOW_STATS))
+        "tcp_pkt_count", "udp_pkt_count", "icmp_pkt_count", F.hll_sketch_estimate("ports").alias("port_src_unique"),
+        entropy.alias("port_src_entropy"), (n / F.hll_sketch_estimate("conns")).alias("conn_pkts_avg"),
+        "pkts_frag_count", F.try_divide("ratio", "ratio_n").alias("hdrs_payload_ratio_avg"), *extra)
+        .select("src_ip", *WINDOW_STATS, *extra))
