@@ -100,21 +100,42 @@ def _write_captures(pks, path: str):
     ranged.mapInPandas(write, "file string, frames long").write.format("noop").mode("overwrite").save()
 
 
+def carried(address):
+    """The view's source address as a capture can hold it: its third part passes 255 from 65,536 sources on, and what is
+    above that is carried into the two parts before."""
+    parts = F.split(address, r"\.")
+    third = parts[2].cast("long")
+    text = lambda c: c.cast("string")
+    return F.concat(text(F.floor(third / 65536) + 10), F.lit("."), text(F.floor(third / 256) % 256), F.lit("."),
+                    text(third % 256), F.lit("."), parts[3])
+
+
+def uncarried(address):
+    """The view's source address again."""
+    parts = F.split(address, r"\.")
+    first, second, third = (parts[i].cast("long") for i in range(3))
+    return F.concat(F.lit("10.0."), ((first - 10) * 65536 + second * 256 + third).cast("string"), F.lit("."), parts[3])
+
+
+def _through_captures(c):
+    """The packets written as capture files and decoded again."""
+    path = scratch_path(c.spark, "captures")
+    _write_captures(c.packets.withColumn("src_ip", carried(F.col("src_ip"))), path)
+    decoded = packets.packet_features(captures.read_captures(c.spark, path))
+    return decoded.withColumn("src_ip", uncarried(F.col("src_ip")))
+
+
 @query("ingest_captures", sql(f"SELECT ts_ns, {PACKET_COLS}, fragmented FROM packets"))
 def ingest_captures(c):
     """Capture files written from the packet view, read back through the data source."""
-    path = scratch_path(c.spark, "captures")
-    _write_captures(c.packets, path)
-    return packets.packet_features(captures.read_captures(c.spark, path)).drop("frame_no")
+    return _through_captures(c).drop("frame_no")
 
 
 @query("captures_to_features", window_queries.class_sql())
 def captures_to_features(c):
     """Capture files to labelled feature rows: decode, lengths, labels by the attackers' addresses, windows, chunks, rows."""
-    path = scratch_path(c.spark, "captures")
-    _write_captures(c.packets, path)
     # stored once: each class reads its packets several times
-    decoded = cut(label_packets(packets.packet_features(captures.read_captures(c.spark, path)), c.attackers, "target"))
+    decoded = cut(label_packets(_through_captures(c), c.attackers, "target"))
     return features.labelled_dataset([(decoded.filter(f"target = {k}").drop("target"), k) for k in (0, 1)], c.opts)
 
 

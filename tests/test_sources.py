@@ -206,3 +206,18 @@ def test_decoding_many_frames_at_once():
     for i, (frame, link) in enumerate(zip(frames, links)):
         want = captures.decode_headers(link, frame)
         assert {c: v[i] for c, v in got.items() if v[i] is not None} == want, (i, link, frame)
+
+
+def test_captures_hold_more_sources_than_one_address_part(spark, tmp_path):
+    from floodlens.plans import source_queries, views
+    from floodlens.plans.registry import Context
+
+    users = [0, 255, 256, 65_535, 65_536, 89_999, 16_777_215, 16_777_216, 4_000_000_000]
+    rows = [(i, u, "click view purchase signup error".split()[i % 5], 1.5 * i) for i, u in enumerate(users)]
+    (spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+     .selectExpr("*", "timestamp_seconds(1700000000 + event_id) AS ts", "concat('k', event_id) AS props")
+     .write.parquet(f"{tmp_path}/events.parquet"))
+    out = source_queries.ingest_captures(Context(spark, str(tmp_path)))
+    want = views.packets(spark, str(tmp_path)).select("ts_ns", "src_ip", "dst_ip", "proto_l4", "len_payload", "fragmented")
+    assert sorted(out.select(*want.columns).collect()) == sorted(want.collect())
+    assert "10.0.351.143" in {r.src_ip for r in out.collect()}
