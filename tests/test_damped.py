@@ -154,3 +154,24 @@ def test_histogram_learning(spark):
     far = spark.createDataFrame([(-1e9,), (bins.lower + 3.5 * bins.width,), (1e9,)], "v double")
     scores = [r.score for r in histogram.histogram_score(far, "v", hist, bins).orderBy("v").collect()]
     assert scores == [float("inf"), 0.0, float("inf")]
+
+
+@pytest.mark.parametrize("block", [5, 1 << 16])
+def test_listed_frames_meet_their_streams_in_one_exchange(spark, block):
+    """What is known of both streams at each listed frame and the one before, whatever the blocks; rows carry no names."""
+    rows = traffic(11, n=60, hosts=5)
+    frames = damped_pairs.own_frames(spark.createDataFrame(rows, SCHEMA), "src", "dst", "v")
+    moments = damped_pairs.cut(damped_pairs.stream_moments(frames, [0.5], 1 << 20))
+    listed = damped_pairs.cut(damped_pairs.pair_rows(moments.select("own", "peer", "own_name", "peer_name", "f", "t")))
+    assert {dict(listed.dtypes)[c] for c in ("link", "small", "big")} == {"bigint"}
+    out = damped_pairs.with_streams(listed, moments, block)
+    sent, got, pairs = {}, out.select("link", "small", "big", "f", *[f"{c}.f" for c in "xsqo"]).collect(), {}
+    for r in moments.select("own", "f").orderBy("f").collect():
+        sent.setdefault(r.own, []).append(r.f)
+    latest = lambda s, f: max((g for g in sent.get(s, []) if g <= f), default=None)
+    assert len(got) == listed.count()
+    for link, small, big, f, x, s, q, o in sorted(map(tuple, got), key=lambda r: r[3]):
+        before = pairs.get(link)
+        assert (x, s) == (latest(big, f), latest(small, f))
+        assert (q, o) == ((None, None) if before is None else (latest(big, before), latest(small, before)))
+        pairs[link] = f
