@@ -1,7 +1,7 @@
 """Main text of web pages by wrappers that are inferred for each host.
 
-Pages of a host share a template. A bounded sample of each host's pages is tokenised into tags and text and aligned one
-after the other: repetitions are folded into repeated groups, what only some pages have becomes optional, and text that
+Pages of a host share a template. All pages of a host are tokenised into tags and text and aligned in runs of some pages, one
+after the other; the runs vote for the container. In a run, repetitions are folded into repeated groups, what only some pages have becomes optional, and text that
 differs becomes a slot. The result is a union-free regular expression, the host's *wrapper*. Its slots show the lowest
 container of all that varies; that container is then read from every page of the host, without the parts that are
 page furniture by element, role or class. Pages that have no such container are read by their own structure.
@@ -9,15 +9,17 @@ page furniture by element, role or class. Pages that have no such container are
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from floodlens.llm.common import arrow_schema, map_texts
 from floodlens.session import cut
@@ -266,6 +268,10 @@ def fold(items: list[Item], known: frozenset[str] = frozenset(), longest: int =
 def align(wrapper: list[Item], page: list[Item]) -> list[Item]:
     """The wrapper after one more page: common items meet, the rest on either side is optional."""
     out: list[Item] = []
+    if [i.key for i in wrapper] == [i.key for i in page]:
+        for mine, other in zip(wrapper, page):
+            absorb(mine, other)
+        return wrapper
     matcher = SequenceMatcher(None, [i.key for i in wrapper], [i.key for i in page], autojunk=False)
     for kind, a, b, c, d in matcher.get_opcodes():
         if kind == "equal":
@@ -279,10 +285,13 @@ def align(wrapper: list[Item], page: list[Item]) -> list[Item]:
     return out
 
 
-def infer(pages: list[str], most_items: int = 4000) -> list[Item]:
-    """Wrapper of some pages of a host. Pages with more items than ``most_items`` only serve if no other is there."""
-    streams = [fold(stream(p)) for p in dict.fromkeys(pages)]
-    streams = [s for s in streams if len(s) <= most_items] or streams[:1]
+def infer(pages: list[str]) -> list[Item]:
+    """Wrapper of some pages of a host."""
+    return merged([fold(stream(p)) for p in dict.fromkeys(pages)])
+
+
+def merged(streams: list[list[Item]]) -> list[Item]:
+    """Wrapper of some folded pages."""
     if not streams:
         return []
     known = frozenset(i.key for s in streams for i in s if i.group)
@@ -293,6 +302,34 @@ def infer(pages: list[str], most_items: int = 4000) -> list[Item]:
     return wrapper
 
 
+def packed(page: str) -> bytes:
+    """The items of a page in short: texts by their digests."""
+    items = stream(page)
+    paths = list(dict.fromkeys(i.path for i in items))
+    number = {path: k for k, path in enumerate(paths)}
+    digest = lambda text: int.from_bytes(hashlib.blake2b(text.encode("utf8", "surrogatepass"), digest_size=8).digest(), "big")
+    rows = [(i.key, number[i.path], int(i.furniture), None if i.text is None else digest(i.text), i.chars) for i in items]
+    return zlib.compress(json.dumps([paths, rows]).encode())
+
+
+def unpacked(data: bytes) -> list[Item]:
+    paths, rows = json.loads(zlib.decompress(data))
+    paths = [tuple(p) for p in paths]
+    return [Item(key, paths[k], bool(furniture), text, chars) for key, k, furniture, text, chars in rows]
+
+
+def votes(run: list[bytes], most_items: int = 4000) -> Iterator[tuple[str, str, int]]:
+    """Wrapper, container and number of pages behind them, of a run of packed pages; copies in a run serve once.
+
+    Pages with more items than ``most_items`` are too long to be aligned and vote each for itself.
+    """
+    streams = [fold(unpacked(p)) for p in dict.fromkeys(run)]
+    for some in [[s for s in streams if len(s) <= most_items], *([s] for s in streams if len(s) > most_items)]:
+        if some:
+            wrapper = merged(some)
+            yield written(wrapper), json.dumps(container_of(wrapper)), len(some)
+
+
 def slots(items: list[Item], optional: bool = False) -> Iterator[tuple[Item, bool]]:
     """Slots, and whether their text differs from page to page or is on some pages only."""
     for item in items:
@@ -361,25 +398,51 @@ def host_of(url):
     return F.coalesce(host, F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, sample_pages: int = 12, sample_chars: int = 200_000) -> DataFrame:
-    """host, wrapper, container for each host, from at most ``sample_pages`` of its pages.
+def light(hosts: DataFrame, *texts: str, most: int = 8 << 20) -> DataFrame:
+    """A stored table of hosts, sent to every executor if the joins may: only below ``most`` bytes."""
+    size = hosts.agg(F.sum(sum((F.octet_length(t) for t in texts), F.lit(64)))).first()[0] or 0
+    return F.broadcast(hosts) if size <= most else hosts
+
+
+def infer_wrappers(pages: DataFrame, run_pages: int = 12, bucket_pages: int = 240) -> DataFrame:
+    """host, wrapper, container for each host, from all of its pages.
 
-    Pages are taken by a hash of their address and id. The limit applies in every task before the shuffle, so a host
-    with a large part of all pages sends no more than others. Pages longer than ``sample_chars`` are not sampled.
+    The pages of a host are dealt by a hash of their address and id into buckets of about ``bucket_pages``, and those cut into
+    runs of ``run_pages``; each run gives a wrapper, and the container of most pages wins. No task holds more than a run, and
+    only the items of the pages travel.
     """
-    schema = "host string, wrapper string, container string"
+    schema = "host string, wrapper string, container string, pages long"
     target = arrow_schema(schema)
-    order = Window.partitionBy("host").orderBy("h", "page_id", "html")
-    sample = (pages.where(F.col("html").isNotNull() & (F.length("html") <= sample_chars))
-              .select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "page_id").alias("h"), "page_id", "html")
-              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_pages))
-
-    def work(rows: pa.Table) -> pa.Table:
-        several = [h for _, _, h in sorted(zip(rows["n"].to_pylist(), rows["page_id"].to_pylist(), rows["html"].to_pylist()), key=lambda r: r[0])]
-        wrapper = infer(several)
-        return pa.table([[rows["host"][0].as_py()], [written(wrapper)], [json.dumps(container_of(wrapper))]], schema=target)
+    rows = pages.where(F.col("html").isNotNull()).select(
+        host_of(F.col("url")).alias("host"), F.xxhash64("url", "page_id").alias("h"), "page_id", "html")
+    sizes = cut(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / bucket_pages).alias("buckets")))
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    return sample.groupBy("host").applyInArrow(work, schema)
+    def make():
+        return lambda batch: [*batch.columns[:3], [packed(p) for p in batch.column("html").to_pylist()]]
+    items = map_texts(rows, ["host", "h", "page_id", "html"], make, f"host string, h long, page_id {kind}, items binary")
+    dealt = (items.join(light(sizes, "host"), "host").withColumn("bucket", F.expr("pmod(h, buckets)")).select("host", "bucket", "h", "page_id", "items")
+             .repartition("host", "bucket").sortWithinPartitions("host", "bucket", "h", "page_id", "items"))
+
+    def work(batches):
+        at, run = None, []
+
+        def done():
+            found = list(votes(run)) if run else []
+            return pa.RecordBatch.from_pylist([{"host": at[0], "wrapper": w, "container": c, "pages": n} for w, c, n in found], schema=target)
+        for batch in batches:
+            for host, bucket, page in zip(*(batch.column(c).to_pylist() for c in ("host", "bucket", "items"))):
+                if (host, bucket) != at or len(run) == run_pages:
+                    yield done()
+                    at, run = (host, bucket), []
+                run.append(page)
+        if run:
+            yield done()
+
+    found = dealt.mapInArrow(work, schema).groupBy("host", "container").agg(F.sum("pages").alias("pages"), F.min("wrapper").alias("wrapper"))
+    best = F.struct(-F.col("pages"), "container", "wrapper")
+    return (found.groupBy("host").agg(F.min(best).alias("best"))
+            .select("host", F.col("best.wrapper").alias("wrapper"), F.col("best.container").alias("container")))
 
 
 def extract_text(pages: DataFrame, most_broadcast: int = 8 << 20) -> DataFrame:
@@ -390,10 +453,9 @@ def extract_text(pages: DataFrame, most_broadcast: int = 8 << 20) -> DataFrame:
     sent to every executor only while they are smaller than ``most_broadcast`` bytes; beyond that they are joined.
     """
     stored = cut(infer_wrappers(pages))
-    size = stored.agg(F.sum(F.octet_length("host") + F.octet_length("container") + 64)).first()[0] or 0
-    hosts = stored.select("host", "container")
+    hosts = light(stored.select("host", "container"), "host", "container", most=most_broadcast)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(F.broadcast(hosts) if size <= most_broadcast else hosts, "host", "left")
+    joined = rows.join(hosts, "host", "left")
 
     def make():
         paths: dict = {None: None}

@@ -1,7 +1,7 @@
 import html
 import re
 
-from floodlens.llm.html_text import container_of, extract_text, infer, infer_wrappers, main_text, written
+from floodlens.llm.html_text import container_of, extract_text, infer, infer_wrappers, main_text, packed, stream, unpacked, written
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +98,19 @@ def test_slugs_are_no_furniture():
             text = main_text(page(f"<{around}>{body}{junk}</{around}>{outside}"), None)
             assert text.split("\n") == list("abcdefgh"), (around, outside)
     assert main_text(page("<article><section id='comments'><p>On comments</p></section></article>"), None) == "On comments"
+
+
+def test_all_pages_of_a_host_decide(spark):
+    """Thirteen pages and more: those that any twelve of them miss count as well, and long ones vote too."""
+    def page(i, holder):
+        return f"<html><body><div class='{holder}'><p>text {i} of it</p><p>more {i * 7}</p></div><div class='footer'>same</div></body></html>"
+    rows = [(i, "http://h.example/%d" % i, page(i, "alpha" if i < 20 else "beta")) for i in range(60)]
+    rows.append((60, "http://h.example/60", page(60, "beta") + "<!--" + "x" * 300_000 + "-->"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1, 12, 240):
+        (found,) = infer_wrappers(pages, run_pages=1, bucket_pages=size).collect()
+        assert "div.beta" in found.container
+    streams = unpacked(packed(rows[0][2]))
+    assert [(i.key, i.path) for i in streams] == [(i.key, i.path) for i in stream(rows[0][2])]
+    lone = spark.createDataFrame(rows[-1:], pages.schema)
+    assert infer_wrappers(lone).count() == 1  # a page however long
