@@ -19,13 +19,21 @@ IN_ORDER = "0 seconds"
 
 
 def _landed(c, packets=None):
-    """Packets written as files in order of arrival, so that every micro-batch comes after the one before."""
-    path = scratch_path(c.spark, "landed")
+    """Packets written as files in order of arrival, so that every micro-batch comes after the one before.
+
+    Each micro-batch takes as many files as there are cores, and its packets are dealt over them.
+    """
+    path, files = scratch_path(c.spark, "landed"), _cores(c)
     packets = c.packets if packets is None else packets
-    period = F.expr(f"frame_no * {FILES} div {c.last_frame + 1}")
-    for i in range(FILES):
-        packets.filter(period == i).coalesce(1).write.mode("append").parquet(path)
-    return path, windows.read_packets(c.spark, path, packets.schema)
+    frames = c.last_frame + 1
+    edges = [-((frames - 1) // FILES)] + [-(-i * frames // FILES) for i in range(1, FILES + 1)]
+    for low, high in zip(edges, edges[1:]):
+        part = f"{path}/until={high}"
+        rows = packets.filter((F.col("frame_no") >= low) & (F.col("frame_no") < high))
+        rows.repartition(files, "frame_no").write.parquet(part)
+        for _ in range(files - len(c.spark.read.parquet(part).inputFiles())):  # a file for each one left out as empty
+            rows.limit(0).coalesce(1).write.mode("append").parquet(part)
+    return path, windows.read_packets(c.spark, f"{path}/*", packets.schema, files)
 
 
 def _cores(c):

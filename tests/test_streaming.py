@@ -158,3 +158,26 @@ def test_packets_wait_for_the_scoring_stream(spark, tmp_path):
     assert judged() == [False, False, True, None]
     deny.commit(hits.limit(0), None, 1)
     assert judged() == [False, False, True, None]
+
+
+def test_a_micro_batch_is_landed_by_all_cores_in_order(spark, tmp_path):
+    """Each batch takes as many files as there are cores, also if frames are few, and holds the next stretch of frames."""
+    import os
+
+    from floodlens.plans import stream_queries
+    from floodlens.plans.registry import Context
+
+    cores = spark.sparkContext.defaultParallelism
+    for name, frames in (("many", range(600)), ("few", [0, 1, 2, 300, 301, 599])):
+        (spark.createDataFrame([(i,) for i in frames], "event_id long")
+         .selectExpr("event_id", "event_id % 9 AS user_id", "'click' AS event_type", "1.5D AS value", "'k1' AS props",
+                     "timestamp_seconds(1700000000 + event_id) AS ts").write.parquet(f"{tmp_path}/{name}/events.parquet"))
+        path, _ = stream_queries._landed(Context(spark, f"{tmp_path}/{name}"))
+        files = [f"{d}/{f}" for d, _, found in os.walk(path) for f in found if f.endswith(".parquet")]
+        files.sort(key=os.path.getmtime)
+        assert len(files) == stream_queries.FILES * cores
+        batches = [files[i:i + cores] for i in range(0, len(files), cores)]
+        for i, batch in enumerate(batches):
+            rows = [r.frame_no for r in spark.read.parquet(*batch).select("frame_no").collect()]
+            assert sorted(rows) == [f for f in frames if i * 100 <= f < (i + 1) * 100]
+    assert stream_queries.FILES == 6
