@@ -84,30 +84,28 @@ def asof_last(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     """Attach to each ``left`` row the ``values`` of the latest ``right`` row of its key.
 
     Latest means greatest ``order`` not above (``strict``: below) the left row's. ``order`` is
-    an integer; within a key it is unique on the right. Unmatched rows get nulls.
+    an integer; within a key it is unique on the right. Unmatched rows get nulls. Both sides are read
+    twice; values of fixed size carry from block to block without a sort.
     """
-    pack = F.struct(*[F.col(v) for v in values])
-    lcols = [c for c in left.columns]
-    lrow = F.struct(*[F.col(c) for c in lcols])
-    rank = F.lit(0 if strict else 2)
-    l = left.select(*keys, order, rank.alias("__kind"), lrow.alias("__row"))
-    r = right.select(*keys, order, F.lit(1).alias("__kind"), pack.alias("__val"))
-    both = with_block(l.unionByName(r, allowMissingColumns=True), order, block_rows)
     groups = [*keys, _B]
+    l = with_block(left, order, block_rows)
+    r = with_block(right.select(*keys, order, *values), order, block_rows)
+    pack = F.struct(*[F.col(v) for v in values])
+    both = (l.withColumn("__kind", F.lit(0 if strict else 2))
+            .unionByName(r.select(*groups, order, F.lit(1).alias("__kind"), pack.alias("__val")), allowMissingColumns=True))
     inner = (Window.partitionBy(*groups).orderBy(order, "__kind")
              .rowsBetween(Window.unboundedPreceding, 0))
     rows = (both.withColumn("__in", F.last("__val", ignorenulls=True).over(inner))
-            .filter(F.col("__kind") != 1))
-    per_block = both.groupBy(*groups).agg(
-        F.max(F.when(F.col("__kind") == 1, F.struct(F.col(order).alias("o"),
-                                                    F.col("__val").alias("v")))).alias("__b"))
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(*groups, F.last("__b", ignorenulls=True).over(before).alias("__c"))
-    out = attach(rows.select(*groups, "__row", "__in"), carry, groups)
-    hit = F.coalesce(F.col("__in"), F.col("__c")["v"])
-    return (out.withColumn("__hit", hit)
-            .select(*[F.col("__row")[c].alias(c) for c in lcols],
-                    *[F.col("__hit")[v].alias(v) for v in values]))
+            .filter(F.col("__kind") != 1).drop("__kind", "__val"))
+    newest = (r.groupBy(*groups).agg(*[F.max_by(v, order).alias(v) for v in values])
+              .select(*groups, F.lit(1).alias("__kind"), pack.alias("__val")))
+    asked = l.select(*groups).distinct().withColumn("__kind", F.lit(0))
+    before = Window.partitionBy(*keys).orderBy(_B, "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (asked.unionByName(newest, allowMissingColumns=True)
+             .withColumn("__carry", F.last("__val", ignorenulls=True).over(before))
+             .filter((F.col("__kind") == 0) & F.col("__carry").isNotNull()).select(*groups, "__carry"))
+    return (attach(rows, carry, groups).withColumn("__hit", F.coalesce("__in", "__carry"))
+            .select(*left.columns, *[F.col("__hit")[v].alias(v) for v in values]))
 
 
 def last_points(df: DataFrame, keys: list[str], order: str, point: Column, n: int, name: str,

@@ -112,7 +112,7 @@ def _duplex(c):
   ASOF LEFT JOIN duplex_state p ON p.k = d.dst AND p.rate = o.rate AND p.frame_no <= d.frame_no"""))
 def damped_radius_magnitude(c):
     own = damped.damped_states(_duplex(c), ["src"], "frame_kb", RATES).select("frame_no", "src", "dst", "st")
-    both = damped.both_states(own, "src", "dst").select("frame_no", "st")
+    both = damped.both_states(own, "src", "dst", RATES, kept=()).select("frame_no", "st")
     return damped.by_rate(both).select("frame_no", "rate", "radius", "magnitude")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import sequential as seq
 from floodlens.functions import blocks
@@ -133,6 +134,44 @@ def test_pair_rows_follow_the_frames(spark, factor):
     assert damped_pairs.pair_rows(frames).count() <= 2 * len(rows)
 
 
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_both_states_come_from_one_reading(spark, block):
+    """Rows are made once, whatever is derived from them, and blocks change no result."""
+    rows, read = traffic(12, n=90, hosts=4), spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+    frames = spark.createDataFrame(rows, SCHEMA).withColumn("v", counted("v"))
+    states = damped.damped_states(frames, ["src"], "v", (1.0, 0.1), block_rows=block)
+    out = damped.by_rate(damped.both_states(states, "src", "dst", block_rows=block, rates=(1.0, 0.1)).select("frame_no", "st"))
+    got = {(r.frame_no, r.rate): r for r in out.collect()}
+    assert read.value == len(rows) and len(got) == 2 * len(rows)
+    for rate in (1.0, 0.1):
+        streams = {}
+        for f, a, b, t, v in rows:
+            streams.setdefault(a, seq.Stream()).add(t, v, rate)
+            both, r = [streams[s] for s in (a, b) if s in streams], got[f, rate]
+            assert seq.close(r.weight, streams[a].w)
+            assert seq.close(r.radius, sum(s.var for s in both) ** 0.5, 1e-6, 1e-4)
+            assert seq.close(r.magnitude, sum(s.mean ** 2 for s in both) ** 0.5)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_asof_last(spark, strict, block):
+    """Latest row of the key over blocks with and without rows on either side; null values count too."""
+    rng = random.Random(13)
+    right = [(k, n, rng.choice([None, float(n)])) for n in range(60) for k in ("a", "b", None) if rng.random() < 0.15]
+    left = [(rng.choice(["a", "b", "c"]), rng.randrange(60), i) for i in range(80)]
+    got = blocks.asof_last(spark.createDataFrame(left, "k string, n long, i int"), spark.createDataFrame(right, "k string, n long, x double"),
+                           ["k"], "n", ["x"], strict, block)
+    assert got.columns == ["k", "n", "i", "x"] and "SortAggregate" not in got._jdf.queryExecution().toString()
+    want = {i: ([x for q, m, x in right if q == k and (m < n if strict else m <= n)] or [None])[-1] for k, n, i in left}
+    assert {r.i: r.x for r in got.collect()} == want
+
+
 def test_histogram_learning(spark):
     rng = random.Random(6)
     rows = [(i, "s", float(i), rng.gauss(0, 1)) for i in range(200)]
