@@ -66,7 +66,6 @@ def stream_packets(c):
   {rounded('hdrs_payload_ratio_avg')}, {rounded('port_src_entropy')}, tcp_pkt_count, pkts_frag_count
   FROM win WHERE cell < (SELECT max(cell) FROM celled)"""))
 def stream_window_stats(c):
-    """At most 40 packets per window here, so the sampled entropy is the exact one."""
     path, schema = _windows(c)
     return c.spark.read.schema(schema).parquet(path).select(
         "src_ip", "window_id", "pkts_total", "bytes_total", "tstamp_start", "tstamp_end",

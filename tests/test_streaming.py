@@ -36,6 +36,26 @@ def test_late_packets_are_dropped_and_batches_do_not_matter(spark, tmp_path):
     assert [r[1] for r in results[0]] == [10] * 9
 
 
+def test_ports_and_connections_of_a_window_are_all_counted(spark, tmp_path):
+    """More packets than a sample holds: each counts, as in the batch table."""
+    from floodlens.operators.windows import window_stats
+
+    # but for the first packet none lies on an edge, where batch and stream differ
+    rows = [(i, i * 10_000_000 + 3_000_000 * (i > 0), "a" if i % 3 else "b", f"d{i % 5}", 6, i * i % 23 if i % 4 else 7, i % 11, 40, i, False) for i in range(700)]
+    rows.append((700, 60 * 10 ** 9, "a", "d0", 6, 1, 1, 40, 1, False))
+    opts = WindowOptions(window_length=2, packets_min=1, samples_size=4, slices=4)
+    schema = spark.createDataFrame([], seq.SCHEMA).schema
+    land(spark, rows, str(tmp_path / "in"), 3)
+    stream = windows.window_stream(windows.read_packets(spark, str(tmp_path / "in"), schema), opts, delay="0 seconds")
+    run.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    got = {(r.src_ip, r.tstamp_start): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.src_ip, r.tstamp_start): r for r in window_stats(spark.createDataFrame(rows, seq.SCHEMA), opts).collect()}
+    assert len(want) == 8 and got.keys() == want.keys()
+    for k in want:
+        for name in ("port_src_unique", "port_src_entropy", "conn_pkts_avg", "pkt_arrivals_std", "pkt_size_std", "bytes_total"):
+            assert got[k][name] == pytest.approx(want[k][name]), (k, name)
+
+
 WINDOW_SCHEMA = "src_ip string, " + ", ".join(f"{n} long" for n in windows.WINDOW_STATS)
 
 
