@@ -214,3 +214,36 @@ def test_listed_frames_meet_their_streams_in_one_exchange(spark, block):
         assert (x, s) == (latest(big, f), latest(small, f))
         assert (q, o) == ((None, None) if before is None else (latest(big, before), latest(small, before)))
         pairs[link] = f
+
+
+def test_pairs_keep_only_what_their_sums_need(spark):
+    """What was stored on the way goes; left are the frames between two streams and the ends of blocks, at each rate."""
+    import os
+
+    from floodlens.session import scratch_path
+
+    folder = os.path.dirname(scratch_path(spark, "any")).removeprefix("file:")
+    stages = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = stages()
+    rows = [(i, f"s{i % 7}", f"s{i % 5}" if i % 5 != i % 7 else "x", float(i), float(i % 11)) for i in range(200)]
+    cov = damped_pairs.damped_cov(spark.createDataFrame(rows, SCHEMA), "src", "dst", "v", (0.5, 0.1))
+    left = stages() - before
+    assert len(left) == 1
+    kept = spark.read.parquet(f"{folder}/{left.pop()}")
+    assert kept.filter("direct").count() == cov.count() == 400 and kept.filter("NOT direct AND NOT _end").count() == 0
+
+
+def test_streams_without_asked_moments_carry_none(spark):
+    frames = damped_pairs.own_frames(spark.createDataFrame(traffic(3, n=60), SCHEMA), "src", "dst", "v")
+    asked = frames.filter("own_name = 'h1'").select("own").distinct()
+    whole, some = (damped_pairs.stream_moments(frames, [0.5], 16, of).orderBy("f").collect() for of in (None, asked))
+    for a, b in zip(whole, some, strict=True):
+        assert (a.f, a.st, a.points) == (b.f, b.st, b.points)
+        assert (b.sums, b.seq, b.tau) == ((a.sums, a.seq, a.tau) if a.own_name == "h1" else (None, None, None))
+
+
+def test_joined_statistics_are_dealt_by_frames_once(spark):
+    parts = [spark.createDataFrame([(f, r, f * r + i) for f in range(50) for r in (1.0, 0.1)], f"f long, rate double, v{i} double") for i in range(3)]
+    out = damped.join_all([p.hint("merge") for p in parts], ["f", "rate"]).groupBy("f").agg(F.count("*").alias("n"), F.sum("v2").alias("s"))
+    assert {(r.f, r.n) for r in out.collect()} == {(f, 2) for f in range(50)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 3
