@@ -87,7 +87,7 @@ def window_stream(packets: DataFrame, opts: WindowOptions, origin_ns: int = 0, *
     parts = F.flatten(F.collect_list("parts")).alias("parts")
     ports = conns.groupBy("src_ip", "win", "src_port").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("conns"), parts, *merged)
     total = ports.groupBy("src_ip", "win").agg(
-        F.count(F.lit(1)).alias("ports"), F.sum("conns").alias("conns"),
+        F.count("src_port").alias("ports"), F.sum("conns").alias("conns"),
         F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("bits"), parts, *merged)
     total = total.withColumn("parts", F.sort_array("parts")).withColumnsRenamed({
         "n": "pkts_total", "bytes": "bytes_total", "low": "pkt_size_min", "high": "pkt_size_max", "tcp": "tcp_pkt_count",
